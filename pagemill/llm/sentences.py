@@ -17,9 +17,9 @@ from pagemill.llm.common import by_batch
 
 #: Abbreviations after which a sentence goes on, by language; `_` holds those of every language in Latin script. Fixed values.
 ABBREVIATIONS = {
-    "_": "dr prof mr mrs ms st jr fig figs vol vols pp approx cf vs e.g i.e a.k.a ca nos ch sec eq ed eds al ltd inc corp dept gen col sgt capt rev hon",
-    "en": "co messrs est tel ext ref",
-    "de": "bzw nr abs vgl z.b d.h u.a hr fr art bd s str ggf evtl inkl zzgl usf bspw sog kap dipl ing tel",
+    "_": "dr prof mr mrs ms st jr fig figs vol vols pp approx cf vs e.g i.e a.k.a ca nos eq eds ltd inc corp dept sgt capt rev",
+    "en": "co messrs tel",
+    "de": "bzw nr abs vgl z.b d.h u.a hr fr art bd s ggf evtl inkl zzgl usf bspw sog kap dipl tel",
     "fr": "m mm mme mlle art réf p env av bd chap éd fasc tél apr",
     "es": "pág págs sr sra srta núm ej art ud uds cap tel aprox d dña",
     "pt": "sr sra srta n.º n pág págs art ex av cap tel aprox dra",
@@ -83,10 +83,10 @@ GENERAL = [
     (False, r"“[^“”„]{0,600}[.!?…]", r"\s[^“”]{0,600}”"),
     (False, r"«[^«»]{0,600}[.!?…]", r"\s[^«»]{0,600}»"),
     (False, r"„[^“”„]{0,600}[.!?…]", r"\s[^“”„]{0,600}[“”]"),
-    (True, rf"(?i)(?<![\p{{L}}\d])(?:{ENDING})\.", r"\s+(?!\p{Ll})"),
-    (False, r"(?i)(?<![\p{L}\d])[ap]\.\s?m\.", r"\s+\p{Ll}"),
-    (False, r"(?i)(?<![\p{L}\d])no\.", r"\s+\d"),
-    (False, rf"(?i)(?<![\p{{L}}\d])(?:{MONTHS})\.", r"\s+\d"),
+    (True, rf"(?i:(?<![\p{{L}}\d])(?:{ENDING})\.)", r"\s+(?!\p{Ll})"),
+    (False, r"(?i:(?<![\p{L}\d])[ap]\.\s?m\.)", r"\s+\p{Ll}"),
+    (False, r"(?i:(?<![\p{L}\d])no\.)", r"\s+\d"),
+    (False, rf"(?i:(?<![\p{{L}}\d])(?:{MONTHS})\.)", r"\s+\d"),
     (False, r"(?<![\p{L}\p{M}\d\-])\p{L}\.", r"\s+\p{L}"),
 ]
 #: In a paragraph with capitals, a small letter goes on with the sentence.
@@ -96,32 +96,34 @@ _HEADING = regex.compile(r"#{1,6}\s|#{1,6}$")
 _ITEM = regex.compile(r"(?:[-*+•]|\d{1,9}[.)])\s+\S")
 _RULE = regex.compile(r"\|?[\s:|\-]*-[\s:|\-]*\|?$|[*_]\s*[*_]\s*[*_][\s*_]*$|<!--\s*page:\d+\s*-->$")
 _SCRIPTS = {k: regex.compile(v) for k, v in {"cjk": r"[\p{Han}\p{Hiragana}\p{Katakana}]", "thai": r"\p{Thai}", "hindi": r"\p{Devanagari}", "arabic": r"\p{Arabic}", "cyrillic": r"\p{Cyrillic}"}.items()}
-_ASCII = regex.compile(r"[\x00-\x7f]*\Z")
-_WORD = regex.compile(r"\p{L}+")
+_ANY = regex.compile("|".join(p.pattern for p in _SCRIPTS.values()))
 _BIG = regex.compile(r"\p{Lu}")
 _SMALL = {k: frozenset(v.split()) for k, v in SMALL.items()}
 
 
 @lru_cache(None)
-def rules(language: str, script: str, cased: bool) -> tuple:
-    """The cascade of one kind of paragraph, compiled: (break, pattern that matches at a place)."""
-    words = sorted({w for k in ("_", language) for w in ABBREVIATIONS.get(k, "").split()}, key=lambda w: (-len(w), w))
-    short = [(False, rf"(?i)(?<![\p{{L}}\p{{M}}\d])(?:{'|'.join(regex.escape(w).replace('\\.', '\\.\\s?') for w in words)})\.", r"\s")]
+def rules(language: str, script: str, cased: bool) -> regex.Pattern:
+    """The cascade of one kind of paragraph as one pattern that matches at a place: its alternatives are tried in order, and the
+    first that holds is named ``y`` (break) or ``n``."""
+    also = ("_", "en", "de", "fr", "es", "pt") if script == "latin" else ("_", language)  # short texts hardly tell Latin languages apart
+    words = sorted({w for k in also for w in ABBREVIATIONS.get(k, "").split()}, key=lambda w: (-len(w), w))
+    short = [(False, rf"(?i:(?<![\p{{L}}\p{{M}}\d])(?:{'|'.join(regex.escape(w).replace('\\.', '\\.\\s?') for w in words)})\.)", r"\s")]
     table = LANGUAGE.get(language, []) + SCRIPT.get(script, [])
     if script not in ("cjk", "thai"):
         table = table + GENERAL[:8] + short + GENERAL[8:] + CASED * cased
-    return tuple((yes, regex.compile(rf"(?<={before})(?={after})" if before else rf"(?={after})")) for yes, before, after in table)
+    own = [(yes, (f"(?<={before})" if before else "") + f"(?={after})") for yes, before, after in table]
+    return regex.compile("|".join(f"{p}(?P<{'ny'[yes]}{i}>)" for i, (yes, p) in enumerate(own)))
 
 
 def kind_of(text: str) -> tuple[str, str]:
     """(language, script) of a paragraph, from its letters and small words; declared languages are too often wrong."""
-    if not _ASCII.match(text):
-        latin = len(regex.findall(r"\p{Latin}", text))
+    if not text.isascii() and _ANY.search(text):
+        latin = sum(map(str.isascii, filter(str.isalpha, text)))
         count, script = max((len(p.findall(text)), k) for k, p in _SCRIPTS.items())
         if count * (3 if script == "cjk" else 1.5) > latin:
             return {"cyrillic": "ru", "hindi": "hi", "arabic": "ar", "thai": "th", "cjk": "cjk"}[script], script
-    words = _WORD.findall(text.lower())
-    score, language = max((sum(w in s for w in words), k) for k, s in _SMALL.items())
+    words = text.lower().split()
+    score, language = max((sum(map(s.__contains__, words)), k) for k, s in _SMALL.items())
     return (language if score else "en"), "latin"
 
 
@@ -131,18 +133,11 @@ _FIND = {k: regex.compile(v) for k, v in CANDIDATES.items()}
 def sentences(text: str) -> list[tuple[int, int]]:
     """The sentences of one paragraph."""
     language, script = kind_of(text)
-    table = rules(language, script, bool(_BIG.search(text)))
+    decide = rules(language, script, bool(_BIG.search(text)))
     out, begin = [], 0
     for m in _FIND[script].finditer(text):
         at = m.end()
-        if at <= begin:
-            continue
-        for yes, pattern in table:
-            if pattern.match(text, at):
-                break
-        else:
-            yes = True
-        if yes:
+        if at > begin and ((first := decide.match(text, at)) is None or first.lastgroup[0] == "y"):
             out.append((begin, at))
             begin = at
     out.append((begin, len(text)))
