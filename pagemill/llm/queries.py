@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import leaks, repeats, sentences, splitting, tokens
+from pagemill.llm import bodies, encodings, leaks, repeats, sentences, splitting, tokens
 from pagemill.llm.common import first_part
 from pagemill.session import table
 
@@ -30,6 +30,24 @@ def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_lines(pages, "page_id", "markdown", p2_found(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return bodies.noise_lines(_pages(spark, d, "crawl"), "page_id", "source_path", "page_number", "markdown")
+
+
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d, "crawl").select("page_id", "source_path", "markdown")
+    return repeats.without_lines(pages, "page_id", "markdown", p3_found(spark, d))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d, "web", "vlm", "lib")
+    return encodings.repaired(pages, "page_id", "markdown", encodings.dictionaries(pages, "page_id", "markdown"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_repaired(spark, d).filter("garbled").select("page_id")
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_pages(spark, d), "page_id", "markdown")
 
@@ -55,7 +73,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_cleaned, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
+    own = [p2_found, p2_cleaned, p3_found, p3_cleaned, p5_found, p5_repaired, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
     return {f.__name__: f for f in own}
 
 
