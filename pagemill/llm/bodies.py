@@ -28,7 +28,7 @@ _BYLINE = regex.compile(r"\p{Lu}[^,]{2,60},\s+\p{Lu}[^,]{2,60}$")
 _CRUMB = regex.compile(r"^[^›»>/|.!?]{1,40}(?:\s+[›»>/|]\s+[^›»>/|.!?]{1,60}){2,}$")
 #: Phrases of notices, prompts and footers that articles don't use; a blank stands for any mark. Fixed values.
 CUES = (
-    " cookies ", " cookie ", " copyright ", " all rights reserved ", " powered by ", " privacy ", " subscribe ", " newsletter ", " sign up ", " log in ", " our app ", " follow us ",
+    " use cookies ", " uses cookies ", " cookies to ", " cookie policy ", " cookies propias ", " usamos cookies ", " des cookies ", " verwenden cookies ", " usamos cookies ", " copyright ", " all rights reserved ", " powered by ", " privacy ", " subscribe ", " newsletter ", " sign up ", " log in ", " our app ", " follow us ",
     " this site ", " this website ", " on your device ", " by going on you ", " vat no ", " advertisement ", " sponsored ", " your e mail ",
     " datenschutz", " privatsphäre ", " diese website ", " impressum ", " alle rechte vorbehalten ", " ust nr ", " abonnieren ", " anzeige ", " unsere app ", " folgen sie uns ",
     " vie privée ", " ce site ", " confidentialité ", " tous droits réservés ", " abonnez vous ", " s abonner ", " infolettre ", " publicité ", " suivez nous ", " notre appli", " notre lettre ", " tva ",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bodies, encodings, leaks, repeats, sentences, splitting, tokens
+from pagemill.llm import bodies, encodings, leaks, repeats, residue, sentences, splitting, tokens
 from pagemill.llm.common import first_part
 from pagemill.session import table
 
@@ -48,6 +48,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_repaired(spark, d).filter("garbled").select("page_id")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "parsed_pages").select(F.lit("parsed_pages").alias("tab"), F.col("page_id").alias("row"), F.lit(0).alias("part"), F.col("markdown").alias("text"))
+    elements = table(spark, d, "visual_elements")
+    # a well-formed mark of an image's place is what the column is for
+    place = F.when(~F.col("placeholder_id").rlike(r"^<!-- FPE_IMG:p\d+_\d+ -->$"), F.col("placeholder_id"))
+    of = lambda part, text: elements.select(F.lit("visual_elements").alias("tab"), F.col("element_id").alias("row"), F.lit(part).alias("part"), text.alias("text"))
+    return pages.union(of(0, F.col("description"))).union(of(1, place))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_rows(_texts(spark, d)).select(F.col("tab").alias("table_name"), F.col("row").alias("row_id"))
+
+
+def p6_kept_pages(spark: SparkSession, d: str) -> DataFrame:
+    bad = p6_found(spark, d).filter("table_name = 'parsed_pages'").select(F.col("row_id").alias("page_id"))
+    return _pages(spark, d).select("page_id", "source_path", "markdown").join(bad, "page_id", "left_anti")
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_pages(spark, d), "page_id", "markdown")
 
@@ -73,7 +91,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_cleaned, p3_found, p3_cleaned, p5_found, p5_repaired, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
+    own = [p2_found, p2_cleaned, p3_found, p3_cleaned, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
     return {f.__name__: f for f in own}
 
 
