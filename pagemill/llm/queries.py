@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bodies, encodings, leaks, repeats, residue, sentences, splitting, tokens
+from pagemill.llm import bodies, encodings, leaks, repeats, residue, sentences, splitting, tokens, truncation
 from pagemill.llm.common import first_part
 from pagemill.session import table
 
@@ -39,6 +39,20 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_lines(pages, "page_id", "markdown", p3_found(spark, d))
 
 
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    wrapped = first_part(F.col("source_path")) == "scan"
+    return truncation.cut_texts(pages, table(spark, d, "vlm_usage"), table(spark, d, "models"), "page_id", "source_path", "page_number", "markdown", wrapped)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).filter("cause is not null").select("page_id")
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.shares(_cut(spark, d))
+
+
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d, "web", "vlm", "lib")
     return encodings.repaired(pages, "page_id", "markdown", encodings.dictionaries(pages, "page_id", "markdown"))
@@ -91,7 +105,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_cleaned, p3_found, p3_cleaned, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
+    own = [p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
     return {f.__name__: f for f in own}
 
 
