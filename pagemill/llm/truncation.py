@@ -16,10 +16,10 @@ from pyspark.sql.window import Window
 
 from pagemill.llm.bodies import cued
 from pagemill.llm.common import by_batch, source_of
-from pagemill.llm.vectors import categories, codes_of, grams, parts_of
+from pagemill.llm.vectors import categories, codes_of, parts_of, slices
 from pagemill.session import written
 
-ORDERS = (10, 6, 4)
+ORDERS = (24, 10, 6, 4)
 #: Log-odds of ending against going on below which a value is cut, by language and column; "" is for all others.
 THRESHOLDS = {("", "markdown"): -2.5}
 #: So many distinct final n-grams are broadcast at most; beyond that all n-grams are counted.
@@ -50,7 +50,7 @@ def _tails(c: dict) -> dict:
         u = codes_of(line)
         for k in ORDERS:
             if len(u) >= k:
-                out[f"h{k}"][i] = grams(u[-k:], k).view(np.int64)[0]
+                out[f"h{k}"][i] = slices(u[-k:], np.zeros(1, np.int64), np.array([k])).view(np.int64)[0]
     return {"key": c["key"], "copies": c["copies"]} | out
 
 
@@ -64,7 +64,8 @@ def _follow(c: dict, wanted) -> dict:
         codes = np.where(kind == 2, np.uint32(48), codes)
         broken = np.cumsum((codes == 10) | (codes == 0))
         for k in ORDERS:
-            h = grams(codes, k)[:-1].view(np.int64)  # each is followed by codes[i + k]
+            first = np.arange(max(len(codes) - k, 0))
+            h = slices(codes, first, first + k).view(np.int64)  # each is followed by codes[i + k]
             nxt = codes[k : k + len(h)]
             at = np.flatnonzero(wanted(h))
             at = at[broken[at] == broken[at + k - 1]]
