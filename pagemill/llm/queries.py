@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bodies, encodings, leaks, repeats, residue, sentences, splitting, tokens, truncation
+from pagemill.llm import bodies, encodings, leaks, repeats, residue, scans, sentences, splitting, tokens, truncation
 from pagemill.llm.common import first_part
 from pagemill.session import table
 
@@ -21,6 +21,19 @@ def _pages(spark: SparkSession, d: str, *parts: str) -> DataFrame:
     return pages.filter(first_part(F.col("source_path")).isin(*parts)) if parts else pages
 
 
+def _noise(spark: SparkSession, d: str) -> scans.Noise:
+    blocks = table(spark, d, "text_blocks").filter(first_part(F.col("source_path")) == "scan")
+    return scans.Noise(blocks, _pages(spark, d, "scan"), _pages(spark, d).select(F.col("markdown").alias("text")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _noise(spark, d).found()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _noise(spark, d).repaired()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeated_lines(_pages(spark, d, "web"), "page_id", "source_path", "markdown")
 
@@ -105,7 +118,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
+    own = [p1_found, p1_repaired, p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
     return {f.__name__: f for f in own}
 
 
