@@ -19,7 +19,7 @@ from pagemill.llm.common import by_batch, source_of
 from pagemill.llm.vectors import categories, codes_of, parts_of, slices
 from pagemill.session import written
 
-ORDERS = (24, 10, 6, 4)
+ORDERS = (24, 10, 6)
 #: Log-odds of ending against going on below which a value is cut, by language and column; "" is for all others.
 THRESHOLDS = {("", "markdown"): -2.5}
 #: So many distinct final n-grams are broadcast at most; beyond that all n-grams are counted.
@@ -56,13 +56,14 @@ def _tails(c: dict) -> dict:
 
 def _follow(c: dict, wanted) -> dict:
     """How often each wanted n-gram stands before the end of a line, a letter or digit, or another sign; a text's end is the end of a line."""
-    found: list[tuple] = []
+    keys, sums = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
     texts = c["text"].to_pylist()
-    for a, b in parts_of(texts):
+    for a, b in parts_of(texts, 500_000):
         codes = codes_of(regex.sub(r"[^\S\n]+(?=\n)", "", "\0".join(x.replace("\0", " ").rstrip() for x in texts[a:b])) + "\0")
         kind = categories()[codes]
         codes = np.where(kind == 2, np.uint32(48), codes)
-        broken = np.cumsum((codes == 10) | (codes == 0))
+        broken = np.cumsum((codes == 10) | (codes == 0), dtype=np.int32)
+        got, follow = [keys], [sums]
         for k in ORDERS:
             first = np.arange(max(len(codes) - k, 0))
             h = slices(codes, first, first + k).view(np.int64)  # each is followed by codes[i + k]
@@ -70,11 +71,14 @@ def _follow(c: dict, wanted) -> dict:
             at = np.flatnonzero(wanted(h))
             at = at[broken[at] == broken[at + k - 1]]
             cls = np.where((nxt[at] == 10) | (nxt[at] == 0), 0, np.where(kind[at + k] <= 2, 1, 2))
-            found.append((h[at], cls))
-    h, cls = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    keys, inverse = np.unique(h, return_inverse=True)
-    n = np.bincount(inverse * 3 + cls, minlength=3 * len(keys)).reshape(-1, 3) if len(keys) else np.zeros((0, 3), np.int64)
-    return {"h": keys, "ends": n[:, 0], "letters": n[:, 1], "others": n[:, 2]}
+            own, inverse = np.unique(h[at], return_inverse=True)
+            got.append(own)
+            follow.append(np.bincount(inverse * 3 + cls, minlength=3 * len(own)).reshape(-1, 3) if len(own) else np.zeros((0, 3), np.int64))
+        every, inverse = np.unique(np.concatenate(got), return_inverse=True)
+        added = np.zeros((len(every), 3), np.int64)
+        np.add.at(added, inverse, np.concatenate(follow))
+        keys, sums = every, added
+    return {"h": keys, "ends": sums[:, 0], "letters": sums[:, 1], "others": sums[:, 2]}
 
 
 def log_odds(values: DataFrame, training: DataFrame, key: str, text: str, copies: str) -> DataFrame:
