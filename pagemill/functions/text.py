@@ -59,14 +59,18 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(filled(path), "/"), -1), r"(?<=.)\.[^.]*\z", "")
 
 
+def _fixed(c: Column, places: int) -> Column:
+    return c.cast(f"decimal(20,{places})").cast("string")
+
+
 def tokens_text(n: Column) -> Column:
     """Counts from a million on in millions with two places, others with thousands separators."""
-    return F.when(n >= 1_000_000, F.format_string("%.2fM", n / 1e6)).otherwise(F.format_number(n, 0))
+    return F.when(n >= 1_000_000, F.concat(_fixed(n.cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)"), 2), F.lit("M"))).otherwise(F.format_number(n, 0))
 
 
 def cost_text(c: Column) -> Column:
-    """Six places under a tenth of a cent, four under ten cents, else two."""
-    return F.when(c < 0.001, F.format_string("$%.6f", c)).when(c < 0.1, F.format_string("$%.4f", c)).otherwise(F.format_string("$%.2f", c))
+    """Six places under a tenth of a cent, four under ten cents, else two; ``c`` is a decimal, halves round up."""
+    return F.concat(F.lit("$"), F.when(c < 0.001, _fixed(c, 6)).when(c < 0.1, _fixed(c, 4)).otherwise(_fixed(c, 2)))
 
 
 def masked(key: Column) -> Column:

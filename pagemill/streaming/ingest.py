@@ -20,7 +20,7 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> No
 def usage_windows(events: DataFrame, time: str, kind: str, value: str, late: str = "2 days", size: str = "1 day") -> DataFrame:
     """Extension: (window_start, kind, n, total) by event time; state older than ``late`` is dropped."""
     g = events.withWatermark(time, late).groupBy(F.window(time, size), F.col(kind))
-    return g.agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("window.start").alias("window_start"), kind, "n", "total")
+    return g.agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), kind, "n", "total")
 
 
 def run_to_table(stream: DataFrame, schema: str) -> DataFrame:
