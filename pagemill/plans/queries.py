@@ -442,7 +442,7 @@ def routes_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return t["models"].join(t["providers"].withColumnRenamed("name", "provider"), "provider").select("name", "provider", "model_id", "max_tokens", "input_price", "output_price", tx.shortened(F.col("base_url")).alias("url"))
 
 
-@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY date_trunc('day', ts), event_type HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
 def stream_usage_windows(spark: SparkSession, d: str) -> DataFrame:
     """Day windows that the watermark has closed, from the events as a stream."""
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
