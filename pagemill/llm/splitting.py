@@ -72,19 +72,18 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
     forced = []
     for i in np.flatnonzero(np.diff(nodes) > step):
         at, end = int(nodes[i]), int(nodes[i + 1])
-        reach = limit if at == 0 else step
-        while end - at > reach:
-            at = _whole(text, at + reach, at)
+        while end > (most := max(at - overlap, 0) + limit):
+            at = _whole(text, most, at)
             forced.append(at)
-            reach = step
-    nodes = np.unique(np.concatenate([nodes, np.array(forced, np.int64)]))
+    natural, nodes = nodes, np.unique(np.concatenate([nodes, np.array(forced, np.int64)]))
     most = np.maximum(nodes - overlap, 0) + limit
     half = nodes + step // 2
     best = np.full(len(nodes), -1, np.int64)
-    for places in [*levels, nodes]:  # a strong boundary in the far half, else a weaker one, else the farthest of any kind
+    # a strong boundary in the far half, else a weaker one, else the farthest natural one, else a forced one
+    for places, least in [*((x, half) for x in levels), (natural, nodes), (nodes, nodes)]:
         if len(places):
             far = places[np.maximum(np.searchsorted(places, most, "right") - 1, 0)]
-            best = np.where((best < 0) & (far > (half if places is not nodes else nodes)) & (far <= most), far, best)
+            best = np.where((best < 0) & (far > least) & (far <= most), far, best)
     best = np.where(most >= n, n, best)
     jump = np.searchsorted(nodes, best)
     jump[-1] = len(nodes) - 1
