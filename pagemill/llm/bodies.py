@@ -101,7 +101,7 @@ class Page:
         heading = title = None
         for n, block in enumerate(self.blocks):
             kinds = [self.kind(x, template) for _, x in block]
-            whole = len(block) > 1 and template("\n".join(plain(x, self.own) for _, x in block))
+            whole = len(block) > 1 and "table" not in kinds and template("\n".join(plain(x, self.own) for _, x in block))
             body = [k in ("table", "heading", "text", "item", "reference") for k in kinds]
             first = kinds[0]
             if whole or (first in ("template", "menu") and not any(k in ("text", "table") for k in kinds)):
