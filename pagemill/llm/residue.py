@@ -22,7 +22,7 @@ PLACEHOLDERS = r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{1,120}%\}|\$\{[^{}\n]{1,80}\}|%
 #: What a whole unit that is residue looks like from its start. Fixed values.
 WHOLE = (
     r"lorem\s+ipsum\b|(?:TODO|TBD|FIXME|XXX)\b\s*[:—–-]|\[(?:insert|describe|add|enter|your|type|placeholder)\b[^\]\n]{0,80}\]$|undefined$|null$|nan$|n/a$|<alt text>$|\[object object\]$"
-    r"|(?:figure|image|alt|caption)\s+(?:description|text)$|description\s+of\s+the\s+(?:image|figure)\s+goes\s+here|(?:your\s+)?text\s+(?:goes\s+)?here\b"
+    r"|(?:figure|image|alt|caption)\s+(?:description|text)$|description\s+of\s+the\s+(?:image|figure)\s+goes\s+here|(?:your\s+)?text\s+(?:goes\s+)?here\b|click\s+(?:here\s+)?to\s+(?:add|edit|insert)\b|klicken\s+sie,?\s+um\b[^.\n]{0,40}\bhinzuzufügen|cliquez\s+pour\s+(?:ajouter|modifier)\b|haga\s+clic\s+para\s+(?:agregar|añadir|modificar)\b|clique\s+para\s+(?:adicionar|editar)\b"
     r"|error\s*:?\s*(?:http\s*)?[45]\d\d\b|http\s+(?:error\s+)?[45]\d\d\b|erreur\s*:?\s*[45]\d\d\b|fehler\s*:?\s*[45]\d\d\b|erro\s*:?\s*[45]\d\d\b|#+\s*[45]\d\d$|[45]\d\d\s+(?:not found|forbidden|bad gateway|internal server error|service unavailable|gone|too many requests)\b"
     r"|(?:seite|página|page)\s+(?:nicht gefunden|no encontrada|não encontrada|introuvable|not found)\b|the\s[^.\n]{1,60}\s?page\s+you\s+(?:asked|were looking)\b[^\n]*\bnot\s+be\s+found"
     r"|access\s+denied\b|forbidden$|service\s+unavailable\b|session\s+expired\b|request\s+timed\s+out\b|sorry,\s+something\s+went\s+wrong|something\s+went\s+wrong|too\s+many\s+requests\b|index\s+of\s+/|no\s+files\s+to\s+display\b"
