@@ -209,20 +209,22 @@ def cut_texts(pages: DataFrame, usage: DataFrame, models: DataFrame, key: str, p
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(number).alias("page"), F.col(text).alias("text"), wrapped.alias("wraps")).withColumn("source", source_of(F.col("path")))
     full = rows.filter(F.trim(F.col("text"), F.lit(" \t\n")) != "")
-    sized = full.withColumns({"chars": F.length("text"), "bytes": F.octet_length("text"), "fences": F.regexp_count("text", F.lit(r"(?m)^```"))})
+    # only the ends of texts go through the joins
+    sized = full.select("key", "path", "page", "source", "wraps", F.substring("text", -600, 600).alias("text"), F.substring(F.ltrim("text"), 1, 64).alias("start"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.regexp_count("text", F.lit(r"(?m)^```")).alias("fences"))
+    sized = written(sized, "ends")
     cap = limits(sized.select("source", "chars", "bytes"))
     plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[_ ]+", "-")
     most = models.select(plain(F.col("name")).alias("model"), F.coalesce("max_tokens", F.lit(default_tokens)).alias("max_tokens")).groupBy("model").agg(F.max("max_tokens").alias("max_tokens"))
     calls = usage.filter("source_path is not null").groupBy("source_path", "page_number").agg(F.max_by(F.struct(plain(F.col("model_name")).alias("model"), "output_tokens"), F.struct("attempt", "output_tokens")).alias("c"))
     spent = calls.select(F.col("source_path").alias("path"), F.col("page_number").alias("page"), "c.*").join(most, "model").filter("output_tokens >= max_tokens").select("path", "page", F.lit(True).alias("full"))
     # the text of the next page: one row per (document, page), then one step of a window over a document's pages
-    once = full.groupBy("path", "page").agg(F.count("*").alias("copies"), F.max(F.substring(F.ltrim("text"), 1, 64)).alias("start"))
+    once = sized.groupBy("path", "page").agg(F.count("*").alias("copies"), F.max("start").alias("start"))
     after = once.withColumns({"next": F.lead("start").over(Window.partitionBy("path").orderBy("page")), "next_page": F.lead("page").over(Window.partitionBy("path").orderBy("page"))})
     after = after.select("path", "page", F.when(F.col("next_page") == F.col("page") + 1, F.col("next")).alias("next")).filter("next is not null")
-    alike = full.join(once.select("path", "page", "copies"), ["path", "page"])
+    alike = sized.select("key", "path", "page", "text").join(once.select("path", "page", "copies"), ["path", "page"])
     odds = log_odds(alike, full.filter(~F.col("wraps")), "key", "text", "copies")
     given = sized.join(odds, "key", "left").join(spent, ["path", "page"], "left").join(after, ["path", "page"], "left").join(cap, "source", "left")
-    given = given.select("key", "source", F.substring("text", -600, 600).alias("text"), "fences", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full")
+    given = given.select("key", "source", "text", "fences", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full")
     judged = by_batch(given, f"key {kind}, source string, cause string", _judge)
     blank = rows.filter(F.col("text").isNull() | (F.trim(F.col("text"), F.lit(" \t\n")) == "")).select("key", "source", F.lit(None).cast("string").alias("cause"))
     return judged.union(blank).withColumnRenamed("key", key)
