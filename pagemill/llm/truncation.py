@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from pagemill.llm.bodies import cued
 from pagemill.llm.common import by_batch, source_of
-from pagemill.llm.vectors import categories, codes_of, parts_of, slices
+from pagemill.llm.vectors import categories, codes_of, flags, parts_of, slices
 from pagemill.session import written
 
 ORDERS = (24, 10, 6)
@@ -37,6 +37,11 @@ _GARBLED = regex.compile(r"[\x80-\x9f\ufffd]|[\u0080-\u00ff]{3}|[\u2500-\u259f\u
 _OPEN_LINK = regex.compile(r"\[[^\]\n]*$|\]\([^()\s]*$")
 
 
+def _is_end(codes: np.ndarray) -> np.ndarray:
+    """Whether a sign ends a line: its break, or a mark that is put behind whole lines."""
+    return (codes == 0) | flags("\n*…»!]_")[codes]
+
+
 def _reduced(text: str) -> str:
     """What n-grams are made of: digits are one sign."""
     return regex.sub(r"\d", "0", text)
@@ -70,7 +75,10 @@ def _follow(c: dict, wanted) -> dict:
             nxt = codes[k : k + len(h)]
             at = np.flatnonzero(wanted(h))
             at = at[broken[at] == broken[at + k - 1]]
-            cls = np.where((nxt[at] == 10) | (nxt[at] == 0), 0, np.where(kind[at + k] <= 2, 1, 2))
+            end = _is_end(nxt[at])
+            if k == max(ORDERS):  # long ones tell lines that recur, also where the line's full stop is missing
+                end |= (nxt[at] == 46) & _is_end(codes[np.minimum(at + k + 1, len(codes) - 1)])
+            cls = np.where(end, 0, np.where(kind[at + k] <= 2, 1, 2))
             own, inverse = np.unique(h[at], return_inverse=True)
             got.append(own)
             follow.append(np.bincount(inverse * 3 + cls, minlength=3 * len(own)).reshape(-1, 3) if len(own) else np.zeros((0, 3), np.int64))
@@ -148,6 +156,8 @@ def shape(text: str, fenced: bool = False) -> str:
     last = lines[-1] if lines else ""
     if fenced:
         return "open"
+    if _GARBLED.search(last):
+        return "stopped"
     if _NOTE.search(last):
         return "note"
     if _OPEN_LINK.search(last) or (last.startswith("|") and not last.endswith("|")):
@@ -156,7 +166,7 @@ def shape(text: str, fenced: bool = False) -> str:
         return "short" if _SHORTENED.search(last) else "stopped"
     if _FURNITURE.match(last):
         return "furniture"
-    if _CLOSED.search(last) or _SIGNATURE.match(last) or _MENU.search(last) or cued(last) or _GARBLED.search(last):
+    if _CLOSED.search(last) or _SIGNATURE.match(last) or _MENU.search(last) or cued(last):
         return "closed"
     return "plain"
 
@@ -183,6 +193,8 @@ def _judge(c: dict) -> dict:
             why = "tokens"
         elif chars and n == chars or size and b == size:
             why = "limit"
+        elif how == "note" and (chars and n > chars - 48 or size and b > size - 48):
+            why = "limit"  # cut at a word before the limit
         elif (chars and n > chars - 24 or size and b > size - 4) and (how in ("note", "plain", "open") or how == "short" and low):
             why = "limit"
         elif how == "open":
