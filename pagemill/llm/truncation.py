@@ -12,7 +12,6 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagemill.llm.bodies import cued
 from pagemill.llm.common import by_batch, source_of
@@ -229,10 +228,9 @@ def cut_texts(pages: DataFrame, usage: DataFrame, models: DataFrame, key: str, p
     most = models.select(plain(F.col("name")).alias("model"), F.coalesce("max_tokens", F.lit(default_tokens)).alias("max_tokens")).groupBy("model").agg(F.max("max_tokens").alias("max_tokens"))
     calls = usage.filter("source_path is not null").groupBy("source_path", "page_number").agg(F.max_by(F.struct(plain(F.col("model_name")).alias("model"), "output_tokens"), F.struct("attempt", "output_tokens")).alias("c"))
     spent = calls.select(F.col("source_path").alias("path"), F.col("page_number").alias("page"), "c.*").join(most, "model").filter("output_tokens >= max_tokens").select("path", "page", F.lit(True).alias("full"))
-    # the text of the next page: one row per (document, page), then one step of a window over a document's pages
+    # the start of the next page by an equal join: a document of any length is spread over its pages
     once = sized.groupBy("path", "page").agg(F.count("*").alias("copies"), F.max("start").alias("start"))
-    after = once.withColumns({"next": F.lead("start").over(Window.partitionBy("path").orderBy("page")), "next_page": F.lead("page").over(Window.partitionBy("path").orderBy("page"))})
-    after = after.select("path", "page", F.when(F.col("next_page") == F.col("page") + 1, F.col("next")).alias("next")).filter("next is not null")
+    after = once.select("path", (F.col("page") - 1).alias("page"), F.col("start").alias("next"))
     alike = sized.select("key", "path", "page", "text").join(once.select("path", "page", "copies"), ["path", "page"])
     odds = log_odds(alike, full.filter(~F.col("wraps")), "key", "text", "copies")
     given = sized.join(odds, "key", "left").join(spent, ["path", "page"], "left").join(after, ["path", "page"], "left").join(cap, "source", "left")
