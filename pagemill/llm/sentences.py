@@ -176,7 +176,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
         elif bare[0] == "|" or (bare[0] == "#" and _HEADING.match(bare)):
             close()
             trimmed(at, at + len(line))
-        elif _ITEM.match(bare) and (first < 0 or listed):
+        elif _ITEM.match(bare) and (first < 0 or listed or bare[0] in "-*+•"):  # a number that opens a later line of a paragraph is no list
             close()
             listed = True
             trimmed(at, at + len(line))
