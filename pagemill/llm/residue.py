@@ -83,7 +83,7 @@ def simhashes(words: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _units(c: dict) -> dict:
-    rows, numbers, labels, nears, exacts, counts = [], [], [], [], [], []
+    rows, numbers, labels, nears, exacts, counts, own_words = [], [], [], [], [], [], []
     texts = [x or "" for x in c["text"].to_pylist()]
     for a, b in parts_of(texts):
         own, units, number = [], [], []
@@ -98,12 +98,15 @@ def _units(c: dict) -> dict:
         near, exact = simhashes(words, unit, len(units))
         rows += own
         numbers += number
-        labels += map(trusted, units)
+        sure = list(map(trusted, units))
+        labels += sure
+        at = np.searchsorted(unit, np.arange(len(units) + 1))
+        own_words += [words[at[k] : at[k + 1]].view(np.int64).tolist() if x else None for k, x in enumerate(sure)]
         nears.append(near)
         exacts.append(exact)
         counts.append(np.bincount(unit, minlength=len(units)))
     join = lambda v, t: np.concatenate(v).view(t) if v else np.zeros(0, t)
-    return {"tab": c["tab"].take(rows), "row": c["row"].take(rows), "part": c["part"].take(rows), "no": numbers, "label": labels, "near": join(nears, np.int64), "exact": join(exacts, np.int64), "words": join(counts, np.int64).astype(np.int32)}
+    return {"tab": c["tab"].take(rows), "row": c["row"].take(rows), "part": c["part"].take(rows), "no": numbers, "label": labels, "near": join(nears, np.int64), "exact": join(exacts, np.int64), "words": join(counts, np.int64).astype(np.int32), "other": own_words}
 
 
 def similarity(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
@@ -114,20 +117,16 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
 
 
 def _verify(c: dict) -> dict:
-    good = []
+    good, own = [], []
     for text, no, other in zip(c["text"].to_pylist(), c["no"].to_pylist(), c["other"].to_pylist()):
         a = words_of([units_of(text)[no]])[0]
         good.append(similarity(a, np.array(other, np.int64).view(np.uint64)) >= ALIKE)
+        own.append(a.view(np.int64).tolist())
     keep = np.flatnonzero(good)
-    return {k: c[k].take(keep) for k in ("tab", "row", "part", "no", "near", "exact")}
+    return {k: c[k].take(keep) for k in ("near", "exact")} | {"other": [own[k] for k in keep.tolist()]}
 
 
-def _with_words(c: dict) -> dict:
-    out = [words_of([units_of(t)[n]])[0].view(np.int64) for t, n in zip(c["text"].to_pylist(), c["no"].to_pylist())]
-    return {k: c[k] for k in ("near", "exact")} | {"other": out}
-
-
-_UNIT = "tab string, row bigint, part int, no int, near bigint, exact bigint"
+_FRONT = "near bigint, exact bigint, other array<bigint>"
 
 
 def residue_rows(texts: DataFrame, least_words: int = 5) -> DataFrame:
@@ -136,20 +135,20 @@ def residue_rows(texts: DataFrame, least_words: int = 5) -> DataFrame:
     One row may have several parts (columns). Null and empty texts give no row; repeated rows give one. Labels spread only over
     units of at least ``least_words`` words, which have a shingle; equal units of any length share their label.
     """
-    units = written(by_batch(texts.filter(F.length("text") > 0), "tab string, row bigint, part int, no int, label boolean, near bigint, exact bigint, words int", _units), "units")
-    one = F.min(F.struct("tab", "row", "part", "no", "near")).alias("u")
-    distinct = units.filter(F.col("words") >= least_words).groupBy("exact").agg(one, F.max("label").alias("label")).select("exact", "u.*", "label")
-    distinct = written(distinct, "distinct")
+    units = written(by_batch(texts.filter(F.length("text") > 0), "tab string, row bigint, part int, no int, label boolean, near bigint, exact bigint, words int, other array<bigint>", _units), "units")
+    long = units.filter(F.col("words") >= least_words)
+    front = written(long.filter("label").select("near", "exact", "other").dropDuplicates(["exact"]), "front")
+    # one row per distinct text that has no label yet, with one place where it stands
+    open_ = long.filter("NOT label").groupBy("exact").agg(F.min(F.struct("tab", "row", "part", "no", "near")).alias("u")).select("exact", "u.*")
+    open_ = written(open_.join(front.select("exact"), "exact", "left_anti"), "open")
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("near", 16 * i).bitwiseAND(0xFFFF).alias("bits")) for i in range(4)])).alias("t")
-    open_ = distinct.filter(~F.col("label"))
-    front = distinct.filter("label").select(*[x.split()[0] for x in _UNIT.split(", ")])
     found = [front.select("exact")]
     while True:
-        known = by_batch(front.join(texts, ["tab", "row", "part"]).select("near", "exact", "text", "no"), "near bigint, exact bigint, other array<bigint>", _with_words)
-        probe = known.select("near", "other", bands).select(F.col("near").alias("near2"), "other", "t.*")
+        probe = front.select("near", "other", bands).select(F.col("near").alias("near2"), "other", "t.*")
         pairs = open_.select("*", bands).select("*", "t.band", "t.bits").drop("t").join(probe, ["band", "bits"]).filter(F.bit_count(F.col("near").bitwiseXOR(F.col("near2"))) <= NEAR)
-        pairs = pairs.dropDuplicates(["exact", "near2"]).join(texts, ["tab", "row", "part"])
-        front = written(by_batch(pairs.select("tab", "row", "part", "no", "near", "exact", "text", "other"), _UNIT, _verify).dropDuplicates(["exact"]), "front")
+        # written first: few pairs meet the texts by a broadcast, many by a shuffle
+        pairs = written(pairs.drop("band", "bits").dropDuplicates(["exact", "near2", "other"]), "pairs").join(texts, ["tab", "row", "part"])
+        front = written(by_batch(pairs.select("near", "exact", "no", "text", "other"), _FRONT, _verify).dropDuplicates(["exact"]), "front")
         if front.isEmpty():
             break
         found.append(front.select("exact"))
@@ -157,5 +156,5 @@ def residue_rows(texts: DataFrame, least_words: int = 5) -> DataFrame:
     marked = found[0]
     for f in found[1:]:
         marked = marked.union(f)
-    spread = units.filter(F.col("words") >= least_words).join(marked.distinct(), "exact", "left_semi").select("tab", "row")
+    spread = long.join(marked.distinct(), "exact", "left_semi").select("tab", "row")
     return units.filter("label").select("tab", "row").union(spread).distinct()
