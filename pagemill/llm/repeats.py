@@ -121,13 +121,16 @@ def repeated_lines(df: DataFrame, key: str, path: str, text: str, least_pages: i
 
         given = full
     else:  # each page gets the frequent chunks of its source: at most a source's chunks per page over ``least_share``
-        given = full.join(frequent.groupBy("s").agg(F.collect_list("k").alias("ks")), "s")
+        # a source without any frequent chunk keeps its pages: their short lines go to the exact count
+        given = full.join(frequent.groupBy("s").agg(F.collect_list("k").alias("ks")), "s", "left")
 
         def known(k, c, a, b, page):
             out = np.zeros(len(k), bool)
             for p in np.unique(page).tolist():
-                at = page == p
-                out[at] = np.isin(k[at], c["ks"][a + p].values.to_numpy())
+                ks = c["ks"][a + p]
+                if ks.is_valid:
+                    at = page == p
+                    out[at] = np.isin(k[at], ks.values.to_numpy())
             return out
 
     found = written(by_batch(given, f"key {kind}, s bigint, line_no int, h bigint, first boolean", _candidates, known), "candidates")

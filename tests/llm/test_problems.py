@@ -169,6 +169,16 @@ def test_repeated_lines_equal_brute_force(spark):
     assert repeats.repeated_lines(df.limit(0), *args[1:]).count() == 0
 
 
+def test_sources_that_repeat_only_short_lines(spark, monkeypatch):
+    long = lambda k: " ".join("".join(random.Random(f"{k} {i}").choices("abcdefghij", k=7)) for i in range(40))
+    rows = [(f"web/short/p{k}", f"Share\n{long(k)}\nPrint") for k in range(8)] + [(f"web/long/p{k}", f"{long('same')}\n{long(k + 50)}") for k in range(8)]
+    df = spark.createDataFrame(pages_of(rows), PAGES)
+    want = {(i, n) for i, s, _, _ in pages_of(rows) for n in ((1, 3) if "short" in s else (1,))}
+    for most in (repeats.MOST, -1):
+        monkeypatch.setattr(repeats, "MOST", most)
+        assert {(r.page_id, r.line_no) for r in repeats.repeated_lines(df, "page_id", "source_path", "markdown").collect()} == want
+
+
 # 3
 def test_bodies(spark):
     menu = "* [Home](/home)\n* [Contact](/contact)"
