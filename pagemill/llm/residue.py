@@ -1,9 +1,10 @@
 """Problem 6: template residue, filler, error messages and script notices in place of content.
 
 A unit is a block of a text (code left out). Fixed rules label the units that certainly are residue. A 64-bit SimHash of every distinct unit goes
-into four tables by a quarter of its bits; labelled units look up their near-duplicates there, pairs are verified by Hamming distance and
+into four tables by a quarter of its bits; labelled units look up their near-duplicates there. What differs in more bits is found by a prefix
+filter: two units as similar as asked share one of the first shingles of both, in the order of their hashes. Pairs of either way are verified
 by the similarity of their five-word shingles, and labels spread until no unit of a component is left: only components that hold a
-trusted label are ever walked, and exact copies count as one unit.
+trusted label are ever walked, and exact copies count as one unit. Units without a shingle share labels when their signs are equal.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import by_batch
-from pagemill.llm.vectors import categories, codes_of, grams, mixed, parts_of, runs, slices
+from pagemill.llm.vectors import categories, codes_of, grams, mixed, parts_of, slices
 from pagemill.session import written
 
 #: Unfilled placeholders, wherever they stand outside code. Fixed values.
@@ -38,6 +39,8 @@ _FENCE = regex.compile(r"(?ms)^(`{3,}|~{3,})[^\n]*\n.*?(?:^\1[^\n]*$|\Z)")
 _SPAN = regex.compile(r"(`+)[^`\n]*\1")
 _BLANK = regex.compile(r"\n[^\S\n]*\n")
 NEAR, SHINGLE, ALIKE = 3, 5, 0.8
+#: Scripts that put no blanks between words: Thai to Lao, Burmese, Khmer, kana and Han. Fixed values.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
 
 
 def units_of(text: str) -> list[str]:
@@ -56,12 +59,44 @@ def trusted(unit: str) -> bool:
 
 
 def words_of(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of its unit) of every word made of letters; digits are slots."""
+    """(hash, index of its unit) of every word made of letters; digits are slots. In scripts without blanks every letter is a word."""
     codes = codes_of("\0".join(u.replace("\0", " ") for u in units).lower() + "\0")
-    begin, end = runs(categories()[codes] <= 1)
+    letter = categories()[codes] <= 1
+    alone = np.zeros(len(codes), bool)
+    high = np.flatnonzero(letter & (codes >= UNSPACED[0][0]))
+    for a, b in UNSPACED:
+        alone[high] |= (codes[high] >= a) & (codes[high] <= b)
+    edge = np.ones(len(codes), bool)
+    edge[1:] = ~letter[:-1] | alone[:-1] | alone[1:]  # a word that holds this sign begins here
+    begin = np.flatnonzero(letter & edge)
+    end = np.flatnonzero(letter & np.append(edge[1:] | ~letter[1:], True)) + 1
     return slices(codes, begin, end), np.searchsorted(np.flatnonzero(codes == 0), begin)
 
 
+def prefixes(words: np.ndarray, unit: np.ndarray, n: int) -> tuple[list, np.ndarray]:
+    """(the first shingles of every unit in the order of their hashes, number of its distinct shingles).
+
+    Of sets of which at least ``ALIKE`` is common, one of the first size - ceil(ALIKE * size) + 1 of either is among the first of the other.
+    """
+    whose, shingle = unit[: max(len(unit) - SHINGLE + 1, 0)], grams(words, SHINGLE)
+    inside = whose == unit[SHINGLE - 1 :]
+    whose, shingle = whose[inside], shingle[inside]
+    order = np.lexsort((shingle, whose))
+    whose, shingle = whose[order], shingle[order]
+    new = np.ones(len(whose), bool)
+    new[1:] = (np.diff(whose) != 0) | (shingle[1:] != shingle[:-1])
+    whose, shingle = whose[new], shingle[new].view(np.int64)
+    size = np.bincount(whose, minlength=n)
+    begin = np.cumsum(size) - size
+    most = size - np.ceil(ALIKE * size - 1e-9).astype(np.int64) + 1
+    return [shingle[a : a + k].tolist() if m else None for a, k, m in zip(begin.tolist(), most.tolist(), size.tolist())], size
+
+
+def short_key(unit: str) -> str:
+    """By what units without a shingle are equal: their signs, without case, outer emphasis, closing stops and the number of blanks."""
+    return " ".join(unit.lower().strip("*").rstrip(".!…*").split())
+
+
 def simhashes(words: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(SimHash of its words and word pairs, hash of its words in order) of every unit; 0 where it has no words."""
     pair = grams(words, 2)
@@ -83,7 +118,9 @@ def simhashes(words: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _units(c: dict) -> dict:
-    rows, numbers, labels, nears, exacts, counts, own_words = [], [], [], [], [], [], []
+    import xxhash
+
+    rows, numbers, labels, nears, exacts, counts, own_words, firsts, sizes, keys = [], [], [], [], [], [], [], [], [], []
     texts = [x or "" for x in c["text"].to_pylist()]
     for a, b in parts_of(texts):
         own, units, number = [], [], []
@@ -104,9 +141,15 @@ def _units(c: dict) -> dict:
         own_words += [words[at[k] : at[k + 1]].view(np.int64).tolist() if x else None for k, x in enumerate(sure)]
         nears.append(near)
         exacts.append(exact)
-        counts.append(np.bincount(unit, minlength=len(units)))
+        count = np.bincount(unit, minlength=len(units))
+        counts.append(count)
+        first, size = prefixes(words, unit, len(units))
+        firsts += first
+        sizes.append(size)
+        short = [short_key(x) if n < SHINGLE else "" for x, n in zip(units, count.tolist())]
+        keys += [xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in short]
     join = lambda v, t: np.concatenate(v).view(t) if v else np.zeros(0, t)
-    return {"tab": c["tab"].take(rows), "row": c["row"].take(rows), "part": c["part"].take(rows), "no": numbers, "label": labels, "near": join(nears, np.int64), "exact": join(exacts, np.int64), "words": join(counts, np.int64).astype(np.int32), "other": own_words}
+    return {"tab": c["tab"].take(rows), "row": c["row"].take(rows), "part": c["part"].take(rows), "no": numbers, "label": labels, "near": join(nears, np.int64), "exact": join(exacts, np.int64), "words": join(counts, np.int64).astype(np.int32), "other": own_words, "first": firsts, "size": join(sizes, np.int64).astype(np.int32), "short": keys}
 
 
 def similarity(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
@@ -117,44 +160,52 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
 
 
 def _verify(c: dict) -> dict:
-    good, own = [], []
-    for text, no, other in zip(c["text"].to_pylist(), c["no"].to_pylist(), c["other"].to_pylist()):
-        a = words_of([units_of(text)[no]])[0]
+    good, own, seen = [], [], {}
+    for text, no, exact, other in zip(c["text"].to_pylist(), c["no"].to_pylist(), c["exact"].to_pylist(), c["other"].to_pylist()):
+        if exact not in seen:
+            seen[exact] = words_of([units_of(text)[no]])[0]
+        a = seen[exact]
         good.append(similarity(a, np.array(other, np.int64).view(np.uint64)) >= ALIKE)
-        own.append(a.view(np.int64).tolist())
+        own.append(exact)
     keep = np.flatnonzero(good)
-    return {k: c[k].take(keep) for k in ("near", "exact")} | {"other": [own[k] for k in keep.tolist()]}
+    return {k: c[k].take(keep) for k in ("near", "exact", "first", "size")} | {"other": [seen[own[k]].view(np.int64).tolist() for k in keep.tolist()]}
 
 
-_FRONT = "near bigint, exact bigint, other array<bigint>"
+_FRONT = "near bigint, exact bigint, first array<bigint>, size int, other array<bigint>"
 
 
-def residue_rows(texts: DataFrame, least_words: int = 5) -> DataFrame:
+def residue_rows(texts: DataFrame, least_words: int = SHINGLE) -> DataFrame:
     """(tab, row) of the rows that hold residue, of ``texts`` (tab string, row bigint, part int, text string).
 
-    One row may have several parts (columns). Null and empty texts give no row; repeated rows give one. Labels spread only over
-    units of at least ``least_words`` words, which have a shingle; equal units of any length share their label.
+    One row may have several parts (columns). Null and empty texts give no row; repeated rows give one. Labels spread over all pairs of
+    units of at least ``least_words`` words that are similar enough; shorter units share them when they are equal.
     """
-    units = written(by_batch(texts.filter(F.length("text") > 0), "tab string, row bigint, part int, no int, label boolean, near bigint, exact bigint, words int, other array<bigint>", _units), "units")
+    schema = "tab string, row bigint, part int, no int, label boolean, near bigint, exact bigint, words int, other array<bigint>, first array<bigint>, size int, short bigint"
+    units = written(by_batch(texts.filter(F.length("text") > 0), schema, _units), "units")
     long = units.filter(F.col("words") >= least_words)
-    front = written(long.filter("label").select("near", "exact", "other").dropDuplicates(["exact"]), "front")
+    front = written(long.filter("label").select("near", "exact", "first", "size", "other").dropDuplicates(["exact"]), "front")
     # one row per distinct text that has no label yet, with one place where it stands
-    open_ = long.filter("NOT label").groupBy("exact").agg(F.min(F.struct("tab", "row", "part", "no", "near")).alias("u")).select("exact", "u.*")
+    open_ = long.filter("NOT label").groupBy("exact").agg(F.min(F.struct("tab", "row", "part", "no", "near", "size")).alias("u"), F.any_value("first").alias("first")).select("exact", "u.*", "first")
     open_ = written(open_.join(front.select("exact"), "exact", "left_anti"), "open")
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("near", 16 * i).bitwiseAND(0xFFFF).alias("bits")) for i in range(4)])).alias("t")
-    found = [front.select("exact")]
+    marked = front.select("exact")
+    place = ("exact", "tab", "row", "part", "no", "near", "size", "exact2")
+    # ``both`` shingles are common at least; one at places i and i2 leaves room for so many before and behind it
+    both = F.ceil((F.col("size") + F.col("size2")) * (ALIKE / (1 + ALIKE)) - 1e-9)
+    room = F.least("i", "i2") + 1 + F.least(F.col("size") - F.col("i"), F.col("size2") - F.col("i2")) - 1
     while True:
-        probe = front.select("near", "other", bands).select(F.col("near").alias("near2"), "other", "t.*")
-        pairs = open_.select("*", bands).select("*", "t.band", "t.bits").drop("t").join(probe, ["band", "bits"]).filter(F.bit_count(F.col("near").bitwiseXOR(F.col("near2"))) <= NEAR)
+        probe = front.select(F.col("near").alias("near2"), F.col("exact").alias("exact2"), bands, "near").select("near2", "exact2", "t.*")
+        pairs = open_.drop("first").select("*", bands).select("*", "t.band", "t.bits").drop("t").join(probe, ["band", "bits"]).filter(F.bit_count(F.col("near").bitwiseXOR(F.col("near2"))) <= NEAR).select(*place)
+        probe = front.select(F.col("exact").alias("exact2"), F.col("size").alias("size2"), F.posexplode("first").alias("i2", "shingle"))
+        more = open_.select(*place[:-1], F.posexplode("first").alias("i", "shingle")).join(probe, "shingle").filter(room >= both).select(*place)
         # written first: few pairs meet the texts by a broadcast, many by a shuffle
-        pairs = written(pairs.drop("band", "bits").dropDuplicates(["exact", "near2", "other"]), "pairs").join(texts, ["tab", "row", "part"])
-        front = written(by_batch(pairs.select("near", "exact", "no", "text", "other"), _FRONT, _verify).dropDuplicates(["exact"]), "front")
+        pairs = written(pairs.union(more).dropDuplicates(["exact", "exact2"]).join(marked, "exact", "left_anti"), "pairs")
+        pairs = pairs.join(front.select(F.col("exact").alias("exact2"), "other"), "exact2").join(texts, ["tab", "row", "part"]).join(open_.select("exact", "first"), "exact")
+        front = written(by_batch(pairs.select("near", "exact", "first", "size", "no", "text", "other"), _FRONT, _verify).dropDuplicates(["exact"]), "front")
         if front.isEmpty():
             break
-        found.append(front.select("exact"))
-        open_ = written(open_.join(front.select("exact"), "exact", "left_anti"), "open")
-    marked = found[0]
-    for f in found[1:]:
-        marked = marked.union(f)
+        marked = marked.union(front.select("exact"))
     spread = long.join(marked.distinct(), "exact", "left_semi").select("tab", "row")
-    return units.filter("label").select("tab", "row").union(spread).distinct()
+    short = units.filter(F.col("words") < least_words)
+    equal = short.filter("NOT label").join(short.filter("label").select("short").distinct(), "short", "left_semi").select("tab", "row")
+    return units.filter("label").select("tab", "row").union(spread).union(equal).distinct()

@@ -290,6 +290,31 @@ def test_labels_spread(spark):
     assert got == {i + 1 for i in reach}
 
 
+def test_labels_reach_all_alike_units(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    units = []
+    for size in (15, 20, 30, 40, 60):
+        for _ in range(12):
+            base = [word() for _ in range(size)]
+            units.append(f"TODO: {' '.join(base)}")
+            for _ in range(3):
+                base = [*base[: -rng.randint(1, 2)], word()]  # a chain of variants
+                units.append(" ".join(base))
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(40))
+    units += [f"TODO: {han}", f"{han[:-1]}们", han[::-1], "Forbidden", "**Forbidden.**", "Forbidden area", "# 404", "404"]
+    words, unit = residue.words_of(units)
+    own = [words[unit == i] for i in range(len(units))]
+    reach = front = {i for i, x in enumerate(units) if residue.trusted(x)}
+    while front:
+        front = {j for i in front for j in range(len(units)) if j not in reach and min(len(own[i]), len(own[j])) >= 5 and residue.similarity(own[i], own[j]) >= residue.ALIKE}
+        reach = reach | front
+    reach |= {units.index("**Forbidden.**")}
+    assert len(reach) > 150 and units.index(f"{han[:-1]}们") in reach and units.index("404") not in reach
+    df = spark.createDataFrame([("t", k, 0, x) for k, x in enumerate(units)], "tab string, row bigint, part int, text string")
+    assert {r.row for r in residue.residue_rows(df).collect()} == reach
+
+
 # 1
 def test_scans(spark):
     rng = random.Random(8)
