@@ -276,18 +276,43 @@ class Noise:
         return sure.union(misread).distinct().select(F.col("tab").alias("table_name"), F.col("row").alias("row_id"), F.col("kind").alias("noise"))
 
     def repaired(self) -> DataFrame:
-        """(page_id, source_path, page_number, text): every page as continuous paragraphs; null and empty pages stay so."""
-        known = self.known
+        """(page_id, source_path, page_number, text): every page as continuous paragraphs; null and empty pages stay so.
+
+        A word broken over two pages stands whole at the end of the first. Of a page's deliveries the one with the least key tells its halves.
+        """
+        known, keys = self.known, ["source_path", "page_number"]
         meant = self.rows.filter("tab = 'parsed_pages' AND kind = 'word'").join(self.links, "w").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("w", "c"))).alias("meant"))
         small = self.rows.filter("tab = 'text_blocks' AND kind = 'furniture'").groupBy("source_path", "page_number").agg(F.collect_set("w").alias("furniture"))
         p = self.pages.select("page_id", "source_path", "page_number", F.col("markdown").alias("text")).join(meant, F.col("page_id") == F.col("row"), "left").drop("row")
         p = p.join(small, ["source_path", "page_number"], "left").select("page_id", "source_path", "page_number", "text", "furniture", "meant")
 
+        def halves(c: dict) -> dict:
+            got = [ends_of(paragraphs(t, f, known.value[1])) for t, f in zip(c["text"].to_pylist(), c["furniture"].to_pylist())]
+            return {k: c[k] for k in ("page_id", *keys)} | {"head": [x[0] for x in got], "tail": [x[1] for x in got]}
+
+        full = p.filter((F.length("text") > 0) & F.col("source_path").isNotNull() & F.col("page_number").isNotNull())
+        ends = by_batch(full.select("page_id", *keys, "text", "furniture"), "page_id bigint, source_path string, page_number int, head string, tail string", halves)
+        ends = ends.groupBy(*keys).agg(F.min_by(F.struct("head", "tail"), "page_id").alias("e")).select(*keys, "e.*")
+        ends = written(ends.filter("head is not null or tail is not null"), "halves")
+        # equal joins to the pages around: a document of any length is spread over its pages
+        by = lambda step, col, name: ends.filter(F.col(col).isNotNull()).select("source_path", (F.col("page_number") + step).alias("page_number"), F.col(col).alias(name))
+        p = p.join(by(-1, "head", "after"), keys, "left").join(by(1, "tail", "before"), keys, "left").join(ends.select(*keys, F.col("head").alias("own")), keys, "left")
+
         def make(c: dict) -> dict:
-            return {k: c[k] for k in ("page_id", "source_path", "page_number")} | {"text": [t if not t else reflow(t, f, dict(m or ()), known.value[1]) for t, f, m in zip(c["text"].to_pylist(), c["furniture"].to_pylist(), c["meant"].to_pylist())]}
+            given = zip(*(c[k].to_pylist() for k in ("text", "furniture", "meant", "after", "before", "own")))
+            return {k: c[k] for k in ("page_id", *keys)} | {"text": [t if not t else reflow(t, f, dict(m or ()), known.value[1], after, before and own) for t, f, m, after, before, own in given]}
 
         return by_batch(p, "page_id bigint, source_path string, page_number int, text string", make)
 
+    def documents(self) -> DataFrame:
+        """(source_path, text): every document in the order of its pages, paragraphs that go on over pages as one. A page delivered several times
+        counts once; pages without a number come last."""
+        p = self.repaired().filter(F.col("source_path").isNotNull() & (F.length("text") > 0))
+        once = p.filter("page_number is not null").groupBy("source_path", "page_number").agg(F.min_by(F.struct("page_id", "text"), "page_id").alias("p")).select("source_path", "page_number", "p.*")
+        last = p.filter("page_number is null").select("source_path", F.lit(2**31 - 1).alias("page_number"), "page_id", "text")
+        gathered = once.union(last).groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "text"))).alias("pages"))
+        return by_batch(gathered, "source_path string, text string", lambda c: {"source_path": c["source_path"], "text": [continuous([x["text"] for x in pages]) for pages in c["pages"].to_pylist()]})
+
 
 def lines_of(boxes: list[dict]) -> list[tuple[list[tuple[list[int], str]], bool]]:
     """Lines of a page from its blocks in reading order: pieces (ids of equal deliveries, text), and whether the line is furniture: small, and
@@ -327,8 +352,14 @@ def body_lines(text: str, furniture: list[str] | None) -> tuple[list[str], list[
 _SPLIT = regex.compile(rf"([\p{{L}}\p{{M}}$@|\d]+)([{BREAKS}]) ?\n\s*(?=(\p{{L}}?[\p{{Ll}}\p{{M}}$@|\d]+))")
 
 
-def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compounds: frozenset = frozenset()) -> str:
-    """Paragraphs of a page without furniture and stray signs, broken words joined, misread words as meant. ``compounds`` keep their hyphen."""
+#: The half of a word that ends a page, and what may go on with it on the next.
+_TAIL = regex.compile(rf"([\p{{L}}\p{{M}}$@|\d]*[\p{{L}}\p{{M}}$@|])([{BREAKS}])$")
+_GOES_ON = regex.compile(r"(?:\p{Ll}|[$@|\d]\p{Ll})\S*")
+_SHAPED = regex.compile(r"^(?:\||#|[-*+]\s|\d+[.)]\s)", regex.M)
+
+
+def paragraphs(text: str, furniture: list[str] | None, compounds: frozenset) -> list[str]:
+    """Paragraphs of a page without furniture and stray signs, words broken over lines joined. ``compounds`` keep their hyphen."""
     _, edge = body_lines(text, furniture)
     drop = Counter(edge)
     kept = []
@@ -337,6 +368,37 @@ def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compou
             drop[line] -= 1
             continue
         kept.append(" ".join(t for t in line.split() if not is_stray(t)) if not line.lstrip().startswith("|") else line)
+    blocks = [_SPLIT.sub(lambda m: m[1] + hyphen(m[1], m[2], m[3], compounds), x) for x in regex.split(r"\n\s*\n", "\n".join(kept))]
+    return [x for x in (b.strip() if _SHAPED.search(b) else " ".join(b.split()) for b in blocks) if x]
+
+
+def hyphen(first: str, sign: str, second: str, compounds: frozenset) -> str:
+    """The hyphen that stays between two halves, if any."""
+    return "-" if sign == "-" and (f"{first}-{second}".lower() in compounds or first[-1].isdigit()) else ""
+
+
+def ends_of(blocks: list[str]) -> tuple[str | None, str | None]:
+    """(what may go on with a word of the page before, half of a word that ends this page); None where there is none."""
+    head, tail = (_GOES_ON.match(blocks[0]), _TAIL.search(blocks[-1])) if blocks else (None, None)
+    # a page that is nothing but a part of a word would be both
+    return (None, None) if head and head.end() == len(blocks[0]) and tail and len(blocks) == 1 else (head and head[0], tail and tail[0])
+
+
+def continuous(pages: list[str]) -> str:
+    """Pages as one text; a paragraph without its stop goes on with the next page if that begins in lower case."""
+    out = ""
+    for text in pages:
+        last = out.rpartition("\n\n")[2]
+        goes_on = bool(out) and regex.match(r"\p{Ll}", text) and not regex.search(r"[.!?…:;]\W*$", last) and not _SHAPED.search(last)
+        out += (" " if goes_on else "\n\n" if out else "") + text
+    return out
+
+
+def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compounds: frozenset = frozenset(), after: str | None = None, gone: str | None = None) -> str:
+    """Paragraphs of a page without furniture and stray signs, broken words joined, misread words as meant. ``compounds`` keep their hyphen.
+
+    ``after`` goes on with a word broken at the end of the page; the half ``gone`` at its beginning belongs to the page before.
+    """
 
     def fix(m: regex.Match) -> str:
         w = m[0].rstrip("!")
@@ -345,11 +407,11 @@ def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compou
             return m[0]
         return (to.upper() if w.isupper() and len(w) > 1 else to.capitalize() if w[:1].isupper() or w[:1] in "870510" and m.start() and m.string[m.start() - 1] in " \n“«„(" and to != w.lower() and w[:1] in "87" else to) + m[0][len(w) :]
 
-    out = []
-    for block in regex.split(r"\n\s*\n", "\n".join(kept)):
-        joined = _SPLIT.sub(lambda m: m[1] + ("-" if m[2] == "-" and (f"{m[1]}-{m[3]}".lower() in compounds or m[1][-1].isdigit()) else ""), block)
-        if regex.search(r"^(?:\||#|[-*+]\s|\d+[.)]\s)", joined, flags=regex.M):
-            out.append(_WORD.sub(fix, joined).strip())
-        else:
-            out.append(_WORD.sub(fix, " ".join(joined.split())))
-    return "\n\n".join(x for x in out if x)
+    blocks = paragraphs(text, furniture, compounds)
+    head, _ = ends_of(blocks)
+    if blocks and after and (m := _TAIL.search(blocks[-1])) and ends_of(blocks)[1]:
+        second = _HEAD.match(after)
+        blocks[-1] = blocks[-1][: m.end(1)] + hyphen(m[1], m[2], second[0] if second else "", compounds) + after
+    if gone and head == gone:
+        blocks[0] = blocks[0][len(gone) :].lstrip()
+    return "\n\n".join(x for x in (_WORD.sub(fix, b).strip() for b in blocks) if x)

@@ -347,6 +347,18 @@ def test_scans(spark):
     assert "receipt" in fixed[2] and "^" not in fixed[2] and "County" not in fixed[2]
 
 
+def test_words_broken_over_pages(spark):
+    texts = {1: "the harbour opens for exam-", 2: "ple, and the viaduct has a cross-", 3: "border pier without a led-\nger.", 4: "ending-", 5: "Title of a page", 7: "and-"}
+    p = spark.createDataFrame([(n, "scan/a/b.pdf", n, x) for n, x in texts.items()] + [(12, "scan/a/b.pdf", 2, texts[2]), (20, "scan/a/c.pdf", None, "lower")], PAGES)
+    b = spark.createDataFrame([], "block_id bigint, source_path string, page_number int, x_min double, y_min double, x_max double, y_max double, text string")
+    every = spark.createDataFrame([("cross-border",)] * 30, "text string").union(p.select("markdown"))
+    noise = scans.Noise(b, p, every)
+    fixed = {r.page_id: r.text for r in noise.repaired().collect()}
+    assert fixed == {1: "the harbour opens for example,", 2: "and the viaduct has a cross-border", 12: "and the viaduct has a cross-border", 3: "pier without a ledger.", 4: "ending-", 5: "Title of a page", 7: "and-", 20: "lower"}
+    documents = {r.source_path: r.text for r in noise.documents().collect()}
+    assert documents["scan/a/b.pdf"].startswith("the harbour opens for example, and the viaduct has a cross-border pier without a ledger.\n\nending-")
+
+
 def test_edits():
     assert {"the", "tie"} <= scans.edits("tlie") | scans.edits("tle") and "board" in scans.edits("b0ard") and "reservoir" in scans.edits("rcservoir") and "was" in scans.edits("vva$")
 
