@@ -182,10 +182,20 @@ _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Thai}]")
 _CAPITAL = regex.compile(r"^[\"'“„«‘(]?\p{Lu}")
 
 
+#: What Python takes for blank.
+_BLANKS = "".join(x for x in map(chr, range(0x3001)) if x.isspace())
+
+
+def _shaped(c: dict) -> dict:
+    """The shape of each text by its whole last line, and whether that reads like a sentence; only these go on."""
+    lines = c["line"].to_pylist()
+    hows = [shape(x, n % 2 == 1) for x, n in zip(lines, c["fences"].to_pylist())]
+    return {k: v for k, v in c.items() if k not in ("line", "fences")} | {"how": hows, "sentence": [how == "plain" and _sentence(x) for how, x in zip(hows, lines)]}
+
+
 def _judge(c: dict) -> dict:
     out = []
-    for t, fences, odds, into, n, b, chars, size, following, wraps, tokens in zip(*(c[k].to_pylist() for k in ("text", "fences", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full"))):
-        how = shape(t, fences % 2 == 1)
+    for how, sentence, odds, into, n, b, chars, size, following, wraps, tokens in zip(*(c[k].to_pylist() for k in ("how", "sentence", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full"))):
         low = odds is not None and odds < THRESHOLDS[("", "markdown")]
         why = None
         if tokens:
@@ -198,7 +208,7 @@ def _judge(c: dict) -> dict:
             why = "limit"
         elif how == "open":
             why = "transfer"
-        elif not wraps and how == "plain" and (low or odds is not None and odds < -1 and into > 0 or (odds is None or odds < -1) and _sentence(t.rstrip().split("\n")[-1])):
+        elif not wraps and how == "plain" and (low or odds is not None and odds < -1 and into > 0 or (odds is None or odds < -1) and sentence):
             why = "transfer"
         elif not wraps and low and (how == "short" or how == "closed" and into is not None and into > 2.5):
             why = "transfer"
@@ -220,9 +230,11 @@ def cut_texts(pages: DataFrame, usage: DataFrame, models: DataFrame, key: str, p
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(number).alias("page"), F.col(text).alias("text"), wrapped.alias("wraps")).withColumn("source", source_of(F.col("path")))
     full = rows.filter(F.trim(F.col("text"), F.lit(" \t\n")) != "")
-    # only the ends of texts go through the joins
-    sized = full.select("key", "path", "page", "source", "wraps", F.substring("text", -600, 600).alias("text"), F.substring(F.ltrim("text"), 1, 64).alias("start"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.regexp_count("text", F.lit(r"(?m)^```")).alias("fences"))
-    sized = written(sized, "ends")
+    # only the ends of texts go through the joins, with the shape of the whole last line
+    line = F.substring_index(F.rtrim(F.col("text"), F.lit(_BLANKS)), "\n", -1).alias("line")
+    sized = full.select("key", "path", "page", "source", "wraps", line, F.substring("text", -600, 600).alias("text"), F.substring(F.ltrim("text"), 1, 64).alias("start"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.regexp_count("text", F.lit(r"(?m)^```")).alias("fences"))
+    schema = f"key {kind}, path string, page {pages.schema[number].dataType.simpleString()}, source string, wraps boolean, text string, start string, chars int, bytes int, how string, sentence boolean"
+    sized = written(by_batch(sized, schema, _shaped), "ends")
     cap = limits(sized.select("source", "chars", "bytes"))
     plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[_ ]+", "-")
     most = models.select(plain(F.col("name")).alias("model"), F.coalesce("max_tokens", F.lit(default_tokens)).alias("max_tokens")).groupBy("model").agg(F.max("max_tokens").alias("max_tokens"))
@@ -234,7 +246,7 @@ def cut_texts(pages: DataFrame, usage: DataFrame, models: DataFrame, key: str, p
     alike = sized.select("key", "path", "page", "text").join(once.select("path", "page", "copies"), ["path", "page"])
     odds = log_odds(alike, full.filter(~F.col("wraps")), "key", "text", "copies")
     given = sized.join(odds, "key", "left").join(spent, ["path", "page"], "left").join(after, ["path", "page"], "left").join(cap, "source", "left")
-    given = given.select("key", "source", "text", "fences", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full")
+    given = given.select("key", "source", "how", "sentence", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full")
     judged = by_batch(given, f"key {kind}, source string, cause string", _judge)
     blank = rows.filter(F.col("text").isNull() | (F.trim(F.col("text"), F.lit(" \t\n")) == "")).select("key", "source", F.lit(None).cast("string").alias("cause"))
     return judged.union(blank).withColumnRenamed("key", key)

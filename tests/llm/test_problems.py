@@ -231,6 +231,15 @@ CLEAN = {
 }
 
 
+def test_long_last_lines(spark):
+    rows = [("web/a/1", 1, "Intro.\n\n| " + "cell text | " * 80 + "half a ce"), ("web/a/2", 1, "See [the report](http://u/" + "x" * 700), ("web/a/3", 1, "Words that stop. " * 60), ("web/a/4", 1, "The " + "quiet harbour lies beyond " * 40 + "the old mill and")]
+    pages = spark.createDataFrame([(k, p, n, t) for k, (p, n, t) in enumerate(rows)], PAGES)
+    usage = spark.createDataFrame([], "source_path string, page_number int, model_name string, attempt int, output_tokens bigint")
+    models = spark.createDataFrame([], "name string, max_tokens int")
+    got = truncation.cut_texts(pages, usage, models, "page_id", "source_path", "page_number", "markdown", F.lit(False)).collect()
+    assert {r.page_id: r.cause for r in got} == {0: "transfer", 1: "transfer", 2: None, 3: "transfer"}
+
+
 @pytest.fixture(scope="module")
 def judge():
     import zstandard
