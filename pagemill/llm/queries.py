@@ -72,7 +72,7 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d, "web", "vlm", "lib")
-    return encodings.repaired(pages, "page_id", "markdown", encodings.dictionaries(pages, "page_id", "markdown"))
+    return encodings.repaired(pages, "page_id", "markdown", encodings.trained(pages, "page_id", "markdown"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -266,8 +266,24 @@ def test_repair_leaves_clean_texts(judge):
 
 def test_repaired_rows(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (2, "x")], "k bigint, t string")
-    assert [(r.k, r.t, r.garbled) for r in encodings.repaired(df, "k", "t", {}).collect()] == [(1, None, False), (1, "", False), (2, "x", False)]
-    assert encodings.dictionaries(df, "k", "t") == {}
+    assert [(r.k, r.t, r.garbled) for r in encodings.repaired(df, "k", "t", encodings.trained(df, "k", "t")).collect()] == [(1, None, False), (1, "", False), (2, "x", False)]
+    assert encodings.trained(df, "k", "t").dictionaries == {}
+
+
+def test_repair_of_double_faults_and_rare_languages(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.sample((v := CLEAN[k]).split(), len(v.split())) if " " in CLEAN[k] else [CLEAN[k]])) for i, k in enumerate(["en"] * 900 + ["ru"] * 40 + ["de"] * 30)]
+    rows += [(2000 + i, f"Malgré le délai, Nora a noté l’écart n° {i} à la porte, où les dépôts sont.") for i in range(4)]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    learnt = encodings.trained(df, "k", "t")
+    assert {"en", "ru", "de", "fr"} <= set(learnt.dictionaries)  # also the language of few rows
+    judge = encodings.Judge(learnt.dictionaries, learnt.usual)
+    twice = CLEAN["ru"].encode("cp1251").decode("latin-1").encode().decode("cp1252", "replace")
+    assert "\ufffd" in twice or encodings.repair(twice, judge)[0] == CLEAN["ru"]
+    other = "проверены все старые акты".encode("cp1251").decode("latin-1").encode().decode("latin-1")
+    assert encodings.repair(other, judge)[0] == "проверены все старые акты"
+    without = encodings.Judge({k: v for k, v in learnt.dictionaries.items() if k != "fr"}, learnt.usual)
+    assert encodings.repair(rows[-1][1], without) == (rows[-1][1], False, False)
 
 
 # 6
