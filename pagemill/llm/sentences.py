@@ -7,6 +7,7 @@ pattern of the script ends, so text without stops costs one search.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import regex
@@ -51,6 +52,10 @@ CANDIDATES = {
 }
 CANDIDATES["cyrillic"] = CANDIDATES["latin"]
 
+#: Quotation marks that open, with those that close them, by family: a mark of a family ends the quotation before it.
+FAMILIES = {"latin": ({"“": "”", "„": "“”"}, {"«": "»"}), "cjk": ({"“": "”」』", "「": "”」』", "『": "”」』"},)}
+#: The rule that no sentence ends at a stop within a quotation, however long; where quotations lie is found by one pass over the paragraph.
+QUOTED = (False, "quoted", "")
 #: Rules of one language; they come before those of the script.
 LANGUAGE = {
     "de": [(False, r"(?<![\p{L}\d.,-])\d{1,2}\.[*_]*", r"\s+[*_]*\p{L}")],
@@ -63,7 +68,7 @@ SCRIPT = {
         (False, r"[。！？!?][」』”]", r"\s*(?:と|って|[、，。,])"),
         (True, r"[：:]\s*[“「『][^“”「」『』]*[。！？!?…][”」』]", ""),
         (False, r"(?:^|[。！？”」』])\s*[“「『][^“”「」『』]*[。！？!?…][”」』]", r"\s*[^\s“「『]"),
-        (False, r"[“「『][^“”「」『』]*[。！？!?…]", r"[^“”「」『』]*[”」』]"),
+        QUOTED,
         (False, r"(?<![\p{Latin}\d])\p{Lu}\.", r"\s+\p{Lu}"),
     ],
     "thai": [
@@ -80,9 +85,7 @@ GENERAL = [
     (True, rf"[:：]\s*[{OPEN}][^“”«»„\"]*[.!?…؟।]\s?[”»“\"]", r"\s"),
     (False, r"[.!?…؟।]\s?[”»“\"’]", r"\s+(?:[—–-]\s*)?\p{Ll}"),
     (False, r"[.!?…؟।]\s?[”»“\"’]", r"\s+[—–-]\s"),
-    (False, r"“[^“”„]{0,600}[.!?…]", r"\s[^“”]{0,600}”"),
-    (False, r"«[^«»]{0,600}[.!?…]", r"\s[^«»]{0,600}»"),
-    (False, r"„[^“”„]{0,600}[.!?…]", r"\s[^“”„]{0,600}[“”]"),
+    QUOTED,
     (True, rf"(?i:(?<![\p{{L}}\d])(?:{ENDING})\.)", r"\s+(?!\p{Ll})"),
     (False, r"(?i:(?<![\p{L}\d])[ap]\.\s?m\.)", r"\s+\p{Ll}"),
     (False, r"(?i:(?<![\p{L}\d])no\.)", r"\s+\d"),
@@ -102,17 +105,56 @@ _SMALL = {k: frozenset(v.split()) for k, v in SMALL.items()}
 
 
 @lru_cache(None)
-def rules(language: str, script: str, cased: bool) -> regex.Pattern:
-    """The cascade of one kind of paragraph as one pattern that matches at a place: its alternatives are tried in order, and the
-    first that holds is named ``y`` (break) or ``n``."""
+def rules(language: str, script: str, cased: bool) -> tuple[regex.Pattern | None, ...]:
+    """The cascade of one kind of paragraph as patterns that match at a place: their alternatives are tried in order, and the first that
+    holds is named ``y`` (break) or ``n``. None stands for ``QUOTED``."""
     also = ("_", "en", "de", "fr", "es", "pt") if script == "latin" else ("_", language)  # short texts hardly tell Latin languages apart
     words = sorted({w for k in also for w in ABBREVIATIONS.get(k, "").split()}, key=lambda w: (-len(w), w))
     short = [(False, rf"(?i:(?<![\p{{L}}\p{{M}}\d])(?:{'|'.join(regex.escape(w).replace('\\.', '\\.\\s?') for w in words)})\.)", r"\s")]
     table = LANGUAGE.get(language, []) + SCRIPT.get(script, [])
     if script not in ("cjk", "thai"):
-        table = table + GENERAL[:8] + short + GENERAL[8:] + CASED * cased
-    own = [(yes, (f"(?<={before})" if before else "") + f"(?={after})") for yes, before, after in table]
-    return regex.compile("|".join(f"{p}(?P<{'ny'[yes]}{i}>)" for i, (yes, p) in enumerate(own)))
+        table = table + GENERAL[:6] + short + GENERAL[6:] + CASED * cased
+    out: list[list] = [[]]
+    for rule in table:
+        out += [None, []] if rule is QUOTED else []
+        if rule is not QUOTED:
+            yes, before, after = rule
+            out[-1].append((f"(?<={before})" if before else "") + f"(?={after})(?P<{'ny'[yes]}{len(out[-1])}>)")
+    return tuple(p and regex.compile("|".join(p)) for p in out if p or p is None)
+
+
+class Quotations:
+    """Where the quotations of a paragraph lie, from one pass over its marks."""
+
+    def __init__(self, text: str, script: str):
+        self.text, self.stops = text, "。！？!?…" if script == "cjk" else ".!?…"
+        self.families = []
+        for closing in FAMILIES["cjk" if script == "cjk" else "latin"]:
+            marks = "".join(closing) + "".join(closing.values())
+            at = [m.start() for m in regex.finditer(f"[{marks}]", text)]
+            if at:
+                self.families.append((closing, at))
+
+    def __contains__(self, at: int) -> bool:
+        """Whether a stop before ``at`` stands within a quotation."""
+        if self.text[at - 1] not in self.stops:
+            return False
+        for closing, marks in self.families:
+            k = bisect_left(marks, at)
+            if 0 < k < len(marks) and self.text[marks[k]] in closing.get(self.text[marks[k - 1]], ""):
+                return True
+        return False
+
+
+def breaks(text: str, at: int, cascade: tuple, quoted: Quotations) -> bool:
+    """Whether a sentence ends at a candidate place: what the first rule says that holds, else yes."""
+    for pattern in cascade:
+        if pattern is None:
+            if at in quoted:
+                return False
+        elif first := pattern.match(text, at):
+            return first.lastgroup[0] == "y"
+    return True
 
 
 def kind_of(text: str) -> tuple[str, str]:
@@ -133,11 +175,11 @@ _FIND = {k: regex.compile(v) for k, v in CANDIDATES.items()}
 def sentences(text: str) -> list[tuple[int, int]]:
     """The sentences of one paragraph."""
     language, script = kind_of(text)
-    decide = rules(language, script, bool(_BIG.search(text)))
+    cascade, quoted = rules(language, script, bool(_BIG.search(text))), Quotations(text, script)
     out, begin = [], 0
     for m in _FIND[script].finditer(text):
         at = m.end()
-        if at > begin and ((first := decide.match(text, at)) is None or first.lastgroup[0] == "y"):
+        if at > begin and breaks(text, at, cascade, quoted):
             out.append((begin, at))
             begin = at
     out.append((begin, len(text)))

@@ -113,6 +113,19 @@ SENTENCES = [
 ]
 
 
+def test_long_quotations_and_paragraphs():
+    import time
+
+    for open_, close in ("“”", "«»", "„“"):
+        text = open_ + "He sold the old pier to them. " * 40 + close + " said Pico. Then he left."
+        assert len(text) > 1200 and len(sentences.units(text)) == 2
+    assert len(sentences.units("“He sold it. She left. Who knows?")) == 3  # never closed
+    begin = time.process_time()
+    assert len(sentences.units("図面を承認しないでください！" * 6000)) == 6000
+    assert len(sentences.units("「" + "図面を承認しない。" * 9000 + "」と言った。")) == 1
+    assert time.process_time() - begin < 5
+
+
 @pytest.mark.parametrize("text,n", SENTENCES)
 def test_sentences(text, n):
     assert len(sentences.units(text)) == n, [text[a:b] for a, b in sentences.units(text)]
