@@ -1,7 +1,8 @@
 """Problem 6: template residue, filler, error messages and script notices in place of content.
 
-A unit is a block of a text (code left out). Fixed rules label the units that certainly are residue. A 64-bit SimHash of every distinct unit goes
-into four tables by a quarter of its bits; labelled units look up their near-duplicates there. What differs in more bits is found by a prefix
+A unit is a block of a text (code left out). Fixed rules label the units that certainly are residue. Messages and templates come with other
+words in their slots ("log in again to read the ..."), so words that a set share of all units hold are one sign, a slot, wherever rarer words
+carry a unit: all fillings of a template are one unit then. A 64-bit SimHash of every distinct unit goes into four tables by a quarter of its bits; labelled units look up their near-duplicates there. What differs in more bits is found by a prefix
 filter: two units as similar as asked share one of the first shingles of both, in the order of their hashes. Pairs of either way are verified
 by the similarity of their five-word shingles, and labels spread until no unit of a component is left: only components that hold a
 trusted label are ever walked, and exact copies count as one unit. Units without a shingle share labels when their signs are equal.
@@ -19,7 +20,7 @@ from pagemill.llm.vectors import categories, codes_of, grams, mixed, parts_of, s
 from pagemill.session import written
 
 #: Unfilled placeholders, wherever they stand outside code. Fixed values.
-PLACEHOLDERS = r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{1,120}%\}|\$\{[^{}\n]{1,80}\}|%\(\w+\)[sd]|<%[^%\n]{1,80}%>|<<\p{Lu}[\p{Lu}\d_]+>>|\[\[[\w .-]+\|[\w .-]+\]\]|__\p{Lu}[\p{Lu}\d]*(?:_[\p{Lu}\d]+)+__|<!--\s*FPE_IMG:[^\n]*?-->|FPE_IMG:p\{|<!--\s*placeholder\s*-->|@@\w+@@|\{\w*(?:name|title|number|idx|page)\w*\}"
+PLACEHOLDERS = r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{1,120}%\}|\$\{[^{}\n]{1,80}\}|%\(\w+\)[sd]|<%[^%\n]{1,80}%>|<<\p{Lu}[\p{Lu}\d_]+>>|\[\[[\w .-]+\|[\w .-]+\]\]|__\p{Lu}[\p{Lu}\d]*(?:_[\p{Lu}\d]+)+__|<!--\s*FPE_IMG:[^\n]*?-->|FPE_IMG:p\{|<!--\s*placeholder\s*-->|@@\w+@@|\{\w*(?:name|title|number|idx|page)\w*\}|(?<![\w$\\{])\{\d\}|\[(?i:(?:first|last|full|your|customer|client|user|company)\s?name|date|title|address)\]|#(?:REF!|NAME\?|VALUE!|DIV/0!|NULL!)|\bdd[/.]mm[/.]yyyy\b|\b[xX]{6,}\b"
 #: What a whole unit that is residue looks like from its start. Fixed values.
 WHOLE = (
     r"lorem\s+ipsum\b|(?:TODO|TBD|FIXME|XXX)\b\s*[:—–-]|\[(?:insert|describe|add|enter|your|type|placeholder)\b[^\]\n]{0,80}\]$|undefined$|null$|nan$|n/a$|<alt text>$|\[object object\]$"
@@ -30,6 +31,12 @@ WHOLE = (
     r"|#*\s*checking\s+your\s+browser\b|you\s+do\s+not\s+have\s+(?:leave|permission)\s+to\b|i\s+(?:cannot|can't|can’t|am unable to)\s+see\s+any\b|<!--\s*page\b[^\n]*\b(?:failed|error)\b[^\n]*-->"
     r"|(?:you\s+need\s+to|please|bitte|veuillez|por\s+favor)?[^.\n]{0,30}\b(?:enable|turn\s+on|aktivieren|activez|activer|active|habilite|ative|включите|启用|有効に)\b[^.\n]{0,40}\b(?:java\s?script|scripts)\b|java\s?script\s+(?:must|muss|doit|debe|deve|is\s+(?:required|disabled))|noscript\b|включите\s+javascript|请启用\s?javascript|javascript\s?を有効"
 )
+#: Words of the customary Latin filler. Fixed values.
+FILLER = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in"
+    " reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum aenean porta vel sodales tempus eget metus risus nunc orci quam"
+    " pellentesque habitant morbi tristique senectus netus malesuada fames ac turpis egestas vestibulum tortor feugiat vitae ultricies mauris placerat eleifend leo maecenas viverra justo phasellus donec curabitur integer suspendisse vivamus praesent".split()
+)
 _PLACEHOLDER = regex.compile(PLACEHOLDERS)
 _WHOLE = regex.compile(rf"(?i)\s*(?:[*_>]+\s*)?(?:{WHOLE})")
 _LATER = regex.compile(r"(?i)javascript|scripts")
@@ -39,6 +46,10 @@ _FENCE = regex.compile(r"(?ms)^(`{3,}|~{3,})[^\n]*\n.*?(?:^\1[^\n]*$|\Z)")
 _SPAN = regex.compile(r"(`+)[^`\n]*\1")
 _BLANK = regex.compile(r"\n[^\S\n]*\n")
 NEAR, SHINGLE, ALIKE = 3, 5, 0.8
+#: Words that this share of all units holds are ordinary: at most (mean words of a unit) / share of them. Where at least ``RARE`` other words and this
+#: part of a unit are not, ordinary words are slots.
+ORDINARY, RARE, PART = 0.002, 3, 0.25
+SLOT = np.uint64(1)
 #: Scripts that put no blanks between words: Thai to Lao, Burmese, Khmer, kana and Han. Fixed values.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
 
@@ -52,9 +63,11 @@ def units_of(text: str) -> list[str]:
 
 def trusted(unit: str) -> bool:
     """Whether a unit surely is residue."""
-    if any(x in unit for x in "{<$%[_@") or "FPE_IMG" in unit:
+    if any(x in unit for x in "{<$%[_@#") or "FPE_IMG" in unit or "xxxxxx" in unit.lower() or "yyyy" in unit:
         if _PLACEHOLDER.search(unit) and not (_ABOUT.search(_PLACEHOLDER.sub(" ", unit))):
             return True
+    if len(unit) > 30 and len(words := regex.findall(r"\p{L}+", unit.lower())) > 5 and sum(map(FILLER.__contains__, words)) >= ALIKE * len(words):
+        return True
     return bool(_WHOLE.match(unit)) and not (_LATER.search(unit) and _ABOUT.search(unit))
 
 
@@ -73,6 +86,17 @@ def words_of(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return slices(codes, begin, end), np.searchsorted(np.flatnonzero(codes == 0), begin)
 
 
+def slotted(words: np.ndarray, unit: np.ndarray, n: int, ordinary: np.ndarray) -> np.ndarray:
+    """Words with a slot for the ordinary ones of every unit that rarer words carry."""
+    if not len(words) or not len(ordinary):
+        return words
+    at = np.minimum(np.searchsorted(ordinary, words), len(ordinary) - 1)
+    usual = ordinary[at] == words
+    rare, size = np.bincount(unit[~usual], minlength=n), np.bincount(unit, minlength=n)
+    carried = (rare >= RARE) & (rare >= PART * size)
+    return np.where(usual & carried[unit], SLOT, words)
+
+
 def prefixes(words: np.ndarray, unit: np.ndarray, n: int) -> tuple[list, np.ndarray]:
     """(the first shingles of every unit in the order of their hashes, number of its distinct shingles).
 
@@ -117,7 +141,30 @@ def simhashes(words: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray,
     return near, exact
 
 
-def _units(c: dict) -> dict:
+def _count(c: dict) -> dict:
+    """In how many units of a batch each word stands, and how many units there are (as word 0)."""
+    texts = [x or "" for x in c["text"].to_pylist()]
+    keys, total = [np.zeros(0, np.uint64)], 0
+    for a, b in parts_of(texts):
+        units = [u for t in texts[a:b] for u in units_of(t)]
+        words, unit = words_of(units)
+        total += len(units)
+        keys.append(words[np.unique(mixed(words) ^ unit.astype(np.uint64), return_index=True)[1]])
+    h, n = np.unique(np.concatenate(keys), return_counts=True)
+    return {"h": np.append(h, np.uint64(0)).view(np.int64), "n": np.append(n, total).astype(np.int64)}
+
+
+def ordinary_words(texts: DataFrame, share: float = ORDINARY) -> np.ndarray:
+    """Hashes of the words that at least ``share`` of all units hold, sorted; a small corpus has none."""
+    counted = by_batch(texts.select("text"), "h bigint, n bigint", _count).groupBy("h").agg(F.sum("n").alias("n"))
+    counted = written(counted, "ordinary")
+    total = counted.filter("h = 0").select("n").first()
+    if total is None or total.n * share < 20:
+        return np.zeros(0, np.uint64)
+    return np.sort(np.array(counted.filter((F.col("n") >= total.n * share) & (F.col("h") != 0)).select("h").toArrow()["h"], dtype=np.int64).view(np.uint64))
+
+
+def _units(c: dict, usual) -> dict:
     import xxhash
 
     rows, numbers, labels, nears, exacts, counts, own_words, firsts, sizes, keys = [], [], [], [], [], [], [], [], [], []
@@ -132,6 +179,7 @@ def _units(c: dict) -> dict:
         if not units:
             continue
         words, unit = words_of(units)
+        words = slotted(words, unit, len(units), usual.value)
         near, exact = simhashes(words, unit, len(units))
         rows += own
         numbers += number
@@ -159,11 +207,12 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
     return len(x & y) / max(len(x | y), 1)
 
 
-def _verify(c: dict) -> dict:
+def _verify(c: dict, usual) -> dict:
     good, own, seen = [], [], {}
     for text, no, exact, other in zip(c["text"].to_pylist(), c["no"].to_pylist(), c["exact"].to_pylist(), c["other"].to_pylist()):
         if exact not in seen:
-            seen[exact] = words_of([units_of(text)[no]])[0]
+            words, unit = words_of([units_of(text)[no]])
+            seen[exact] = slotted(words, unit, 1, usual.value)
         a = seen[exact]
         good.append(similarity(a, np.array(other, np.int64).view(np.uint64)) >= ALIKE)
         own.append(exact)
@@ -174,14 +223,21 @@ def _verify(c: dict) -> dict:
 _FRONT = "near bigint, exact bigint, first array<bigint>, size int, other array<bigint>"
 
 
-def residue_rows(texts: DataFrame, least_words: int = SHINGLE) -> DataFrame:
+def residue_rows(texts: DataFrame, least_words: int = SHINGLE, share: float = ORDINARY, trust: float = 1.0) -> DataFrame:
     """(tab, row) of the rows that hold residue, of ``texts`` (tab string, row bigint, part int, text string).
 
     One row may have several parts (columns). Null and empty texts give no row; repeated rows give one. Labels spread over all pairs of
-    units of at least ``least_words`` words that are similar enough; shorter units share them when they are equal.
+    units of at least ``least_words`` words that are similar enough; shorter units share them when they are equal. With ``trust`` below 1 the
+    fixed rules label only that share of the rows, to measure what spreading finds by itself. Words of at least ``share`` of all units may be slots.
     """
     schema = "tab string, row bigint, part int, no int, label boolean, near bigint, exact bigint, words int, other array<bigint>, first array<bigint>, size int, short bigint"
-    units = written(by_batch(texts.filter(F.length("text") > 0), schema, _units), "units")
+    full = texts.filter(F.length("text") > 0)
+    usual = texts.sparkSession.sparkContext.broadcast(ordinary_words(full, share))
+    units = by_batch(full, schema, _units, usual)
+    if trust < 1:
+        units = units.withColumn("label", F.col("label") & (F.pmod(F.xxhash64("tab", "row"), F.lit(1000)) < trust * 1000))
+        units = units.withColumn("other", F.when(F.col("label"), F.col("other")))
+    units = written(units, "units")
     long = units.filter(F.col("words") >= least_words)
     front = written(long.filter("label").select("near", "exact", "first", "size", "other").dropDuplicates(["exact"]), "front")
     # one row per distinct text that has no label yet, with one place where it stands
@@ -201,7 +257,7 @@ def residue_rows(texts: DataFrame, least_words: int = SHINGLE) -> DataFrame:
         # written first: few pairs meet the texts by a broadcast, many by a shuffle
         pairs = written(pairs.union(more).dropDuplicates(["exact", "exact2"]).join(marked, "exact", "left_anti"), "pairs")
         pairs = pairs.join(front.select(F.col("exact").alias("exact2"), "other"), "exact2").join(texts, ["tab", "row", "part"]).join(open_.select("exact", "first"), "exact")
-        front = written(by_batch(pairs.select("near", "exact", "first", "size", "no", "text", "other"), _FRONT, _verify).dropDuplicates(["exact"]), "front")
+        front = written(by_batch(pairs.select("near", "exact", "first", "size", "no", "text", "other"), _FRONT, _verify, usual).dropDuplicates(["exact"]), "front")
         if front.isEmpty():
             break
         marked = marked.union(front.select("exact"))

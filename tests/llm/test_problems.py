@@ -307,11 +307,23 @@ def test_residue(spark):
         (7, "A 404 error is explained here to everybody."), (8, None), (9, ""), (10, "You need to enable JavaScript to run the viewer."), (11, "He argued that the site should work where JavaScript is off."), (12, f"TODO: {odd} today"), (13, f"TODO: {odd} today"), (14, f"TBD {odd}"),
     ]
     df = spark.createDataFrame([("t", k, 0, x) for k, x in rows], "tab string, row bigint, part int, text string")
-    assert {r.row for r in residue.residue_rows(df).collect()} >= {1, 2, 6, 10, 12, 13}
+    assert {r.row for r in residue.residue_rows(df).collect()} >= {1, 2, 6, 10, 12, 13, 14}  # 14 by its likeness alone
     assert not {r.row for r in residue.residue_rows(df).collect()} & {3, 4, 5, 7, 8, 9, 11}
     assert residue.residue_rows(df.limit(0)).count() == 0
 
 
+def test_fillings_of_a_template_are_one_unit(spark):
+    rng = random.Random(8)
+    things = [f"{a}{b}" for a in ("har", "pum", "can", "lod", "bri", "sil") for b in ("bour", "ping", "dle", "ging", "dge", "ver")]
+    prose = lambda: " ".join(rng.choice(["the", "and", "of", "was", "on", "read", *things]) for _ in range(24))
+    told = [f"Verbindung verloren, melden Sie sich neu an, um {x} zu lesen" for x in things]
+    rows = [f"TODO: {told[0]}", *told[1:], *[prose() for _ in range(1500)], "Hello [First Name], thank you for {0} of {1}.", "Aenean porta vel magna sodales tempus nulla quis risus.", "The motto pro bono et loco was read.", "The set {a, b} costs $8, see note [12] and form [B]."]
+    df = spark.createDataFrame([("t", k, 0, x) for k, x in enumerate(rows)], "tab string, row bigint, part int, text string")
+    got = {r.row for r in residue.residue_rows(df, share=0.05).collect()}
+    assert got == {*range(len(told)), len(rows) - 4, len(rows) - 3}
+    assert {r.row for r in residue.residue_rows(df, share=0.05, trust=0.0).collect()} == set()
+
+
 def test_labels_spread(spark):
     base = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     step = lambda n: " ".join(["changed"] * 0 + base.split()[n:] + [f"t{chr(97 + i)}" for i in range(n)])
