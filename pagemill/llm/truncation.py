@@ -12,17 +12,20 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.llm.bodies import cued
 from pagemill.llm.common import by_batch, source_of
+from pagemill.llm.sentences import kind_of
 from pagemill.llm.vectors import categories, codes_of, flags, parts_of, slices
 from pagemill.session import written
 
 ORDERS = (24, 10, 6)
-#: Log-odds of ending against going on below which a value is cut, by language and column; "" is for all others.
-THRESHOLDS = {("", "markdown"): -2.5}
-#: So many distinct final n-grams are broadcast at most; beyond that all n-grams are counted.
-MOST = 4_000_000
+#: Log-odds of ending against going on below which a value is cut where its language and column have too few values to tell, and the least and
+#: greatest threshold that their values may set.
+DEFAULT, LOWEST, HIGHEST, ENOUGH = -2.5, -3.0, -1.5, 400
+#: Bits of the filter of wanted n-grams for each of them, and the most and least bits as powers of two: 64 MB at most, whatever the corpus.
+PER_KEY, LEAST_BITS, MOST_BITS = 16, 20, 29
 
 _NOTE = regex.compile(r"(?:\.{3}|…|\[…\]|\[\.\.\.\])\s*(?:[(\[](?:more|mehr|suite|más|mais|continued|read more)[)\]])?\s*$|[(\[](?:more|continued|truncated|cut)[)\]]\s*$")
 _STOPPED = regex.compile(r"[.!?…。！？؟।][\"'”’»“)\]」』*_`]*$|[:;]$|<!--.*-->$")
@@ -88,6 +91,18 @@ def _follow(c: dict, wanted) -> dict:
     return {"h": keys, "ends": sums[:, 0], "letters": sums[:, 1], "others": sums[:, 2]}
 
 
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the hashes ``h`` with two bits each, as bytes, built by the executors. It misses none; what it lets pass too much is
+    counted in vain and dropped by the join, so its bounded size costs time at most."""
+    bits = min(max(LEAST_BITS, int(wanted.count() * PER_KEY).bit_length()), MOST_BITS)
+    places = F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("i")
+    at = wanted.select(places).select(F.col("i").bitwiseAND((1 << bits) - 1).alias("i"))
+    words = at.groupBy(F.shiftrightunsigned("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint8)
+
+
 def log_odds(values: DataFrame, training: DataFrame, key: str, text: str, copies: str) -> DataFrame:
     """(key, odds, into): log-odds of ending against going on after the last characters, and of going on within a word.
 
@@ -98,28 +113,19 @@ def log_odds(values: DataFrame, training: DataFrame, key: str, text: str, copies
     schema = f"key {kind}, copies bigint, " + ", ".join(f"h{k} bigint" for k in ORDERS)
     tails = written(by_batch(values.select(F.col(key).alias("key"), F.col(copies).alias("copies"), F.substring(F.rtrim(F.col(text)), -64, 64).alias("tail")), schema, _tails), "tails")
     wanted = tails.select(F.explode(F.array(*[f"h{k}" for k in ORDERS])).alias("h")).filter("h <> 0").distinct()
-    if (few := wanted.count()) <= MOST:
-        have = np.sort(np.array(wanted.toArrow()["h"], dtype=np.int64))
-        quick = np.zeros(1 << 24, bool)
-        quick[(have.view(np.uint64) >> np.uint64(40)).astype(np.intp)] = True
-        shared = spark.sparkContext.broadcast((have, np.packbits(quick)))
-        kept: dict = {}
-
-        def test(h: np.ndarray) -> np.ndarray:
-            if not kept:
-                kept["quick"] = np.unpackbits(shared.value[1]).view(bool)
-            have = shared.value[0]
-            out = kept["quick"][(h.view(np.uint64) >> np.uint64(40)).astype(np.intp)]
-            at = np.flatnonzero(out)
-            if len(have):
-                out[at] = have[np.minimum(np.searchsorted(have, h[at]), len(have) - 1)] == h[at]
-            return out
-    else:
-
-        def test(h: np.ndarray) -> np.ndarray:
-            return np.ones(len(h), bool)
-
-    del few
+    shared, kept = spark.sparkContext.broadcast(_filter(written(wanted, "wanted"))), {}
+
+    def test(h: np.ndarray) -> np.ndarray:
+        if not kept:
+            kept["bits"] = np.unpackbits(shared.value, bitorder="little").view(bool) if len(shared.value) <= 1 << 22 else None
+        words, u = shared.value, h.view(np.uint64)
+        mask = np.uint64(len(words) * 8 - 1)
+        have = (lambda i: kept["bits"][i]) if kept["bits"] is not None else (lambda i: (words[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1)
+        out = have((u & mask).astype(np.int64))
+        at = np.flatnonzero(out)
+        out[at] = have((u[at] >> np.uint64(32) & mask).astype(np.int64))
+        return out
+
     seen = by_batch(training.select(F.col(text).alias("text")).filter(F.length("text") > 0), "h bigint, ends bigint, letters bigint, others bigint", _follow, test)
     seen = seen.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("ends", "letters", "others")])
     long = tails.select("key", "copies", F.posexplode(F.array(*[f"h{k}" for k in ORDERS])).alias("rank", "h")).filter("h <> 0").join(seen, "h")
@@ -129,23 +135,64 @@ def log_odds(values: DataFrame, training: DataFrame, key: str, text: str, copies
     return best.select(F.col("key").alias(key), F.log(ends / goes).alias("odds"), F.log((F.col("b.letters") + 0.5) / (F.col("b.ends") + F.col("b.others") + 0.5)).alias("into"))
 
 
-def limits(rows: DataFrame, zone: int = 24, least: int = 3, share: float = 0.12, rows_least: int = 8) -> DataFrame:
-    """(source, chars_limit, bytes_limit) of the sources whose lengths pile up below their greatest length.
+def limits(rows: DataFrame, zone: int = 24, edge: int = 4, least: int = 5, dense: int = 3, sure: float = 5.0, open_share: float = 0.5, lowest: int = 100) -> DataFrame:
+    """(source, chars_limits, bytes_limits): the lengths at which the texts of a source pile up, in order; a source without any has no row.
 
-    ``rows`` has source, chars and bytes. A limit is the greatest length if at least ``least`` rows and ``share`` of the source's rows lie
-    within ``zone`` of it, the source has ``rows_least`` rows, and they are three times as dense as the ten zones below. Null where a source has no such limit.
+    ``rows`` has source, chars, bytes, breaks (whether the text by itself seems to break off), note (whether it ends in one that says so) and
+    copies (rows with the same text in the same place, which count once). A limit is a length from ``lowest`` up with at least ``least`` texts
+    in the ``edge`` up to it, ``sure`` standard deviations more than the rest of its zone and the ten zones below and above let expect, and of
+    which ``open_share`` break off; of such lengths within a zone the one with most texts counts. Cuts at words before a limit
+    spread over the zone: there notes must be half its texts, and the zone ``dense`` times as dense; the last such length counts. A limit may stand anywhere and hold any share
+    of the source's texts.
     """
     out = None
     for unit in ("chars", "bytes"):
-        sizes = rows.groupBy("source", F.col(unit).alias("n")).agg(F.count("*").alias("rows"))
-        top = sizes.groupBy("source").agg(F.max("n").alias("most"), F.sum("rows").alias("all"))
-        near = sizes.join(top, "source").groupBy("source", "most", "all").agg(
-            F.sum(F.when(F.col("n") > F.col("most") - zone, F.col("rows")).otherwise(0)).alias("high"),
-            F.sum(F.when(F.col("n").between(F.col("most") - 11 * zone, F.col("most") - zone), F.col("rows")).otherwise(0)).alias("below"),
-        )
-        good = near.filter((F.col("high") >= least) & (F.col("all") >= rows_least) & (F.col("high") >= share * F.col("all")) & (F.col("high") * 10 >= 3 * F.col("below"))).select("source", F.col("most").alias(f"{unit}_limit"))
-        out = good if out is None else out.join(good, "source", "full")
-    return out
+        one = 1 / F.col("copies")
+        part = lambda c: F.sum(F.when(c, one).otherwise(0.0))  # noqa: B023, E731
+        sizes = rows.groupBy("source", F.col(unit).alias("n")).agg(F.sum(one).alias("rows"), part(F.col("breaks")).alias("open"), part(F.col("note")).alias("notes"))
+        by = Window.partitionBy("source").orderBy("n")  # over lengths, not rows: their number is bounded by the greatest length
+        over = lambda c, a, b: F.coalesce(F.sum(c).over(by.rangeBetween(a, b)), F.lit(0.0))  # noqa: B023, E731
+        near = sizes.withColumns({
+            "tight": over("rows", 1 - edge, 0), "high": over("rows", 1 - zone, 0), "broken": over("open", 1 - edge, 0), "noted": over("notes", 1 - zone, 0),
+            "after": over("rows", 1, zone), "around": F.greatest(over("rows", -11 * zone, -zone), over("rows", 1 + edge, 10 * zone)),
+        })
+        usual, eps = F.greatest(F.col("around") * (edge / (10 * zone)), (F.col("high") - F.col("tight")) * (edge / (zone - edge))), 1e-6
+        strong = (F.col("tight") + eps >= least) & (F.col("tight") >= usual + sure * F.sqrt(usual)) & (F.col("broken") + eps >= open_share * F.col("tight"))
+        soft = (F.col("noted") + eps >= least) & (F.col("noted") * 2 + eps >= F.col("high")) & (F.col("high") * 10 >= dense * F.col("around")) & (F.col("after") <= 0.2 * F.col("high"))
+        by_n = Window.partitionBy("source").orderBy("n").rangeBetween(1 - zone, zone - 1)
+        place = lambda when, by: F.when(when, F.struct(by.cast("double").alias("k"), F.col("n").alias("n")))
+        good = near.filter((F.col("n") >= lowest) & (strong | soft)).withColumns({"tightest": place(strong, F.col("tight")), "last": place(soft, F.lit(0))})
+        good = good.withColumns({"a": F.max("tightest").over(by_n), "b": F.max("last").over(by_n)}).filter((F.col("tightest") == F.col("a")) | (F.col("last") == F.col("b")))
+        best = good.groupBy("source").agg(F.array_sort(F.collect_list("n")).alias(f"{unit}_limits"))  # at most two for each zone of lengths
+        out = best if out is None else out.join(best, "source", "full")
+    return _own(rows, out, edge)
+
+
+def _own(rows: DataFrame, found: DataFrame, edge: int) -> DataFrame:
+    """``found`` without the lengths in one unit that a limit in the other brings about: half of their texts lie at one that has more texts."""
+    found = written(found, "limits")
+    both = found.filter("chars_limits is not null and bytes_limits is not null")
+    at = lambda unit: F.filter(f"{unit}_limits", lambda x: (x >= F.col(unit)) & (x - F.col(unit) < edge))
+    hits = rows.join(both, "source").select("source", (1 / F.col("copies")).alias("w"), F.explode_outer(at("chars")).alias("chars"), at("bytes").alias("b")).select("source", "w", "chars", F.explode_outer("b").alias("bytes"))
+    n = hits.filter("chars is not null or bytes is not null").groupBy("source", "chars", "bytes").agg(F.sum("w").alias("n"))  # few rows
+    total = lambda unit: n.filter(f"{unit} is not null").groupBy("source", unit).agg(F.sum("n").alias(f"all_{unit}"))
+    shared = n.filter("chars is not null and bytes is not null").join(total("chars"), ["source", "chars"]).join(total("bytes"), ["source", "bytes"])
+    gone = lambda unit, other: F.collect_set(F.when((F.col("n") * 2 >= F.col(f"all_{unit}")) & (F.col(f"all_{other}") > F.col(f"all_{unit}")), F.col(unit)))
+    drop = shared.groupBy("source").agg(gone("chars", "bytes").alias("c"), gone("bytes", "chars").alias("b"))
+    kept = lambda unit, drop: F.array_except(f"{unit}_limits", F.coalesce(drop, F.array().cast("array<int>"))).alias(f"{unit}_limits")
+    return found.join(drop, "source", "left").select("source", kept("chars", "c"), kept("bytes", "b"))
+
+
+def thresholds(odds: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(language, threshold) from the log-odds of all values of a column, ``odds`` (language, odds): the emptiest place between those of texts that
+    end and those of texts that break off. Languages with fewer than ``enough`` values are not told apart and have no row."""
+    bins = odds.filter("odds is not null").groupBy("language", F.floor(F.col("odds") * 2).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    total = bins.groupBy("language").agg(F.sum("n").alias("all")).filter(F.col("all") >= enough)
+    # a few rows for each language: bins of half a unit, smoothed by their neighbours
+    places = total.select("language", F.explode(F.sequence(F.lit(int(LOWEST * 2)), F.lit(int(HIGHEST * 2)))).alias("at"))
+    around = places.join(bins, "language").filter(F.abs(F.col("b") - F.col("at")) <= 1).groupBy("language", "at").agg(F.sum("n").alias("n"))
+    least = places.join(around, ["language", "at"], "left").groupBy("language").agg(F.min_by("at", F.struct(F.coalesce("n", F.lit(0)), F.abs(F.col("at") / 2 - DEFAULT), "at")).alias("at"))
+    return least.select("language", (F.col("at") / 2).alias("threshold"))
 
 
 def shape(text: str, fenced: bool = False) -> str:
@@ -187,25 +234,20 @@ _BLANKS = "".join(x for x in map(chr, range(0x3001)) if x.isspace())
 
 
 def _shaped(c: dict) -> dict:
-    """The shape of each text by its whole last line, and whether that reads like a sentence; only these go on."""
+    """The shape of each text by its whole last line, whether that reads like a sentence, and its language; only these go on."""
     lines = c["line"].to_pylist()
     hows = [shape(x, n % 2 == 1) for x, n in zip(lines, c["fences"].to_pylist())]
-    return {k: v for k, v in c.items() if k not in ("line", "fences")} | {"how": hows, "sentence": [how == "plain" and _sentence(x) for how, x in zip(hows, lines)]}
+    return {k: v for k, v in c.items() if k not in ("line", "fences")} | {"how": hows, "sentence": [how == "plain" and _sentence(x) for how, x in zip(hows, lines)], "language": [kind_of(x[-400:])[0] for x in c["text"].to_pylist()]}
 
 
 def _judge(c: dict) -> dict:
-    out = []
-    for how, sentence, odds, into, n, b, chars, size, following, wraps, tokens in zip(*(c[k].to_pylist() for k in ("how", "sentence", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full"))):
-        low = odds is not None and odds < THRESHOLDS[("", "markdown")]
+    """Whether each text breaks off by itself: cause is tokens, transfer or null; ``low`` tells that it was to go on by far."""
+    causes, lows = [], []
+    for how, sentence, odds, into, bar, following, wraps, tokens in zip(*(c[k].to_pylist() for k in ("how", "sentence", "odds", "into", "threshold", "next", "wraps", "full"))):
+        low = odds is not None and odds < bar
         why = None
         if tokens:
             why = "tokens"
-        elif chars and n == chars or size and b == size:
-            why = "limit"
-        elif how == "note" and (chars and n > chars - 48 or size and b > size - 48):
-            why = "limit"  # cut at a word before the limit
-        elif (chars and n > chars - 24 or size and b > size - 4) and (how in ("note", "plain", "open") or how == "short" and low):
-            why = "limit"
         elif how == "open":
             why = "transfer"
         elif not wraps and how == "plain" and (low or odds is not None and odds < -1 and into > 0 or (odds is None or odds < -1) and sentence):
@@ -216,8 +258,9 @@ def _judge(c: dict) -> dict:
             first = following.lstrip()
             if first and not _START.match(first) and not (low and _CAPITAL.match(first) and _CAPITAL.sub("", first)[:1].isspace()):
                 why = None  # the text goes on there
-        out.append(why)
-    return {"key": c["key"], "source": c["source"], "cause": out}
+        causes.append(why)
+        lows.append(low)
+    return {k: c[k] for k in ("key", "source", "how", "chars", "bytes", "copies")} | {"low": lows, "cause": causes}
 
 
 def cut_texts(pages: DataFrame, usage: DataFrame, models: DataFrame, key: str, path: str, number: str, text: str, wrapped: Column, default_tokens: int = 8192) -> DataFrame:
@@ -225,29 +268,38 @@ def cut_texts(pages: DataFrame, usage: DataFrame, models: DataFrame, key: str, p
 
     Null, empty and blank texts are not cut. ``wrapped`` marks texts whose lines break anywhere: they don't train the model of endings and
     only a limit cuts them. Of a page's calls the one with the highest attempt counts; a model without max_tokens has ``default_tokens``; model
-    names differ in case, blanks and underscores. Rows delivered twice are judged alike.
+    names differ in case, blanks and underscores. Rows delivered twice are judged alike; rows without path or number are judged by themselves.
     """
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(number).alias("page"), F.col(text).alias("text"), wrapped.alias("wraps")).withColumn("source", source_of(F.col("path")))
     full = rows.filter(F.trim(F.col("text"), F.lit(" \t\n")) != "")
     # only the ends of texts go through the joins, with the shape of the whole last line
     line = F.substring_index(F.rtrim(F.col("text"), F.lit(_BLANKS)), "\n", -1).alias("line")
-    sized = full.select("key", "path", "page", "source", "wraps", line, F.substring("text", -600, 600).alias("text"), F.substring(F.ltrim("text"), 1, 64).alias("start"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.regexp_count("text", F.lit(r"(?m)^```")).alias("fences"))
-    schema = f"key {kind}, path string, page {pages.schema[number].dataType.simpleString()}, source string, wraps boolean, text string, start string, chars int, bytes int, how string, sentence boolean"
-    sized = written(by_batch(sized, schema, _shaped), "ends")
-    cap = limits(sized.select("source", "chars", "bytes"))
+    same = F.xxhash64(F.coalesce("path", F.lit("\0")), F.coalesce(F.col("page"), F.lit(-1)), "text").alias("same")
+    sized = full.select("key", "path", "page", "source", "wraps", line, same, F.substring("text", -600, 600).alias("text"), F.substring(F.ltrim("text"), 1, 64).alias("start"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.regexp_count("text", F.lit(r"(?m)^```")).alias("fences"))
+    schema = f"key {kind}, path string, page {pages.schema[number].dataType.simpleString()}, source string, wraps boolean, same bigint, text string, start string, chars int, bytes int, how string, sentence boolean, language string"
+    ends = written(by_batch(sized, schema, _shaped), "ends")
+    sized = ends.join(ends.groupBy("same").agg(F.count("*").alias("copies")), "same")
     plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[_ ]+", "-")
     most = models.select(plain(F.col("name")).alias("model"), F.coalesce("max_tokens", F.lit(default_tokens)).alias("max_tokens")).groupBy("model").agg(F.max("max_tokens").alias("max_tokens"))
     calls = usage.filter("source_path is not null").groupBy("source_path", "page_number").agg(F.max_by(F.struct(plain(F.col("model_name")).alias("model"), "output_tokens"), F.struct("attempt", "output_tokens")).alias("c"))
-    spent = calls.select(F.col("source_path").alias("path"), F.col("page_number").alias("page"), "c.*").join(most, "model").filter("output_tokens >= max_tokens").select("path", "page", F.lit(True).alias("full"))
+    spent = calls.select(F.col("source_path").alias("path"), F.col("page_number").alias("page"), "c.*").join(most, "model").filter("output_tokens >= max_tokens").select("path", "page", F.lit(True).alias("full"), F.lit(None).cast("string").alias("next"))
     # the start of the next page by an equal join: a document of any length is spread over its pages
-    once = sized.groupBy("path", "page").agg(F.count("*").alias("copies"), F.max("start").alias("start"))
-    after = once.select("path", (F.col("page") - 1).alias("page"), F.col("start").alias("next"))
-    alike = sized.select("key", "path", "page", "text").join(once.select("path", "page", "copies"), ["path", "page"])
-    odds = log_odds(alike, full.filter(~F.col("wraps")), "key", "text", "copies")
-    given = sized.join(odds, "key", "left").join(spent, ["path", "page"], "left").join(after, ["path", "page"], "left").join(cap, "source", "left")
-    given = given.select("key", "source", "how", "sentence", "odds", "into", "chars", "bytes", "chars_limit", "bytes_limit", "next", "wraps", "full")
-    judged = by_batch(given, f"key {kind}, source string, cause string", _judge)
+    after = ends.filter("path is not null and page is not null").groupBy("path", (F.col("page") - 1).cast(ends.schema["page"].dataType).alias("page")).agg(F.max("start").alias("next"))
+    about = spent.unionByName(after.withColumn("full", F.lit(None).cast("boolean"))).groupBy("path", "page").agg(F.max("full").alias("full"), F.max("next").alias("next"))
+    odds = written(log_odds(sized, full.filter(~F.col("wraps")), "key", "text", "copies"), "odds")
+    given = sized.drop("text", "start", "same").join(odds, "key", "left")
+    bars = F.broadcast(thresholds(given.filter("not wraps").select("language", "odds")))  # a row for each language
+    given = given.join(bars, "language", "left").join(about, ["path", "page"], "left")
+    given = given.select("key", "source", "how", "sentence", "odds", "into", F.coalesce("threshold", F.lit(DEFAULT)).alias("threshold"), "chars", "bytes", "copies", "next", "wraps", "full")
+    judged = written(by_batch(given, f"key {kind}, source string, how string, chars int, bytes int, copies bigint, low boolean, cause string", _judge), "judged")
+    note = F.col("how") == "note"
+    cap = limits(judged.filter(F.coalesce("cause", F.lit("")) != "tokens").select("source", "chars", "bytes", "copies", note.alias("note"), (F.col("cause").isNotNull() | note).alias("breaks")))
+    within = lambda unit, slack: F.exists(F.coalesce(f"{unit}_limits", F.array().cast("array<int>")), lambda x: (x >= F.col(unit)) & (x - F.col(unit) < slack))
+    near = within("chars", 24) | within("bytes", 4)
+    limit = within("chars", 1) | within("bytes", 1) | ((F.col("how") == "note") & (within("chars", 48) | within("bytes", 48))) | (near & (F.col("how").isin("note", "plain", "open") | ((F.col("how") == "short") & F.col("low"))))
+    cause = F.when(F.col("cause") == "tokens", "tokens").when(limit, "limit").otherwise(F.col("cause"))
+    judged = judged.join(cap, "source", "left").select("key", "source", cause.alias("cause"))
     blank = rows.filter(F.col("text").isNull() | (F.trim(F.col("text"), F.lit(" \t\n")) == "")).select("key", "source", F.lit(None).cast("string").alias("cause"))
     return judged.union(blank).withColumnRenamed("key", key)
 

@@ -244,6 +244,50 @@ CLEAN = {
 }
 
 
+def _cut_causes(spark, rows):
+    pages = spark.createDataFrame(rows, PAGES)
+    usage = spark.createDataFrame([], "source_path string, page_number int, model_name string, attempt int, output_tokens bigint")
+    models = spark.createDataFrame([], "name string, max_tokens int")
+    got = truncation.cut_texts(pages, usage, models, "page_id", "source_path", "page_number", "markdown", F.lit(False)).collect()
+    return {r.page_id: r.cause for r in got}
+
+
+def test_limits_anywhere(spark):
+    rng = random.Random(9)
+    nouns = "pier valve ledger memo gauge kiln moat quota".split()
+    said = lambda n: " ".join(f"The {rng.choice(nouns)} near the old {rng.choice(nouns)} was closed by the {rng.choice(nouns)} board in spring." for _ in range(n))
+    rows, want = [], set()
+    for k in range(600):  # a tenth is cut at 300 characters, some at 700, and longer ones are whole
+        t = said(rng.randint(2, 24))
+        cut = 300 if k % 10 == 0 else 700 if k % 25 == 3 else 0
+        if cut and len(t) > cut:
+            t, want = t[:cut], want | {k}
+        rows.append((k, f"feed/cut/{k}.txt", 1, t))
+    got = _cut_causes(spark, rows)
+    found = {k for k, v in got.items() if v == "limit"}
+    assert found >= want and len(want) > 60 and all(len(rows[k][3]) in (300, 700) for k in found)
+
+
+def test_rows_without_path_or_number_are_judged_alike(spark, monkeypatch):
+    rng = random.Random(10)
+    nouns = "pier valve ledger memo gauge kiln moat quota".split()
+    said = lambda: f"The {rng.choice(nouns)} near the old {rng.choice(nouns)} was closed by the {rng.choice(nouns)} board in spring."
+    rows = [(k, f"lib/docs/{k}.pdf", 1, " ".join(said() for _ in range(6))) for k in range(60)]
+    cut = said()[:-12]
+    rows += [(100, None, 1, cut), (101, "lib/x.pdf", None, cut), (102, None, None, said()), (103, "lib/y.pdf", 1, cut), (103, "lib/y.pdf", 1, cut)]
+    want = {k: "transfer" if k in (100, 101, 103) else None for k, *_ in rows}
+    assert _cut_causes(spark, rows) == want
+    monkeypatch.setattr(truncation, "LEAST_BITS", 6)  # a filter that lets nearly all pass changes nothing
+    monkeypatch.setattr(truncation, "MOST_BITS", 6)
+    assert _cut_causes(spark, rows) == want
+
+
+def test_thresholds_by_language(spark):
+    odds = [("en", x) for x in [3.0] * 400 + [-5.0] * 40 + [-2.0] * 20] + [("fr", x) for x in [2.0] * 400 + [-4.0] * 30 + [-3.0] * 20] + [("xx", 1.0)] * 5 + [("en", None)] * 9
+    got = {r.language: r.threshold for r in truncation.thresholds(spark.createDataFrame(odds, "language string, odds double")).collect()}
+    assert set(got) == {"en", "fr"} and got["en"] < got["fr"]
+
+
 def test_long_last_lines(spark):
     rows = [("web/a/1", 1, "Intro.\n\n| " + "cell text | " * 80 + "half a ce"), ("web/a/2", 1, "See [the report](http://u/" + "x" * 700), ("web/a/3", 1, "Words that stop. " * 60), ("web/a/4", 1, "The " + "quiet harbour lies beyond " * 40 + "the old mill and")]
     pages = spark.createDataFrame([(k, p, n, t) for k, (p, n, t) in enumerate(rows)], PAGES)
