@@ -46,7 +46,7 @@ _FENCE = regex.compile(r"(?ms)^(`{3,}|~{3,})[^\n]*\n.*?(?:^\1[^\n]*$|\Z)")
 _SPAN = regex.compile(r"(`+)[^`\n]*\1")
 _BLANK = regex.compile(r"\n[^\S\n]*\n")
 NEAR, SHINGLE, ALIKE = 3, 5, 0.8
-#: Words that this share of all units holds are ordinary: at most (mean words of a unit) / share of them. Where at least ``RARE`` other words and this
+#: Words that stand so many times for each unit of the corpus are ordinary: at most (mean words of a unit) / share of them. Where at least ``RARE`` other words and this
 #: part of a unit are not, ordinary words are slots.
 ORDINARY, RARE, PART = 0.002, 3, 0.25
 SLOT = np.uint64(1)
@@ -142,20 +142,21 @@ def simhashes(words: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _count(c: dict) -> dict:
-    """In how many units of a batch each word stands, and how many units there are (as word 0)."""
+    """How often each word stands in a batch, and how many units there are (as word 0)."""
     texts = [x or "" for x in c["text"].to_pylist()]
-    keys, total = [np.zeros(0, np.uint64)], 0
+    keys, sums, total = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     for a, b in parts_of(texts):
         units = [u for t in texts[a:b] for u in units_of(t)]
-        words, unit = words_of(units)
         total += len(units)
-        keys.append(words[np.unique(mixed(words) ^ unit.astype(np.uint64), return_index=True)[1]])
-    h, n = np.unique(np.concatenate(keys), return_counts=True)
-    return {"h": np.append(h, np.uint64(0)).view(np.int64), "n": np.append(n, total).astype(np.int64)}
+        h, n = np.unique(words_of(units)[0], return_counts=True)
+        keys.append(h)
+        sums.append(n)
+    h, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return {"h": np.append(h, np.uint64(0)).view(np.int64), "n": np.append(np.bincount(at, np.concatenate(sums), len(h)).astype(np.int64), total)}
 
 
 def ordinary_words(texts: DataFrame, share: float = ORDINARY) -> np.ndarray:
-    """Hashes of the words that at least ``share`` of all units hold, sorted; a small corpus has none."""
+    """Hashes of the words that stand at least ``share`` times as often as there are units, sorted; a small corpus has none."""
     counted = by_batch(texts.select("text"), "h bigint, n bigint", _count).groupBy("h").agg(F.sum("n").alias("n"))
     counted = written(counted, "ordinary")
     total = counted.filter("h = 0").select("n").first()
