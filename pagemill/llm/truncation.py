@@ -141,7 +141,7 @@ def limits(rows: DataFrame, zone: int = 24, edge: int = 4, least: int = 5, dense
     ``rows`` has source, chars, bytes, breaks (whether the text by itself seems to break off), note (whether it ends in one that says so) and
     copies (rows with the same text in the same place, which count once). A limit is a length from ``lowest`` up with at least ``least`` texts
     in the ``edge`` up to it, ``sure`` standard deviations more than the rest of its zone and the ten zones below and above let expect, and of
-    which ``open_share`` break off; of such lengths within a zone the one with most texts counts. Cuts at words before a limit
+    which ``open_share`` break off; of such lengths within a zone the least with most of them counts. Cuts at words before a limit
     spread over the zone: there notes must be half its texts, and the zone ``dense`` times as dense; the last such length counts. A limit may stand anywhere and hold any share
     of the source's texts.
     """
@@ -160,8 +160,8 @@ def limits(rows: DataFrame, zone: int = 24, edge: int = 4, least: int = 5, dense
         strong = (F.col("tight") + eps >= least) & (F.col("tight") >= usual + sure * F.sqrt(usual)) & (F.col("broken") + eps >= open_share * F.col("tight"))
         soft = (F.col("noted") + eps >= least) & (F.col("noted") * 2 + eps >= F.col("high")) & (F.col("high") * 10 >= dense * F.col("around")) & (F.col("after") <= 0.2 * F.col("high"))
         by_n = Window.partitionBy("source").orderBy("n").rangeBetween(1 - zone, zone - 1)
-        place = lambda when, by: F.when(when, F.struct(by.cast("double").alias("k"), F.col("n").alias("n")))
-        good = near.filter((F.col("n") >= lowest) & (strong | soft)).withColumns({"tightest": place(strong, F.col("tight")), "last": place(soft, F.lit(0))})
+        place = lambda when, by: F.when(when, F.struct(*by, F.col("n").alias("n")))
+        good = near.filter((F.col("n") >= lowest) & (strong | soft)).withColumns({"tightest": place(strong, (F.round("broken", 6), -F.col("n"))), "last": place(soft, ())})
         good = good.withColumns({"a": F.max("tightest").over(by_n), "b": F.max("last").over(by_n)}).filter((F.col("tightest") == F.col("a")) | (F.col("last") == F.col("b")))
         best = good.groupBy("source").agg(F.array_sort(F.collect_list("n")).alias(f"{unit}_limits"))  # at most two for each zone of lengths
         out = best if out is None else out.join(best, "source", "full")
