@@ -29,9 +29,9 @@ _CRUMB = regex.compile(r"^[^›»>/|.!?]{1,40}(?:\s+[›»>/|]\s+[^›»>/|.!?]{
 #: Phrases of notices, prompts and footers that articles don't use; a blank stands for any mark. Fixed values.
 CUES = (
     " use cookies ", " uses cookies ", " cookies to ", " cookie policy ", " cookies propias ", " usamos cookies ", " des cookies ", " verwenden cookies ", " usamos cookies ", " copyright ", " all rights reserved ", " powered by ", " privacy ", " subscribe ", " newsletter ", " sign up ", " log in ", " our app ", " follow us ",
-    " this site ", " this website ", " on your device ", " by going on you ", " vat no ", " advertisement ", " sponsored ", " your e mail ",
-    " datenschutz", " privatsphäre ", " diese website ", " impressum ", " alle rechte vorbehalten ", " ust nr ", " abonnieren ", " anzeige ", " unsere app ", " folgen sie uns ",
-    " vie privée ", " ce site ", " confidentialité ", " tous droits réservés ", " abonnez vous ", " s abonner ", " infolettre ", " publicité ", " suivez nous ", " notre appli", " notre lettre ", " tva ",
+    " this site ", " this website ", " on your device ", " advertisement ", " sponsored ", " your e mail ",
+    " datenschutz", " privatsphäre ", " diese website ", " impressum ", " alle rechte vorbehalten ", " abonnieren ", " anzeige ", " unsere app ", " folgen sie uns ",
+    " vie privée ", " ce site ", " confidentialité ", " tous droits réservés ", " abonnez vous ", " s abonner ", " infolettre ", " publicité ", " suivez nous ", " notre appli", " notre lettre ",
     " privacidad ", " este sitio ", " derechos reservados ", " suscríbase ", " boletín ", " publicidad ", " síganos ", " nuestra app", " nif ",
     " este site ", " direitos reservados ", " assine ", " política de privacidade ",
 )
@@ -163,52 +163,48 @@ def _hash(keys) -> np.ndarray:
 
 
 def _subtrees(c: dict) -> dict:
-    host, doc, marks = [], [], []
-    for h, d, p, t in zip(c["host"].to_pylist(), c["doc"].to_pylist(), c["path"].to_pylist(), c["text"].to_pylist()):
+    row, marks = [], []
+    for r, (p, t) in enumerate(zip(c["path"].to_pylist(), c["text"].to_pylist())):
         got = _hash(Page(p, t).subtrees())
-        host += [h] * len(got)
-        doc += [d] * len(got)
+        row += [r] * len(got)
         marks.append(got)
-    return {"host": host, "doc": doc, "mark": np.concatenate(marks) if marks else np.zeros(0, np.int64)}
+    return {k: c[k].take(row) for k in ("same", "host", "doc")} | {"mark": np.concatenate(marks) if marks else np.zeros(0, np.int64)}
 
 
-def noise_lines(df: DataFrame, key: str, path: str, page: str, text: str, host_share: float = 0.5, least_documents: int = 3, all_share: float = 0.004, least_hosts: int = 3) -> DataFrame:
+def _decide(c: dict) -> dict:
+    import xxhash
+
+    keys, numbers = [], []
+    for k, p, t, marks in zip(c["key"].to_pylist(), c["path"].to_pylist(), c["text"].to_pylist(), c["marks"].to_pylist()):
+        known = frozenset(marks or ())
+
+        def template(x: str) -> bool:
+            h = xxhash.xxh3_64_intdigest(x)
+            return h - ((h >> 63) << 64) in known  # noqa: B023
+
+        got = Page(p, t).noise(template)
+        keys += [k] * len(got)
+        numbers += [i + 1 for i in got]
+    return {"key": keys, "line_no": numbers}
+
+
+def noise_lines(df: DataFrame, key: str, path: str, page: str, text: str, host_share: float = 0.1, least_documents: int = 3, all_share: float = 0.004, least_hosts: int = 3) -> DataFrame:
     """(key, line_no) of the non-blank lines that aren't main content.
 
     A subtree is template if at least ``least_documents`` documents and ``host_share`` of those of its host hold it, or at least ``least_hosts`` hosts and
     ``all_share`` of all hosts. Rows delivered twice count once. Null and empty texts and null paths give no row.
     """
-    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.xxhash64(source_of(F.col(path))).alias("host"), F.xxhash64(path, page).alias("doc"), F.col(path).alias("path"), F.col(text).alias("text")).filter((F.length("text") > 0) & F.col("path").isNotNull())
-    # A subtree of one host and document reaches the count once; partial counts go by (host, subtree), so no key holds more than a host's documents.
-    each = by_batch(rows.select("host", "doc", "path", "text"), "host bigint, doc bigint, mark bigint", _subtrees).distinct()
-    per_host = written(each.groupBy("mark", "host").agg(F.count("*").alias("n")), "subtrees")
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(source_of(F.col(path))).alias("host"), F.xxhash64(path, page).alias("doc"), F.xxhash64(path, text).alias("same"), F.col(path).alias("path"), F.col(text).alias("text")).filter((F.length("text") > 0) & F.col("path").isNotNull())
+    each = written(by_batch(rows.select("same", "host", "doc", "path", "text"), "same bigint, host bigint, doc bigint, mark bigint", _subtrees), "subtrees")
+    # a subtree of one host and document reaches the count once; partial counts go by (subtree, host), so no key holds more than a host's documents
+    per_host = written(each.select("mark", "host", "doc").distinct().groupBy("mark", "host").agg(F.count("*").alias("n")), "counts")
     size = rows.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
-    hosts = size.count()
-    bar = max(least_hosts, all_share * hosts)
-    wide = per_host.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") >= bar).select("mark")
-    # At most (subtrees a host holds) / all_share hashes, whatever the number of pages.
-    common = spark.sparkContext.broadcast(frozenset(wide.toArrow()["mark"].to_pylist()))
-    local = per_host.filter(F.col("n") >= least_documents).join(size, "host").filter(F.col("n") >= host_share * F.col("docs")).groupBy("host").agg(F.collect_list("mark").alias("local"))
-    given = rows.select("key", "host", "path", "text").join(local, "host", "left")
-
-    def decide(c: dict) -> dict:
-        import xxhash
-
-        keys, numbers = [], []
-        wide = common.value
-        for k, p, t, mine in zip(c["key"].to_pylist(), c["path"].to_pylist(), c["text"].to_pylist(), c["local"].to_pylist()):
-            mine = frozenset(mine or ())
-
-            def template(x: str) -> bool:
-                h = xxhash.xxh3_64_intdigest(x)
-                h -= (h >> 63) << 64
-                return h in wide or h in mine
-
-            got = Page(p, t).noise(template)
-            keys += [k] * len(got)
-            numbers += [i + 1 for i in got]
-        return {"key": keys, "line_no": numbers}
-
-    return by_batch(given, f"key {kind}, line_no int", decide).withColumnRenamed("key", key)
+    bar = max(least_hosts, all_share * size.count())
+    wide = per_host.groupBy("mark").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= bar).select("mark")
+    local = per_host.filter(F.col("n") >= least_documents).join(size, "host").filter(F.col("n") >= host_share * F.col("docs")).select("mark", "host")
+    template = per_host.join(wide, "mark", "left_semi").select("mark", "host").union(local).distinct()
+    # of each page its own template subtrees, whatever its host or the corpus holds
+    own = each.select("same", "mark", "host").distinct().join(template, ["mark", "host"], "left_semi").groupBy("same").agg(F.collect_list("mark").alias("marks"))
+    given = rows.select("key", "same", "path", "text").join(own, "same", "left").select("key", "path", "text", "marks")
+    return by_batch(given, f"key {kind}, line_no int", _decide).withColumnRenamed("key", key)
