@@ -12,14 +12,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import by_batch, source_of
+from pagemill.llm.common import bloom, by_batch, source_of
 from pagemill.llm.vectors import categories, codes_of, grams, mixed, parts_of, slices
 from pagemill.session import written
 
 WINDOW, ONE_IN = 6, 16
-#: So many frequent chunks (8 bytes each) are broadcast at most; beyond that they are joined to the pages by source.
-MOST = 4_000_000
-
 _TARGET = regex.compile(r"\]\([^()\s]*\)|\]\[[^\]\n]*\]|</?\p{L}[^<>\n]*>")
 
 
@@ -76,7 +73,7 @@ def _candidates(c: dict, frequent) -> dict:
         begin, end = x.lines()
         if not len(begin):
             continue
-        known = frequent(_keys(source[a:b][x.page[x.end]], x.chunk), c, a, b, x.page[x.end])
+        known = frequent.value.holds(_keys(source[a:b][x.page[x.end]], x.chunk))
         left = x.begin - WINDOW + 1
         own = np.searchsorted(begin, left, "right") - 1
         inside = x.end < end[own]  # also the window that set the chunk's start lies in the line
@@ -107,33 +104,10 @@ def repeated_lines(df: DataFrame, key: str, path: str, text: str, least_pages: i
     bar = written(bar, "bars")
     full = rows.filter(F.length("text") > 0)
     counted = by_batch(full.select("s", "text"), "k bigint, s bigint, n bigint", _count)
-    frequent = counted.groupBy("k", "s").agg(F.sum("n").alias("n")).join(bar, "s").filter("n >= bar").select("s", "k")
-    frequent = written(frequent, "chunks")
-    few = frequent.count()
-    if few <= MOST:
-        shared = spark.sparkContext.broadcast(np.sort(np.array(frequent.select("k").toArrow()["k"], dtype=np.int64)))
-
-        def known(k, c, a, b, page):
-            have = shared.value
-            if not len(have):
-                return np.zeros(len(k), bool)
-            return have[np.minimum(np.searchsorted(have, k), len(have) - 1)] == k
-
-        given = full
-    else:  # each page gets the frequent chunks of its source: at most a source's chunks per page over ``least_share``
-        # a source without any frequent chunk keeps its pages: their short lines go to the exact count
-        given = full.join(frequent.groupBy("s").agg(F.collect_list("k").alias("ks")), "s", "left")
-
-        def known(k, c, a, b, page):
-            out = np.zeros(len(k), bool)
-            for p in np.unique(page).tolist():
-                ks = c["ks"][a + p]
-                if ks.is_valid:
-                    at = page == p
-                    out[at] = np.isin(k[at], ks.values.to_numpy())
-            return out
-
-    found = written(by_batch(given, f"key {kind}, s bigint, line_no int, h bigint, first boolean", _candidates, known), "candidates")
+    frequent = counted.groupBy("k", "s").agg(F.sum("n").alias("n")).join(bar, "s").filter("n >= bar").select(F.col("k").alias("h"))
+    # a filter of bounded size: what it lets pass too much is counted in vain
+    shared = spark.sparkContext.broadcast(bloom(written(frequent, "chunks")))
+    found = written(by_batch(full, f"key {kind}, s bigint, line_no int, h bigint, first boolean", _candidates, shared), "candidates")
     exact = found.filter("first").groupBy("s", "h").agg(F.count("*").alias("n")).join(bar, "s").filter("n >= bar").select("s", "h")
     return found.join(exact, ["s", "h"], "left_semi").select(F.col("key").alias(key), "line_no")
 

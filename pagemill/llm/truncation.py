@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.llm.bodies import cued
-from pagemill.llm.common import by_batch, source_of
+from pagemill.llm.common import bloom, by_batch, source_of
 from pagemill.llm.sentences import kind_of
 from pagemill.llm.vectors import categories, codes_of, flags, parts_of, slices
 from pagemill.session import written
@@ -24,8 +24,6 @@ ORDERS = (24, 10, 6)
 #: Log-odds of ending against going on below which a value is cut where its language and column have too few values to tell, and the least and
 #: greatest threshold that their values may set.
 DEFAULT, LOWEST, HIGHEST, ENOUGH = -2.5, -3.0, -1.5, 400
-#: Bits of the filter of wanted n-grams for each of them, and the most and least bits as powers of two: 64 MB at most, whatever the corpus.
-PER_KEY, LEAST_BITS, MOST_BITS = 16, 20, 29
 
 _NOTE = regex.compile(r"(?:\.{3}|…|\[…\]|\[\.\.\.\])\s*(?:[(\[](?:more|mehr|suite|más|mais|continued|read more)[)\]])?\s*$|[(\[](?:more|continued|truncated|cut)[)\]]\s*$")
 _STOPPED = regex.compile(r"[.!?…。！？؟।][\"'”’»“)\]」』*_`]*$|[:;]$|<!--.*-->$")
@@ -75,7 +73,7 @@ def _follow(c: dict, wanted) -> dict:
             first = np.arange(max(len(codes) - k, 0))
             h = slices(codes, first, first + k).view(np.int64)  # each is followed by codes[i + k]
             nxt = codes[k : k + len(h)]
-            at = np.flatnonzero(wanted(h))
+            at = np.flatnonzero(wanted.value.holds(h))
             at = at[broken[at] == broken[at + k - 1]]
             end = _is_end(nxt[at])
             if k == max(ORDERS):  # long ones tell lines that recur, also where the line's full stop is missing
@@ -91,18 +89,6 @@ def _follow(c: dict, wanted) -> dict:
     return {"h": keys, "ends": sums[:, 0], "letters": sums[:, 1], "others": sums[:, 2]}
 
 
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of the hashes ``h`` with two bits each, as bytes, built by the executors. It misses none; what it lets pass too much is
-    counted in vain and dropped by the join, so its bounded size costs time at most."""
-    bits = min(max(LEAST_BITS, int(wanted.count() * PER_KEY).bit_length()), MOST_BITS)
-    places = F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("i")
-    at = wanted.select(places).select(F.col("i").bitwiseAND((1 << bits) - 1).alias("i"))
-    words = at.groupBy(F.shiftrightunsigned("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint8)
-
-
 def log_odds(values: DataFrame, training: DataFrame, key: str, text: str, copies: str) -> DataFrame:
     """(key, odds, into): log-odds of ending against going on after the last characters, and of going on within a word.
 
@@ -113,19 +99,7 @@ def log_odds(values: DataFrame, training: DataFrame, key: str, text: str, copies
     schema = f"key {kind}, copies bigint, " + ", ".join(f"h{k} bigint" for k in ORDERS)
     tails = written(by_batch(values.select(F.col(key).alias("key"), F.col(copies).alias("copies"), F.substring(F.rtrim(F.col(text)), -64, 64).alias("tail")), schema, _tails), "tails")
     wanted = tails.select(F.explode(F.array(*[f"h{k}" for k in ORDERS])).alias("h")).filter("h <> 0").distinct()
-    shared, kept = spark.sparkContext.broadcast(_filter(written(wanted, "wanted"))), {}
-
-    def test(h: np.ndarray) -> np.ndarray:
-        if not kept:
-            kept["bits"] = np.unpackbits(shared.value, bitorder="little").view(bool) if len(shared.value) <= 1 << 22 else None
-        words, u = shared.value, h.view(np.uint64)
-        mask = np.uint64(len(words) * 8 - 1)
-        have = (lambda i: kept["bits"][i]) if kept["bits"] is not None else (lambda i: (words[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1)
-        out = have((u & mask).astype(np.int64))
-        at = np.flatnonzero(out)
-        out[at] = have((u[at] >> np.uint64(32) & mask).astype(np.int64))
-        return out
-
+    test = spark.sparkContext.broadcast(bloom(written(wanted, "wanted")))
     seen = by_batch(training.select(F.col(text).alias("text")).filter(F.length("text") > 0), "h bigint, ends bigint, letters bigint, others bigint", _follow, test)
     seen = seen.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("ends", "letters", "others")])
     long = tails.select("key", "copies", F.posexplode(F.array(*[f"h{k}" for k in ORDERS])).alias("rank", "h")).filter("h <> 0").join(seen, "h")

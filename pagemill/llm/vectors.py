@@ -80,6 +80,30 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+class Bloom:
+    """A Bloom filter of 64-bit hashes with two bits each, of a power of two of bits."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.bits: np.ndarray | None = None  # one byte a bit where that is small
+
+    def __getstate__(self):
+        return self.data
+
+    def __setstate__(self, data):
+        self.__init__(data)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        if self.bits is None and len(self.data) <= 1 << 22:
+            self.bits = np.unpackbits(self.data, bitorder="little").view(bool)
+        have = (lambda i: self.bits[i]) if self.bits is not None else (lambda i: (self.data[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1)
+        u, mask = hashes.view(np.uint64), np.uint64(len(self.data) * 8 - 1)
+        out = have((u & mask).astype(np.int64))
+        at = np.flatnonzero(out)
+        out[at] = have((u[at] >> np.uint64(32) & mask).astype(np.int64))
+        return out
+
+
 def parts_of(texts: list[str], most: int = 1_000_000):
     """Index ranges of ``texts`` that hold about ``most`` characters together: bounds the work arrays whatever a batch holds."""
     begin = 0

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import bodies, encodings, leaks, repeats, residue, scans, sentences, splitting, tokens, truncation, vectors
+from pagemill.llm import bodies, common, encodings, leaks, repeats, residue, scans, sentences, splitting, tokens, truncation, vectors
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PAGES = "page_id bigint, source_path string, page_number int, markdown string"
@@ -144,7 +144,7 @@ def pages_of(rows):
     return [(i, s, 1, t) for i, (s, t) in enumerate(rows)]
 
 
-def test_repeated_lines_equal_brute_force(spark):
+def test_repeated_lines_equal_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     lines = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) for _ in range(rng.randint(1, 9))) for _ in range(60)]
     rows = []
@@ -172,11 +172,9 @@ def test_repeated_lines_equal_brute_force(spark):
     args = (df, "page_id", "source_path", "markdown")
     found = repeats.repeated_lines(*args)
     assert {(r.page_id, r.line_no) for r in found.collect()} == want and want
-    most, repeats.MOST = repeats.MOST, -1  # the way without a broadcast gives the same
-    try:
-        assert {(r.page_id, r.line_no) for r in repeats.repeated_lines(*args).collect()} == want
-    finally:
-        repeats.MOST = most
+    monkeypatch.setattr(common, "LEAST_BITS", 6)  # a filter that lets nearly all pass gives the same
+    monkeypatch.setattr(common, "MOST_BITS", 6)
+    assert {(r.page_id, r.line_no) for r in repeats.repeated_lines(*args).collect()} == want
     cut = {r.page_id: r.markdown for r in repeats.without_lines(df, "page_id", "markdown", found).collect()}
     assert all(cut[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in want)) for i, _, _, t in given)
     assert repeats.repeated_lines(df.limit(0), *args[1:]).count() == 0
@@ -187,8 +185,9 @@ def test_sources_that_repeat_only_short_lines(spark, monkeypatch):
     rows = [(f"web/short/p{k}", f"Share\n{long(k)}\nPrint") for k in range(8)] + [(f"web/long/p{k}", f"{long('same')}\n{long(k + 50)}") for k in range(8)]
     df = spark.createDataFrame(pages_of(rows), PAGES)
     want = {(i, n) for i, s, _, _ in pages_of(rows) for n in ((1, 3) if "short" in s else (1,))}
-    for most in (repeats.MOST, -1):
-        monkeypatch.setattr(repeats, "MOST", most)
+    for most in (common.MOST_BITS, 6):
+        monkeypatch.setattr(common, "LEAST_BITS", min(most, common.LEAST_BITS))
+        monkeypatch.setattr(common, "MOST_BITS", most)
         assert {(r.page_id, r.line_no) for r in repeats.repeated_lines(df, "page_id", "source_path", "markdown").collect()} == want
 
 
@@ -278,8 +277,8 @@ def test_rows_without_path_or_number_are_judged_alike(spark, monkeypatch):
     rows += [(100, None, 1, cut), (101, "lib/x.pdf", None, cut), (102, None, None, said()), (103, "lib/y.pdf", 1, cut), (103, "lib/y.pdf", 1, cut)]
     want = {k: "transfer" if k in (100, 101, 103) else None for k, *_ in rows}
     assert _cut_causes(spark, rows) == want
-    monkeypatch.setattr(truncation, "LEAST_BITS", 6)  # a filter that lets nearly all pass changes nothing
-    monkeypatch.setattr(truncation, "MOST_BITS", 6)
+    monkeypatch.setattr(common, "LEAST_BITS", 6)  # a filter that lets nearly all pass changes nothing
+    monkeypatch.setattr(common, "MOST_BITS", 6)
     assert _cut_causes(spark, rows) == want
 
 
