@@ -34,6 +34,10 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return _noise(spark, d).repaired()
 
 
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _noise(spark, d).blocks()
+
+
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return _noise(spark, d).documents()
 
@@ -122,7 +126,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_repaired, p1_documents, p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
+    own = [p1_found, p1_repaired, p1_blocks, p1_documents, p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
     return {f.__name__: f for f in own}
 
 

@@ -1,7 +1,8 @@
 """Problem 1: noise in text from scanned pages.
 
-Words are counted over all pages. Every word is linked to the much more frequent words that plausible glyph confusions lead to; skip-gram
-vectors choose among several by the words around it. Layout tells furniture (small lines at a page's edge); broken words are joined
+Words are counted over all pages. Every word is linked to the much more frequent words that plausible glyph confusions lead to. Each
+occurrence is read in its context: skip-gram vectors tell how well each of the frequent words goes with the words around it, and together
+with the frequencies that decides whether it is misread and what was meant. Layout tells furniture (small lines at a page's edge); broken words are joined
 over lines and pages. Repair drops furniture and stray signs, writes linked words as they were meant and reflows the lines.
 """
 
@@ -28,8 +29,12 @@ GLYPHS = {
 ORDINARY = frozenset("- – — « » % ? ! … & § № # + = / * “ ” „ \" ' ( ) : ; . , · › » ». », «. º ° → --- ... !? ?! ».”".split())
 BREAKS = "-‐¬­"
 RATIO, LEAST = 20, 5
-#: Frequent words that are kept in memory and vectors of, at most.
+#: Frequent words that are kept in memory, to pass over them quickly, and have vectors, at most. Rarer ones are looked up by joins and go by their frequency.
 FREQUENT = 200_000
+#: An occurrence is misread if the logarithm of the ratio of frequencies and ``CONTEXT`` times the mean cosine to the words around reach ``BAR``.
+CONTEXT, BAR = 4.0, 4.0
+#: Words on either side of an occurrence that tell its context, and tokens for each partition that trains vectors.
+AROUND, TRAIN = 3, 1_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}$@|!ﬁﬂ]*[\p{L}ﬁﬂ$@|][\p{L}\p{M}\p{N}$@|!ﬁﬂ]*")
 _JOIN = regex.compile(rf"(?<=\p{{L}})[{BREAKS}] ?\n(?=\p{{Ll}})")
@@ -92,18 +97,25 @@ def counts(df: DataFrame, text: str, most: int = 300_000) -> DataFrame:
     return df.select(F.col(text).alias("t")).filter(F.length("t") > 0).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def links(vocabulary: DataFrame, sentences: DataFrame, size: int = 16) -> DataFrame:
-    """(w, c): rare words and the frequent word meant. ``sentences`` has an array of words, ``ws``.
+_PARTS = {x: k for k, v in GLYPHS.items() if len(k) > 1 for x in v if len(x) == 1}
+_ALIKE = str.maketrans({a: b[0] for a, b in {"1": "l", "i": "l", "!": "l", "|": "l"}.items()} | {k: v[0] for k, v in GLYPHS.items() if len(k) == 1 and len(v[0]) == 1 and k not in "1!|"})
 
-    A link needs ``RATIO`` times as many sightings of the frequent word. Among several, the one whose skip-gram vector is nearest to the words
-    around the rare one wins, together with its frequency.
+
+def outline(word: str) -> str:
+    """What all words that glyph confusions lead to from one another have in common."""
+    return "".join(_PARTS.get(x, x) for x in word).translate(_ALIKE)
+
+
+def links(vocabulary: DataFrame, longest: int = 40) -> DataFrame:
+    """(w, c, n, m): rare words ``w``, seen ``n`` times, and each frequent word ``c``, seen ``m`` >= ``RATIO`` * ``n`` times, that glyph confusions lead to.
+
+    Up to ``longest`` letters every word that two confusions lead to is looked up; longer ones, which have too many, meet by their outlines.
     """
-    from pyspark.ml.feature import Word2Vec
 
     def propose(c: dict) -> dict:
         w, n, to = [], [], []
         for x, k in zip(c["w"].to_pylist(), c["n"].to_pylist()):
-            if 2 <= len(x) <= 40:
+            if 2 <= len(x) <= longest:
                 got = edits(x, 2 if len(x) > 3 else 1)
                 w += [x] * len(got)
                 n += [k] * len(got)
@@ -111,26 +123,54 @@ def links(vocabulary: DataFrame, sentences: DataFrame, size: int = 16) -> DataFr
         return {"w": w, "n": n, "c": to}
 
     strong = vocabulary.filter(F.col("n") >= LEAST).filter(~F.col("w").rlike(r"[\d$@|!]")).select(F.col("w").alias("c"), F.col("n").alias("m"))
-    found = by_batch(vocabulary, "w string, n bigint, c string", propose).join(strong, "c").filter(F.col("m") >= RATIO * F.col("n"))
-    found = written(found, "links")
-    # Vectors of frequent words and of the words around each rare one; ambiguous links only.
-    several = found.groupBy("w").agg(F.count("*").alias("k")).filter("k > 1").select("w")
-    bar = vocabulary.filter("n >= 5").groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(1_000_000)
+    long = by_batch(vocabulary.filter(F.length("w") > longest), "w string, n bigint, o string", lambda c: {k: c[k] for k in ("w", "n")} | {"o": [outline(x) for x in c["w"].to_pylist()]})
+    meant = by_batch(strong.filter(F.length("c") > longest - 2), "c string, m bigint, o string", lambda c: {k: c[k] for k in ("c", "m")} | {"o": [outline(x) for x in c["c"].to_pylist()]})
+    found = by_batch(vocabulary, "w string, n bigint, c string", propose).join(strong, "c").select("w", "c", "n", "m").union(long.join(meant, "o").filter("w <> c").select("w", "c", "n", "m"))
+    return found.filter(F.col("m") >= RATIO * F.col("n"))
+
+
+def vectors(vocabulary: DataFrame, sentences: DataFrame, size: int = 16) -> DataFrame | None:
+    """(word, v): unit skip-gram vectors of the frequent words of ``sentences`` (an array of words, ``ws``); None where there are none.
+
+    At most ``FREQUENT`` words have one. The corpus is trained on in parts of about ``TRAIN`` tokens.
+    """
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    bar = vocabulary.filter(F.col("n") >= LEAST).groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(1_000_000)
     bar = bar.withColumn("sum", F.sum("k").over(Window.orderBy(F.desc("n")))).filter(F.col("sum") <= FREQUENT).agg(F.min("n")).first()[0]
-    if bar is None or several.isEmpty():
-        ranked = found.withColumn("score", F.log("m"))
+    tokens = sentences.agg(F.sum(F.size("ws"))).first()[0] or 0
+    if bar is None or tokens < 100:
+        return None
+    try:
+        model = Word2Vec(vectorSize=size, windowSize=3, minCount=int(min(bar, 2**31 - 1)), maxIter=1, numPartitions=int(max(4, min(512, tokens // TRAIN))), seed=7, inputCol="ws", outputCol="v").fit(sentences)
+    except Exception as e:
+        if "vocabulary size" not in str(e):  # no word of these pages is frequent enough
+            raise
+        return None
+    v = F.col("v")
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("v")).withColumn("l", length).filter("l > 0").select("word", F.transform("v", lambda x: (x / F.col("l")).cast("float")).alias("v"))
+
+
+def read(words: DataFrame, linked: DataFrame, vector: DataFrame | None) -> DataFrame:
+    """(tab, row, w, c): the misread words of each row and what was meant there. ``words`` has tab, row, w and the words around, ``ctx``.
+
+    Each frequent word that a word may be is scored by the ratio of frequencies and its mean cosine to the words around; a word without
+    vector, or without known words around it, goes by the frequencies alone (a cosine of ``BAR`` less the least ratio counts as neutral).
+    """
+    given = words.join(linked, "w")
+    plain = F.log(F.col("m") / F.col("n"))
+    if vector is None:
+        scored = given.select("tab", "row", "w", "c", (plain + BAR - F.log(F.lit(float(RATIO)))).alias("score"))
     else:
-        model = Word2Vec(vectorSize=size, windowSize=3, minCount=int(min(bar, 2**31 - 1)), maxIter=1, numPartitions=4, seed=7, inputCol="ws", outputCol="v").fit(sentences)
-        from pyspark.ml.functions import vector_to_array
-
-        vectors = written(model.getVectors().select(F.col("word"), vector_to_array("vector", "float32").alias("v")), "vectors")
-        around = sentences.select(F.posexplode("ws").alias("i", "w"), "ws").join(several, "w")
-        near = around.select("w", F.explode(F.slice("ws", F.greatest(F.col("i") - 1, F.lit(1)), 5)).alias("word")).filter("w <> word").join(vectors, "word")
-        mean = near.select("w", F.posexplode("v").alias("j", "x")).groupBy("w", "j").agg(F.avg("x").alias("x")).groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"].cast("float")).alias("around"))
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-        cosine = dot(F.col("v"), F.col("around")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("around"), F.col("around")) + F.lit(1e-12))
-        ranked = found.join(mean, "w", "left").join(vectors.withColumnRenamed("word", "c"), "c", "left").withColumn("score", F.log("m") + 4 * F.coalesce(cosine, F.lit(0.0)))
-    return ranked.groupBy("w").agg(F.max_by("c", F.struct("score", "c")).alias("c"))
+        near = given.select("tab", "row", "w", "c", plain.alias("plain"), F.explode_outer("ctx").alias("word"))
+        near = near.join(vector, "word", "left").join(vector.select(F.col("word").alias("c"), F.col("v").alias("u")), "c", "left")
+        cosine = F.aggregate(F.zip_with("v", "u", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda a, x: a + x)
+        neutral = (BAR - F.log(F.lit(float(RATIO)))) / CONTEXT
+        scored = near.groupBy("tab", "row", "w", "c").agg((F.max("plain") + CONTEXT * F.coalesce(F.avg(cosine), neutral)).alias("score"))
+    best = scored.groupBy("tab", "row", "w").agg(F.max_by("c", F.struct("score", "c")).alias("c"), F.max("score").alias("score"))
+    return best.filter(F.col("score") >= BAR - 1e-9).select("tab", "row", "w", "c")
 
 
 def is_stray(token: str) -> bool:
@@ -158,30 +198,38 @@ def suspects(line: str, known: frozenset) -> list[str]:
     return out
 
 
-def line_noise(line: str, after: str | None, before: str | None, furniture: bool, known: frozenset, compounds: frozenset) -> tuple[bool, bool, list[str]]:
-    """(broken at its end, stray or odd signs, words to look up) of one line, with the body lines around it."""
+def around(line: list[str], at: int) -> tuple[str, ...]:
+    """The words beside the one at ``at`` of a line's bare tokens."""
+    return tuple(x for x in (*line[max(0, at - AROUND) : at], *line[at + 1 : at + 1 + AROUND]) if x.isalpha())
+
+
+def line_noise(line: str, after: str | None, before: str | None, furniture: bool, known: frozenset) -> set[tuple]:
+    """What one line holds, with the body lines around it: (hyphen,) for a word broken at its end, (half, first-second) if it may be a compound's
+    hyphen, (chars,) for stray or odd signs, (word, w, words around) for each word to look up."""
     bad = suspects(line, known)
     stripped = line.rstrip()
     ends_open = not furniture and stripped[-1:] in BREAKS and stripped[-1:] != ""
     begins_open = before is not None and before.rstrip()[-1:] in BREAKS and before.strip() != ""
     if not bad and not ends_open:
-        return False, False, []
+        return set()
     row = line.lstrip().startswith("|")
-    odd = any(is_stray(t) and not (t == "|" and (furniture or row)) for t in bad) or any(_ODD.search(_CODE.sub(" ", f" {t}" if not line.startswith(t) else t)) for t in bad)
-    lookup = [w for t in bad for w in words(t)]
-    broken = False
+    out: set[tuple] = set()
+    if any(is_stray(t) and not (t == "|" and (furniture or row)) for t in bad) or any(_ODD.search(_CODE.sub(" ", f" {t}" if not line.startswith(t) else t)) for t in bad):
+        out.add(("chars", None, None))
+    bare = [t.strip(_MARKS).lower() for t in line.split()]
+    lookup = [(w, around(bare, k)) for t in bad for k in (bare.index(t.strip(_MARKS).lower()),) for w in words(t)]
     if ends_open and (m := _BROKEN.search(line)) and regex.search(r"\p{L}", m[1]):
         half = _HEAD.match((after or "").lstrip())
         first, second = m[1].lower(), half[0].lower() if half else ""
-        code = m[2] == "-" and regex.search(r"\p{Lu}\d-\s*$", line)
-        broken = not code and (m[2] != "-" or f"{first}-{second}" not in compounds)
-        if lookup and lookup[-1] == first:
+        if lookup and lookup[-1][0] == first:
             lookup.pop()
-        if broken and second:
-            lookup.append(first + second)
-    if begins_open and lookup and (m := _BROKEN.search(before)) and regex.search(r"\p{L}", m[1]) and (head := _HEAD.match(line.lstrip())) and lookup[0] == head[0].lower():
-        lookup[0] = m[1].lower() + lookup[0]
-    return broken, odd, [w for w in lookup if w not in known and len(w) > 1]
+        if not (m[2] == "-" and regex.search(r"\p{Lu}\d-\s*$", line)):
+            out.add(("half", f"{first}-{second}", None) if m[2] == "-" and second else ("hyphen", None, None))
+            if second:
+                lookup.append((first + second, around(bare, len(bare) - 1)))
+    if begins_open and lookup and (m := _BROKEN.search(before)) and regex.search(r"\p{L}", m[1]) and (head := _HEAD.match(line.lstrip())) and lookup[0][0] == head[0].lower():
+        lookup[0] = (m[1].lower() + lookup[0][0], lookup[0][1])
+    return out | {("word", w, ctx) for w, ctx in lookup if w not in known and len(w) > 1}
 
 
 class Noise:
@@ -191,17 +239,23 @@ class Noise:
         spark = pages.sparkSession
         self.pages = pages
         vocabulary = written(counts(all_texts, "text"), "words")
-        compound = vocabulary.filter(F.col("w").contains("-") & (F.col("n") >= 3)).orderBy(F.desc("n"), "w").limit(FREQUENT).select("w")
+        self.compounds = vocabulary.filter(F.col("w").contains("-") & (F.col("n") >= 3)).select("w")
         self.vocabulary = vocabulary.filter(~F.col("w").contains("-"))
-        texts = pages.filter(F.length("markdown") > 0).select(F.col("markdown").alias("text"))
-        ws = by_batch(texts, "ws array<string>", lambda c: {"ws": [[x for w in _JOIN.sub("", t).split() if (x := w.strip(_MARKS).lower())] for t in c["text"].to_pylist()]})
-        self.links = written(links(self.vocabulary, ws), "linked")
-        top = self.vocabulary.filter("n >= 20").join(self.links, "w", "left_anti").orderBy(F.desc("n"), "w").limit(FREQUENT).select("w")
-        self.known = spark.sparkContext.broadcast(tuple(frozenset(x.toArrow()["w"].to_pylist()) for x in (top, compound)))
+        self.links = written(links(self.vocabulary), "links")
+        top = self.vocabulary.filter("n >= 20").join(self.links.select("w"), "w", "left_anti").orderBy(F.desc("n"), "w").limit(FREQUENT).select("w")
+        self.known = spark.sparkContext.broadcast(frozenset(top.toArrow()["w"].to_pylist()))
         self.rows = written(self._rows(blocks), "noise")
+        texts = pages.filter(F.length("markdown") > 0).select(F.col("markdown").alias("text"))
+        vector = None if self.links.isEmpty() else vectors(self.vocabulary, by_batch(texts, "ws array<string>", _sentences))
+        vector = vector if vector is None else written(vector, "vectors")
+        once = self.rows.filter("kind = 'word'").groupBy("tab", "row", "w").agg(F.flatten(F.collect_set("ctx")).alias("ctx"))  # of one page or block
+        self.read = written(read(once, self.links, vector), "read")
+        # halves that are written with their hyphen elsewhere are compounds
+        self.halves = self.rows.filter("kind = 'half'").select("tab", "row", "w")
 
     def _rows(self, blocks: DataFrame) -> DataFrame:
-        """(tab, row, source_path, page_number, kind, w): kind is furniture (with its text), hyphen, chars, or word for one to look up.
+        """(tab, row, source_path, page_number, kind, w, ctx): kind is furniture (with its text), hyphen, half (with both halves; pair where
+        only the page's text joins them), chars, or word for one to look up, with the words around it.
 
         A page is one group of its blocks and deliveries, whose number the page bounds. Its lines are those of its blocks; lines of its text that no
         block holds are looked at by themselves. The first and last lines of the pages around serve words broken over pages.
@@ -220,87 +274,107 @@ class Noise:
         by = lambda step, col, name: g.select("source_path", (F.col("page_number") + step).alias("page_number"), F.col(col).alias(name))
         g = written(g, "boxes")
         ends = by(-1, "first", "after").join(by(1, "last", "before"), keys, "full")
+        self.boxes = g.drop("first", "last").join(ends, keys, "left")
         given = g.drop("first", "last").join(p, keys, "full").join(ends, keys, "left").select(*keys, "blocks", "pages", "after", "before")
 
         def make(c: dict) -> dict:
-            have, compounds = known.value
-            names = ("tab", "row", "source_path", "page_number", "kind", "w")
+            have = known.value
+            names = ("tab", "row", "source_path", "page_number", "kind", "w", "ctx")
             out: dict[str, list] = {k: [] for k in names}
 
             def add(tab: str, ids, path: str, page: int, got: set) -> None:
                 for i in ids:
-                    for kind, w in got:
-                        for k, v in zip(names, (tab, i, path, page, kind, w)):
+                    for kind, w, ctx in got:
+                        for k, v in zip(names, (tab, i, path, page, kind, w, ctx)):
                             out[k].append(v)
 
             for path, page, boxes, texts, after, before in zip(*(c[k].to_pylist() for k in ("source_path", "page_number", "blocks", "pages", "after", "before"))):
                 lines = lines_of(boxes or [])
-                flat = [(ids, t, small) for pieces, small in lines for ids, t in pieces]
-                inner = [k for k, x in enumerate(flat) if not x[2]]
-                place = {k: j for j, k in enumerate(inner)}
                 every: set = set()
-                for k, (ids, t, small) in enumerate(flat):
-                    j = place.get(k)
-                    nxt = prev = None
-                    if j is not None:
-                        nxt = flat[inner[j + 1]][1] if j + 1 < len(inner) else after
-                        prev = flat[inner[j - 1]][1] if j else before
-                    broken, odd, lookup = line_noise(t, nxt, prev, small, have, compounds)
-                    got = {("furniture", t)} if small else set()
-                    got |= {("hyphen", None)} if broken else set()
-                    got |= {("chars", None)} if odd else set()
-                    got |= {("word", w) for w in lookup}
+                for ids, t, small, prev, nxt in in_order(lines, before, after):
+                    got = line_noise(t, nxt, prev, small, have) | ({("furniture", t, None)} if small else set())
                     add("text_blocks", ids, path, page, got)
                     every |= got
                 seen = {" ".join(" ".join(t for _, t in pieces).split()) for pieces, _ in lines}
-                small = [t for _, t, s in flat if s]
+                small = [t for pieces, s in lines if s for _, t in pieces]
                 for page_id, text in ((x["page_id"], x["text"]) for x in texts or ()):
-                    core, edge = body_lines(text, small if flat else None)
-                    mine = {x for x in every if x[0] != "furniture"} | ({("furniture", None)} if edge else set())
+                    core, edge = body_lines(text, small if lines else None)
+                    mine = {x for x in every if x[0] != "furniture"} | ({("furniture", None, None)} if edge else set())
+                    mine |= {("pair", f"{m[1]}-{m[3]}".lower(), None) for m in _SPLIT.finditer("\n".join(core)) if m[2] == "-"}
                     for n, line in enumerate(core):
                         bare = " ".join(line.lstrip("# ").split())
                         if bare not in seen and " ".join(line.split()) not in seen:
-                            broken, odd, lookup = line_noise(line, core[n + 1] if n + 1 < len(core) else after, core[n - 1] if n else before, False, have, compounds)
-                            mine |= {("hyphen", None)} if broken else set()
-                            mine |= {("chars", None)} if odd else set()
-                            mine |= {("word", w) for w in lookup}
+                            mine |= line_noise(line, core[n + 1] if n + 1 < len(core) else after, core[n - 1] if n else before, False, have)
                     add("parsed_pages", [page_id], path, page, mine)
             return out
 
-        return by_batch(given, "tab string, row bigint, source_path string, page_number int, kind string, w string", make)
+        return by_batch(given, "tab string, row bigint, source_path string, page_number int, kind string, w string, ctx array<string>", make)
 
     def found(self) -> DataFrame:
         """(table_name, row_id, noise), one row per kind that occurs."""
-        sure = self.rows.filter("kind <> 'word'").select("tab", "row", "kind")
-        misread = self.rows.filter("kind = 'word'").join(self.links.select("w"), "w", "left_semi").select("tab", "row", F.lit("chars").alias("kind"))
-        return sure.union(misread).distinct().select(F.col("tab").alias("table_name"), F.col("row").alias("row_id"), F.col("kind").alias("noise"))
+        sure = self.rows.filter(F.col("kind").isin("furniture", "hyphen", "chars")).select("tab", "row", "kind")
+        broken = self.halves.join(self.compounds, "w", "left_anti").select("tab", "row", F.lit("hyphen").alias("kind"))
+        misread = self.read.select("tab", "row", F.lit("chars").alias("kind"))
+        return sure.union(broken).union(misread).distinct().select(F.col("tab").alias("table_name"), F.col("row").alias("row_id"), F.col("kind").alias("noise"))
+
+    def _meant(self, tab: str) -> DataFrame:
+        """(row, meant, compounds): of each row of a table the words that were meant and the compounds that keep their hyphen."""
+        meant = self.read.filter(F.col("tab") == tab).groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("w", "c"))).alias("meant"))
+        kept = self.rows.filter(F.col("kind").isin("half", "pair") & (F.col("tab") == tab)).select("row", "w").join(self.compounds, "w", "left_semi").groupBy("row").agg(F.collect_set("w").alias("compounds"))
+        return meant.join(kept, "row", "full")
+
+    def blocks(self) -> DataFrame:
+        """(block_id, source_path, page_number, text): every block as it was meant: furniture is empty, stray signs are gone, misread words as meant, a
+        broken word whole at the end of the line it begins on, also over pages. Blocks without path or text have no row."""
+        keys = ["source_path", "page_number"]
+        words = self._meant("text_blocks").select(F.col("row").alias("block_id"), "meant", "compounds")
+        of = self.rows.filter("tab = 'text_blocks'").select(*keys, F.col("row").alias("block_id")).distinct().join(words, "block_id")
+        page = of.groupBy(*keys).agg(F.flatten(F.collect_list(F.map_entries(F.coalesce("meant", F.create_map().cast("map<string,string>"))))).alias("meant"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("compounds", F.array().cast("array<string>"))))).alias("compounds"))
+
+        def make(c: dict) -> dict:
+            out: dict[str, list] = {k: [] for k in ("block_id", *keys, "text")}
+            for path, number, boxes, after, before, meant, compounds in zip(*(c[k].to_pylist() for k in (*keys, "blocks", "after", "before", "meant", "compounds"))):
+                means, kept = {x["key"]: x["value"] for x in meant or ()}, frozenset(compounds or ())
+                for ids, t, small, prev, nxt in in_order(lines_of(boxes or []), before, after):
+                    text = "" if small else whole_line(t, prev, nxt, means, kept)
+                    for i in ids:
+                        for k, v in zip(out, (i, path, number, text)):
+                            out[k].append(v)
+            return out
+
+        number = F.nullif("page_number", F.lit(-1)).alias("page_number")
+        return by_batch(self.boxes.join(page, keys, "left"), "block_id bigint, source_path string, page_number int, text string", make).select("block_id", "source_path", number, "text")
 
     def repaired(self) -> DataFrame:
         """(page_id, source_path, page_number, text): every page as continuous paragraphs; null and empty pages stay so.
 
         A word broken over two pages stands whole at the end of the first. Of a page's deliveries the one with the least key tells its halves.
         """
-        known, keys = self.known, ["source_path", "page_number"]
-        meant = self.rows.filter("tab = 'parsed_pages' AND kind = 'word'").join(self.links, "w").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("w", "c"))).alias("meant"))
+        keys = ["source_path", "page_number"]
+        meant = self._meant("parsed_pages")
         small = self.rows.filter("tab = 'text_blocks' AND kind = 'furniture'").groupBy("source_path", "page_number").agg(F.collect_set("w").alias("furniture"))
         p = self.pages.select("page_id", "source_path", "page_number", F.col("markdown").alias("text")).join(meant, F.col("page_id") == F.col("row"), "left").drop("row")
-        p = p.join(small, ["source_path", "page_number"], "left").select("page_id", "source_path", "page_number", "text", "furniture", "meant")
+        p = p.join(small, ["source_path", "page_number"], "left").select("page_id", "source_path", "page_number", "text", "furniture", "meant", "compounds")
 
         def halves(c: dict) -> dict:
-            got = [ends_of(paragraphs(t, f, known.value[1])) for t, f in zip(c["text"].to_pylist(), c["furniture"].to_pylist())]
+            got = [ends_of(paragraphs(t, f, frozenset(k or ()))) for t, f, k in zip(*(c[x].to_pylist() for x in ("text", "furniture", "compounds")))]
             return {k: c[k] for k in ("page_id", *keys)} | {"head": [x[0] for x in got], "tail": [x[1] for x in got]}
 
         full = p.filter((F.length("text") > 0) & F.col("source_path").isNotNull() & F.col("page_number").isNotNull())
-        ends = by_batch(full.select("page_id", *keys, "text", "furniture"), "page_id bigint, source_path string, page_number int, head string, tail string", halves)
+        ends = by_batch(full.select("page_id", *keys, "text", "furniture", "compounds"), "page_id bigint, source_path string, page_number int, head string, tail string", halves)
         ends = ends.groupBy(*keys).agg(F.min_by(F.struct("head", "tail"), "page_id").alias("e")).select(*keys, "e.*")
         ends = written(ends.filter("head is not null or tail is not null"), "halves")
         # equal joins to the pages around: a document of any length is spread over its pages
         by = lambda step, col, name: ends.filter(F.col(col).isNotNull()).select("source_path", (F.col("page_number") + step).alias("page_number"), F.col(col).alias(name))
-        p = p.join(by(-1, "head", "after"), keys, "left").join(by(1, "tail", "before"), keys, "left").join(ends.select(*keys, F.col("head").alias("own")), keys, "left")
+        p = p.join(by(-1, "head", "after"), keys, "left").join(by(1, "tail", "before"), keys, "left").join(ends.select(*keys, F.col("head").alias("own"), F.col("tail")), keys, "left")
+        # a compound broken over two pages keeps its hyphen
+        pair = F.lower(F.concat("tail", F.regexp_extract("after", r"^[\p{L}\p{M}\p{N}]+", 0)))
+        p = p.withColumn("pair", F.when(F.col("tail").endswith("-"), pair)).join(self.compounds.select(F.col("w").alias("pair"), F.lit(True).alias("whole")), "pair", "left")
+        p = p.withColumn("compounds", F.when(F.col("whole"), F.array_append(F.coalesce("compounds", F.array().cast("array<string>")), F.col("pair"))).otherwise(F.col("compounds")))
 
         def make(c: dict) -> dict:
-            given = zip(*(c[k].to_pylist() for k in ("text", "furniture", "meant", "after", "before", "own")))
-            return {k: c[k] for k in ("page_id", *keys)} | {"text": [t if not t else reflow(t, f, dict(m or ()), known.value[1], after, before and own) for t, f, m, after, before, own in given]}
+            given = zip(*(c[k].to_pylist() for k in ("text", "furniture", "meant", "compounds", "after", "before", "own")))
+            return {k: c[k] for k in ("page_id", *keys)} | {"text": [t if not t else reflow(t, f, dict(m or ()), frozenset(k or ()), after, before and own) for t, f, m, k, after, before, own in given]}
 
         return by_batch(p, "page_id bigint, source_path string, page_number int, text string", make)
 
@@ -335,6 +409,23 @@ def lines_of(boxes: list[dict]) -> list[tuple[list[tuple[list[int], str]], bool]
     return out
 
 
+def in_order(lines: list, before: str | None, after: str | None):
+    """(ids, text, small, text before, text after) of the pieces of a page's lines; body pieces have the body around them, over the page's edges
+    that of the pages beside it."""
+    flat = [(ids, t, small) for pieces, small in lines for ids, t in pieces]
+    inner = [k for k, x in enumerate(flat) if not x[2]]
+    place = {k: j for j, k in enumerate(inner)}
+    for k, (ids, t, small) in enumerate(flat):
+        if (j := place.get(k)) is None:
+            yield ids, t, small, None, None
+        else:
+            yield ids, t, small, flat[inner[j - 1]][1] if j else before, flat[inner[j + 1]][1] if j + 1 < len(inner) else after
+
+
+def _sentences(c: dict) -> dict:
+    return {"ws": [[x for w in _JOIN.sub("", t).split() if (x := w.strip(_MARKS).lower())] for t in c["text"].to_pylist()]}
+
+
 def body_lines(text: str, furniture: list[str] | None) -> tuple[list[str], list[str]]:
     """(body lines without blank ones, furniture lines) of a page's text; without blocks only bare page numbers at the edges are furniture."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -394,11 +485,8 @@ def continuous(pages: list[str]) -> str:
     return out
 
 
-def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compounds: frozenset = frozenset(), after: str | None = None, gone: str | None = None) -> str:
-    """Paragraphs of a page without furniture and stray signs, broken words joined, misread words as meant. ``compounds`` keep their hyphen.
-
-    ``after`` goes on with a word broken at the end of the page; the half ``gone`` at its beginning belongs to the page before.
-    """
+def fixer(meant: dict[str, str]):
+    """Puts the word that was meant in place of a match, in the same case."""
 
     def fix(m: regex.Match) -> str:
         w = m[0].rstrip("!")
@@ -407,6 +495,27 @@ def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compou
             return m[0]
         return (to.upper() if w.isupper() and len(w) > 1 else to.capitalize() if w[:1].isupper() or w[:1] in "870510" and m.start() and m.string[m.start() - 1] in " \n“«„(" and to != w.lower() and w[:1] in "87" else to) + m[0][len(w) :]
 
+    return fix
+
+
+def whole_line(line: str, before: str | None, after: str | None, meant: dict[str, str], compounds: frozenset) -> str:
+    """A line without stray signs, its misread words as meant; a word broken at its end gets its second half, one broken before it loses that."""
+    text = " ".join(t for t in line.split() if not is_stray(t)) if not line.lstrip().startswith("|") else line
+    if before is not None and _TAIL.search(before.rstrip()) and (head := _GOES_ON.match(text)):
+        text = text[head.end() :].lstrip()
+    if after is not None and (m := _TAIL.search(text)) and (head := _GOES_ON.match(after.lstrip())):
+        second = _HEAD.match(head[0])
+        text = text[: m.end(1)] + hyphen(m[1], m[2], second[0] if second else "", compounds) + head[0]
+    return _WORD.sub(fixer(meant), text).strip()
+
+
+def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compounds: frozenset = frozenset(), after: str | None = None, gone: str | None = None) -> str:
+    """Paragraphs of a page without furniture and stray signs, broken words joined, misread words as meant. ``compounds`` keep their hyphen.
+
+    ``after`` goes on with a word broken at the end of the page; the half ``gone`` at its beginning belongs to the page before.
+    """
+
+    fix = fixer(meant)
     blocks = paragraphs(text, furniture, compounds)
     head, _ = ends_of(blocks)
     if blocks and after and (m := _TAIL.search(blocks[-1])) and ends_of(blocks)[1]:

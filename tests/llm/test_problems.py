@@ -439,6 +439,24 @@ def test_scans(spark):
     fixed = {r.page_id: r.text for r in noise.repaired().collect()}
     assert fixed[1] == "A title the harbour ledger and the lower cross-border pier" and fixed[9] is None
     assert "receipt" in fixed[2] and "^" not in fixed[2] and "County" not in fixed[2]
+    lines = {text_of[r.block_id]: r.text for r in noise.blocks().collect()}
+    assert lines["12"] == lines["County Rolls"] == "" and lines["border pier"] == "pier" and lines["the muniripal circnit ^ statute"] == "the muniripal circnit statute" and lines["the harbour led-"] == "the harbour ledger" and lines["ger and the lower cross-"] == "and the lower cross-border"
+
+
+def test_misread_words_are_read_in_their_context(spark):
+    linked = spark.createDataFrame([("hariow", "harlow", 10, 250), ("hariow", "harrow", 10, 240), ("pler", "pier", 1, 4000)], "w string, c string, n bigint, m bigint")
+    vector = spark.createDataFrame([("harlow", [1.0, 0.0]), ("harrow", [0.0, 1.0]), ("town", [1.0, 0.0]), ("plough", [0.0, 1.0]), ("noise", [-0.7, -0.7])], "word string, v array<float>")
+    words = spark.createDataFrame([("t", 1, "hariow", ["town"]), ("t", 2, "hariow", ["plough"]), ("t", 3, "hariow", ["noise"]), ("t", 4, "hariow", []), ("t", 5, "pler", ["unknown"]), ("t", 6, "other", ["town"])], "tab string, row bigint, w string, ctx array<string>")
+    assert {(r.row, r.c) for r in scans.read(words, linked, vector).collect()} == {(1, "harlow"), (2, "harrow"), (4, "harlow"), (5, "pier")}
+    assert {(r.row, r.c) for r in scans.read(words, linked, None).collect()} == {(1, "harlow"), (2, "harlow"), (3, "harlow"), (4, "harlow"), (5, "pier")}
+
+
+def test_long_words_are_linked(spark):
+    long = "verwaltungsgerichtsverfahrensbeschleunigungsgesetze"
+    v = spark.createDataFrame([(long, 400), (long.replace("rf", "ri").replace("m", "rn"), 3), ("x" * 30000, 1), ("pier", 900), ("pler", 2)], "w string, n bigint")
+    wrong = long.replace("t", "f")
+    v = v.union(spark.createDataFrame([(wrong, 2)], "w string, n bigint"))
+    assert {(r.w, r.c) for r in scans.links(v).collect()} == {(wrong, long), ("pler", "pier")}
 
 
 def test_words_broken_over_pages(spark):
