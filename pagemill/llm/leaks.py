@@ -1,15 +1,13 @@
 """Problem 9: passages of held-out items inside documents.
 
-The items' n-grams (a table whose size is fixed by the evaluation sets, not by the corpus, and checked before it is broadcast) are
-looked up at every window of every document. Window hits lie on diagonals (place in the document minus place in the item). A
-run of consecutive hits on one diagonal is a verbatim passage; enough hits near one diagonal, by the q-gram bound, are a candidate for
-the whole item with changes, which an alignment then verifies.
+The items' n-grams are looked up at every window of every document, in as many passes as keep what is broadcast within a bound. A hit of the
+n-grams as long as a passage is a verbatim one. Short n-grams tell changed ones: enough hits of an item's, by the q-gram bound, are a
+candidate for the whole item with changes, which an alignment then verifies. An item's n-grams that most other items hold too are left out
+of that count as far as the bound allows, so that phrases common to many items don't meet all of them.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import by_batch
 from pagemill.llm.vectors import categories, codes_of, flags, grams, mixed, parts_of, runs, slices
 
-_LINK = regex.compile(r"\]\([^()\s]*\)|<!--.*?-->|</?\p{L}[^<>\n]{0,200}>", regex.S)
+_LINK = regex.compile(r"\]\([^()\s]*\)|<!--.*?-->|</?\p{L}[^<>\n]*>", regex.S)
 #: Left out before words are cut: marks of emphasis, soft hyphens and signs without width.
 _LEFT_OUT = "*_`~\u00ad\u200b\u200c\u200d\ufeff"
 #: Left out between two letters, so that "cross-border" is one word.
@@ -59,11 +57,46 @@ def has_no_blanks(text: str) -> bool:
     return full * 2 > len(_SIGN.findall(text))
 
 
+def quick(hashes: np.ndarray) -> np.ndarray:
+    """A table by the upper bits of some hashes, at least four places for each up to 16 million."""
+    bits = min(max(20, (len(hashes) * 4).bit_length()), 24)
+    out = np.zeros(1 << bits, bool)
+    out[(hashes >> np.uint64(64 - bits)).astype(np.intp)] = True
+    return out
+
+
+def among(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return table[(h >> np.uint64(65 - len(table).bit_length())).astype(np.intp)]
+
+
+class Table:
+    """Sorted hashes with the items that hold them."""
+
+    def __init__(self, hashes: np.ndarray, whose: np.ndarray):
+        order = np.lexsort((whose, hashes))
+        hashes, whose = hashes[order], whose[order]
+        new = np.append(True, (np.diff(whose) != 0) | (hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+        self.whose = whose[new].astype(np.int32)
+        self.distinct, self.first, self.count = np.unique(hashes[new], return_index=True, return_counts=True)
+        self.quick = quick(self.distinct)  # most windows of the corpus end here
+
+    def hits(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) for every item that holds one of the hashes ``h`` at the places ``at``."""
+        place = np.minimum(np.searchsorted(self.distinct, h), max(len(self.distinct) - 1, 0))
+        if not len(self.distinct):
+            return at[:0], at[:0]
+        hit = self.distinct[place] == h
+        at, place = at[hit], place[hit]
+        many = self.count[place]
+        entry = np.repeat(self.first[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(at, many), self.whose[entry].astype(np.int64)
+
+
 class Index:
     """The n-grams of the items of one kind (words or signs)."""
 
-    def __init__(self, items: list[tuple], cut, gram: int, run: int, one_in: int):
-        self.cut, self.gram, self.run, self.one_in = cut, gram, run, one_in
+    def __init__(self, items: list[tuple], cut, gram: int, run: int, one_in: int, common: int = 3):
+        self.cut, self.gram, self.run = cut, gram, run
         self.ids, self.units = [], []
         for i, t in items:
             u, _ = cut([t])
@@ -73,14 +106,31 @@ class Index:
         size = np.array([len(u) for u in self.units], np.int64)
         self.size, self.may = size, size // one_in
         self.least = np.maximum(size - gram + 1 - gram * self.may, 1)
-        hashes = np.concatenate([grams(u, gram) for u in self.units]) if self.units else np.zeros(0, np.uint64)
-        whose = np.repeat(np.arange(len(size)), np.maximum(size - gram + 1, 0))
-        where = np.concatenate([np.arange(max(n - gram + 1, 0)) for n in size.tolist()]) if self.units else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.whose, self.where = whose[order], where[order]
-        self.distinct, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
-        self.quick = np.zeros(1 << 20, bool)  # most windows of the corpus end here
-        self.quick[(self.distinct >> np.uint64(44)).astype(np.intp)] = True
+        none = np.zeros(0, np.uint64)
+        own = [np.unique(grams(u, gram)) for u in self.units]
+        every, held = np.unique(np.concatenate(own or [none]), return_counts=True)
+        self.own, self.few, kept = own, self.least.copy(), []
+        for k, g in enumerate(own):  # as many of the most common as half the bound leaves are not counted
+            n = held[np.searchsorted(every, g)]
+            drop = np.argsort(-n, kind="stable")[: (self.least[k] - 1) // 2]
+            drop = drop[n[drop] > common]
+            kept.append(np.delete(g, drop))
+            repeats = max(len(self.units[k]) - gram + 1 - len(g), 0)  # a gram that an item repeats is one row here
+            self.few[k] = max(self.least[k] - len(drop) - repeats, 1)
+        whose = lambda parts: np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        self.some = Table(np.concatenate(kept or [none]), whose(kept))
+        self.any = quick(every)
+        full = [self.long(grams(u, gram)) for u in self.units]
+        self.whole = Table(np.concatenate(full or [none]), whose(full))
+
+    def long(self, h: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the windows of ``run`` units from those of ``gram`` units that cover them, of all places or those in ``at``."""
+        at = np.arange(max(len(h) - self.run + self.gram, 0)) if at is None else at
+        return grams(np.stack([h[at + o] for o in self.offsets], axis=1).ravel(), len(self.offsets))[:: len(self.offsets)] if len(at) else np.zeros(0, np.uint64)
+
+    @property
+    def offsets(self) -> list[int]:
+        return sorted({*range(0, self.run - self.gram, self.gram), self.run - self.gram})
 
     def found(self, texts: list[str]) -> list[tuple[int, object]]:
         """(index of the text, id of the item) of every leak."""
@@ -90,31 +140,29 @@ class Index:
         if len(u) < self.gram:
             return []
         h = grams(u, self.gram)
-        at = np.flatnonzero(self.quick[(h >> np.uint64(44)).astype(np.intp)])
+        may = among(self.any, h)
+        last = len(u) - self.run + 1
+        at = np.flatnonzero(np.logical_and.reduce([may[o : o + last] for o in self.offsets])) if last > 0 else np.zeros(0, np.int64)
+        at = at[doc[at] == doc[at + self.run - 1]]
+        at, item = self.whole.hits(at, self.long(h, at))
+        out = set(zip(doc[at].tolist(), item.tolist()))
+        at = np.flatnonzero(among(self.some.quick, h))
         at = at[doc[at] == doc[at + self.gram - 1]]
-        place = np.minimum(np.searchsorted(self.distinct, h[at]), len(self.distinct) - 1)
-        hit = self.distinct[place] == h[at]
-        at, place = at[hit], place[hit]
-        if not len(at):
-            return []
-        many = self.count[place]
-        doc_at = np.repeat(at, many)
-        entry = np.repeat(self.first[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        item, diagonal, text = self.whose[entry], doc_at - self.where[entry], doc[doc_at]
-        order = np.lexsort((doc_at, diagonal, item, text))
-        item, diagonal, doc_at, text = item[order], diagonal[order], doc_at[order], text[order]
-        new = np.ones(len(item), bool)
-        new[1:] = (np.diff(item) != 0) | (np.diff(diagonal) != 0) | (np.diff(doc_at) != 1) | (np.diff(text) != 0)
-        start = np.flatnonzero(new)
-        long = start[np.diff(np.append(start, len(item))) + self.gram - 1 >= self.run]
-        out = set(zip(text[long].tolist(), item[long].tolist()))
-        pair = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0)))
-        hits = np.diff(np.append(pair, len(item)))
-        for p, n in zip(pair.tolist(), hits.tolist()):
+        at, item = self.some.hits(at, h[at])
+        text = doc[at]
+        order = np.lexsort((at, item, text))
+        at, item, text = at[order], item[order], text[order]
+        pair = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0))) if len(at) else np.zeros(0, np.int64)
+        hits = np.diff(np.append(pair, len(at)))
+        enough = hits >= self.few[item[pair]]
+        for p in pair[enough].tolist():
             k, d = int(item[p]), int(text[p])
-            if n >= self.least[k] and (d, k) not in out:
+            if (d, k) not in out:
                 low, high = np.searchsorted(doc, [d, d + 1])
-                for a, b in self.windows(np.unique(doc_at[p : p + n]), k):
+                here = h[low : high - self.gram + 1]  # now with all of the item's
+                own = self.own[k]
+                every = low + np.flatnonzero(own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here)
+                for a, b in self.windows(every, k) if len(every) >= self.least[k] else ():
                     if self.near(self.units[k], u[max(a, low) : min(b, high)], int(self.may[k])):
                         out.add((d, k))
                         break
@@ -145,43 +193,43 @@ class Index:
 
 
 def leaks(
-    df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = 12, full_run: int = 40, one_in: int = 6, gram: int = 3, full_gram: int = 4, most_bytes: int = 256 << 20
+    df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = 12, full_run: int = 40, one_in: int = 6, gram: int = 3, full_gram: int = 4, most_bytes: int = 8 << 20
 ) -> DataFrame:
     """One row (key, item_key) for each item that leaks into a text.
 
     An item leaks if ``run`` consecutive words of it stand in the text (``full_run`` letters and digits where it is mainly written in a
     script without blanks), or all of it with at most one unit in ``one_in`` changed. Null and empty texts and items give no row; repeated
-    rows of one key give one. The items' texts are gathered on the driver and must stay under ``most_bytes``.
+    rows of one key give one. Of the items about ``most_bytes`` of text at a time are gathered on the driver and broadcast as an index of some
+    ten times their size; larger sets of items are looked for in several passes over the texts.
     """
-    size = items.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"the items hold {size} bytes; at most {most_bytes} can be broadcast: pass them in parts")
-    held = [(r[0], r[1]) for r in items.select(item_key, item_text).filter(F.col(item_text).isNotNull()).distinct().collect()]
-    parts = [
-        Index([x for x in held if not has_no_blanks(x[1])], words, gram, run, one_in),
-        Index([x for x in held if has_no_blanks(x[1])], signs, full_gram, full_run, one_in),
-    ]
-    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(parts))
-    kept: dict = {}
-
-    def make(c: dict) -> dict:
-        if not kept:
-            kept["parts"] = pickle.loads(shared.value)
-        own, texts, keys, found = c["key"].to_pylist(), c["text"].to_pylist(), [], []
-        for a, b in parts_of(texts):
-            for p in kept["parts"]:
-                rows = range(a, b) if p.cut is words else [i for i in range(a, b) if _FULL.search(texts[i])]
-                got = p.found([texts[i] for i in rows]) if rows else []
-                keys += [own[rows[d]] for d, _ in got]
-                found += [i for _, i in got]
-        return {"key": keys, "item": found}
-
+    given_items = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).filter(F.length("t") > 0).distinct()
+    size = given_items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    passes = max(1, -(-size // most_bytes))
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     given = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    out = by_batch(given, f"key {kind}, item {item_kind}", make)
+    out = None
+    for n in range(passes):
+        held = [(r.i, r.t) for r in (given_items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == n) if passes > 1 else given_items).collect()]
+        parts = [
+            Index([x for x in held if not has_no_blanks(x[1])], words, gram, run, one_in),
+            Index([x for x in held if has_no_blanks(x[1])], signs, full_gram, full_run, one_in),
+        ]
+        one = by_batch(given, f"key {kind}, item {item_kind}", _scan, df.sparkSession.sparkContext.broadcast(parts))
+        out = one if out is None else out.union(one)
     return out.distinct().withColumnsRenamed({"key": key, "item": item_key})
 
 
+def _scan(c: dict, parts) -> dict:
+    own, texts, keys, found = c["key"].to_pylist(), c["text"].to_pylist(), [], []
+    for a, b in parts_of(texts):
+        for p in parts.value:
+            rows = range(a, b) if p.cut is words else [i for i in range(a, b) if _FULL.search(texts[i])]
+            got = p.found([texts[i] for i in rows]) if rows else []
+            keys += [own[rows[d]] for d, _ in got]
+            found += [i for _, i in got]
+    return {"key": keys, "item": found}
+
+
 def without(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """The rows of ``df`` into which nothing leaked."""
     return df.join(found.select(key).distinct(), key, "left_anti")

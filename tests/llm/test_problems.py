@@ -101,9 +101,29 @@ def test_leaks(spark):
     df = spark.createDataFrame(list(docs.items()) + [(1, docs[1])], "k bigint, t string").withColumn("item", F.lit(0))
     items = spark.createDataFrame([(7, " ".join(item)), (8, full), (9, None)], "i bigint, t string")
     assert {(r.k, r.i) for r in leaks.leaks(df, "k", "t", items, "i", "t").collect()} == {(1, 7), (2, 7), (4, 7), (6, 8), (10, 7)}
+    assert {(r.k, r.i) for r in leaks.leaks(df, "k", "t", items, "i", "t", most_bytes=40).collect()} == {(1, 7), (2, 7), (4, 7), (6, 8), (10, 7)}  # in several passes
     assert leaks.leaks(df, "k", "t", items.limit(0), "i", "t").count() == 0
 
 
+def test_leaks_of_items_with_common_phrases_equal_brute_force():
+    rng = random.Random(12)
+    phrase = "as was said in the notes of the board and of the mill".split()
+    items = [(k, [*phrase, *(f"w{rng.randint(0, 60)}" for _ in range(20)), *phrase[:6]]) for k in range(40)]
+    docs = []
+    for k, item in items:
+        own = list(item)
+        for i in rng.sample(range(len(own)), rng.randint(0, 9)):
+            own[i] = rng.choice(["zz", *phrase])
+        docs.append([*(f"f{rng.randint(0, 9)}" for _ in range(8)), *own, *phrase[:9]])
+    index = leaks.Index([(k, " ".join(x)) for k, x in items], leaks.words, 3, 12, 6)
+    got = set(index.found([" ".join(x) for x in docs]))
+    number = {w: i for i, w in enumerate(sorted({w for x in [*docs, *(y for _, y in items)] for w in x}))}
+    code = lambda x: np.array([number[w] for w in x])
+    runs = lambda x: {tuple(x[i : i + 12]) for i in range(len(x) - 11)}
+    want = {(d, k) for d, x in enumerate(docs) for k, y in items if runs(x) & runs(y) or leaks.Index.near(code(y), code(x), len(y) // 6)}
+    assert got == want and len({d for d, _ in want}) > 30
+
+
 # 10
 SENTENCES = [
     ("Mr. Noras sold it at 4 p.m. and left. Who knows?", 2), ("“Is it open?” asked Pico, holding it. They reviewed lists, etc. The pier closed.", 3), ("See Fig. 3 and No. 10 of it. J. K. Bell wrote 3.7 % there.", 2),
