@@ -13,19 +13,22 @@ class Settings:
     vlm_routes_file: str = ""
     vlm_model_override: str = ""
     vlm_concurrency: int = 10
+    vlm_timeout: int = 60
     enrich_links: bool = False
     extract_images: bool = False
     page_tags: bool = False
+    image_dpi: int = 200
     image_max_size: int = 4096
     output_dir: str = "output"
 
     @classmethod
-    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "FPE_") -> Settings:
-        """Fields that the environment sets; unknown variables are ignored, a value of the wrong kind is an error."""
+    def from_env(cls, env: Mapping[str, str] | None = None, prefixes: tuple[str, ...] = ("PAGEMILL_", "FPE_")) -> Settings:
+        """Fields that the environment sets, under our prefix or, for configurations that are already there, the older one; ours counts first.
+        Unknown variables are ignored, a value of the wrong kind is an error."""
         env = os.environ if env is None else env
         given = {}
         for f in fields(cls):
-            raw = env.get(f"{prefix}{f.name.upper()}")
+            raw = next((env[k] for p in prefixes if (k := f"{p}{f.name.upper()}") in env), None)
             if raw is not None:
                 kind = type(f.default)
                 given[f.name] = raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw)

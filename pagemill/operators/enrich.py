@@ -80,9 +80,9 @@ def pictured(text: str, pictures: list[tuple[float, str]]) -> str:
     return "\n".join(x for i, line in enumerate(lines) for x in (*before.get(i, ()), line))
 
 
-def with_pictures(pages: DataFrame, pictures: DataFrame, keys: list[str], text: str) -> DataFrame:
+def with_pictures(pages: DataFrame, pictures: DataFrame, keys: list[str], text: str, path: str = "path") -> DataFrame:
     """Pages with the paths of their exported pictures (keys, ord, y, path)."""
-    per = pictures.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("y").cast("double").alias("y"), "path"))).alias("_p"))
+    per = pictures.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("y").cast("double").alias("y"), F.col(path).alias("path")))).alias("_p"))
 
     @F.pandas_udf("string")
     def put(t: pd.Series, k: pd.Series) -> pd.Series:

@@ -26,9 +26,16 @@ PROMPTS = {"pptx": "slide", "xlsx": "table", "image": "image", "scan": "scan"}
 STRATEGIES = ("fast", "ocr", "hybrid", "vlm")
 
 
+#: What stands for a file whose format has no text of its own.
+UNSUPPORTED = "*[File: {name} — direct extraction not supported for this format]*"
+
+
 def registry(spark: SparkSession) -> DataFrame:
-    """(ext, decoder, file_type, needs_vlm): 25 suffixes."""
-    rows = [(e, n, t, v) for n, t, v, exts in DECODERS for e in exts.split()]
+    """(ext, decoder, file_type, needs_vlm): 25 suffixes, and those of the caller's decoders, whose names are their suffixes."""
+    from pagemill.sources.custom import CUSTOM
+
+    rows = [(e, n, t, v) for n, t, v, exts in DECODERS for e in exts.split() if e not in CUSTOM]
+    rows += [(e, e, c.file_type, c.needs_vlm) for e, c in CUSTOM.items()]
     return spark.createDataFrame(rows, "ext string, decoder string, file_type string, needs_vlm boolean")
 
 
@@ -85,7 +92,3 @@ def pending(files: DataFrame, outputs: DataFrame, path: str, output: str) -> Dat
 
 def failed_text(error: Column) -> Column:
     return F.concat(F.lit("<!-- Extraction failed: "), filled(error), F.lit(" -->"))
-
-
-def unsupported_text(name: Column) -> Column:
-    return F.concat(F.lit("*[File: "), filled(name), F.lit(" — direct extraction not supported for this format]*"))

@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
+from pagemill.config import Settings
 from pagemill.functions import text as tx
 from pagemill.operators import assembly, enrich, layout, models_io, routing, tables, usage
+from pagemill.plans import pipeline, stubs
 from pagemill.session import shared_dir, table, written
 from pagemill.sources import catalogue, files
 from pagemill.sources import html as web
@@ -363,12 +367,21 @@ SQL_HTML = "WITH h AS (" + _HTML_SQL + f") SELECT c_custkey, title, description,
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("title string, description string, markdown string")
     def parse(h: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([web.metadata(x) | {"markdown": web.markdown(x)} for x in h], columns=["title", "description", "markdown"])
+        return pd.DataFrame([web.metadata(x, t) | {"markdown": web.markdown(x, root=t)} for x in h for t in (web.tree(x),)], columns=["title", "description", "markdown"])
 
     return _customer_html(spark, d).select("c_custkey", parse("html").alias("p")).select("c_custkey", "p.*")
 
 
-@query()
+_LINKED_SQL = r"""
+    WITH l AS (SELECT source_path, array_to_string(string_split(min(title), ' ')[1:2], ' ') AS a, 'https://docs.example/' || source_path AS u FROM parsed_documents WHERE title IS NOT NULL GROUP BY source_path),
+    p AS (SELECT page_id, page_number, source_path, markdown, CASE WHEN page_number IS NOT NULL THEN a END AS a, u, regexp_replace(markdown, '\[([^\]]+)\]\([^)]+\)', '\1', 'g') AS x FROM parsed_pages LEFT JOIN l USING (source_path)),
+    h AS (SELECT *, list_filter([CASE WHEN length(a) >= 2 AND (k = 0 OR (k < least(4, length(a) // 2) AND length(a) - k >= 3)) AND strpos(x, a[k + 1:]) > 0 THEN a[k + 1:] END FOR k IN [0, 1, 2, 3]], lambda t: t IS NOT NULL)[1] AS hit FROM p),
+    c AS (SELECT *, strpos(x, hit) - 1 AS o FROM h),
+    e AS (SELECT *, o - length(regexp_extract(x[:o], '[^ \n\t(\[*]*$')) AS b, o + length(hit) + length(regexp_extract(x[o + length(hit) + 1:], '^[^ \n\t.,;:!?)\]*]*')) AS z FROM c)
+    SELECT source_path, page_number, page_id, CASE WHEN a IS NULL THEN markdown WHEN hit IS NULL THEN x ELSE x[:b] || '[' || x[b + 1:z] || '](' || u || ')' || x[z + 1:] END AS markdown FROM e"""
+
+
+@query(_LINKED_SQL)
 def link_enrichment(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "parsed_pages").select("source_path", "page_number", "page_id", "markdown")
     # the first words of every document's title lead to its address
@@ -377,7 +390,21 @@ def link_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return enrich.with_links(pages, links, ["source_path", "page_number"], "markdown")
 
 
-@query()
+_STEM_SQL = r"regexp_extract(string_split(source_path, '/')[-1], '\A(.+?)(\.[^.]*)?\z', 1)"
+_PICTURED_SQL = rf"""
+    WITH v AS (SELECT source_path, page_number, list({{'y': (element_id % 842)::DOUBLE, 'path': 'images/' || {_STEM_SQL} || '_' || element_id || '.png'}} ORDER BY element_id) AS p FROM visual_elements WHERE page_number IS NOT NULL GROUP BY ALL),
+    t AS (SELECT page_id, source_path, page_number, markdown, p, '<!-- FPE_IMG:p\d+_\d+ -->\s*\n*!\[.*?\]\(image\)' AS fast, '!\[([^\]]*)\]\(figure(?:_(\d+))?\)' AS fig, string_split(markdown, {_NL}) AS lines FROM parsed_pages LEFT JOIN v USING (source_path, page_number)),
+    m AS (SELECT *, regexp_extract_all(markdown, fast) AS fm, string_split_regex(markdown, fast) AS fp, regexp_extract_all(markdown, fig) AS gm, string_split_regex(markdown, fig) AS gp, regexp_extract_all(markdown, fig, 1) AS gd, regexp_extract_all(markdown, fig, 2) AS gn FROM t),
+    n AS (SELECT *, len(list_filter(gn, lambda z: z <> '' AND z::INT < len(p))) > 0 AS numbered FROM m),
+    g AS (SELECT *, list_transform(range(1, len(gm) + 1), lambda i: CASE WHEN numbered THEN CASE WHEN gn[i] <> '' AND TRY_CAST(gn[i] AS INT) < len(p) THEN p[TRY_CAST(gn[i] AS INT) + 1].path END WHEN gn[i] = '' THEN p[len(list_filter(gn[:i], lambda z: z = ''))].path END) AS gu FROM n),
+    f AS (SELECT *, array_to_string(list_transform(range(1, len(gp) + 1), lambda i: gp[i] || CASE WHEN i <= len(gm) THEN CASE WHEN gu[i] IS NULL THEN gm[i] ELSE '![' || gd[i] || '](' || gu[i] || ')' END ELSE '' END), '') AS figured FROM g)
+    SELECT page_id, source_path, page_number, CASE WHEN p IS NULL OR markdown IS NULL THEN markdown
+      WHEN len(fm) > 0 THEN array_to_string(list_transform(range(1, len(fp) + 1), lambda i: fp[i] || CASE WHEN i <= len(fm) THEN CASE WHEN i <= len(p) THEN '![Image](' || p[i].path || ')' ELSE fm[i] END ELSE '' END), '')
+      WHEN figured <> markdown THEN figured
+      ELSE array_to_string(flatten(list_transform(range(len(lines)), lambda i: list_concat(list_transform(list_filter(p, lambda z: greatest(0, least(floor(z.y / (842.0::DOUBLE / len(lines)))::INT, len(lines) - 1)) = i), lambda z: {_NL} || '![Image](' || z.path || ')' || {_NL}), [lines[i + 1]]))), {_NL}) END AS markdown FROM f"""
+
+
+@query(_PICTURED_SQL)
 def image_enrichment(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "parsed_pages").select("source_path", "page_number", "page_id", "markdown")
     e = layout.placeholders(table(spark, d, "visual_elements"), ["source_path", "page_number"], "element_id")
@@ -399,14 +426,26 @@ def hybrid_fill(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", F.regexp_replace("markdown", "\u0001[^\u0002]*\u0002", "").alias("markdown"))
 
 
-@query()
+_PART_ROW = "'| ' || l_partkey || ' | ' || l_returnflag || CASE WHEN i % 5 = 0 THEN ' | ' || l_suppkey ELSE '' END || ' |'"
+_PART_HEAD = f"CASE WHEN min(i) % 5 = 0 THEN '| part | flag | supplier |' || {_NL} || '| --- | --- | --- |' ELSE '| part | flag |' || {_NL} || '| --- | --- |' END || {_NL}"
+
+
+@query(f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    g AS (SELECT l_orderkey, (i // 5) * 2 + (i % 5 > 0)::INT AS part, CASE WHEN min(i) % 2 = 1 THEN {_PART_HEAD} ELSE '' END || string_agg({_PART_ROW}, {_NL} ORDER BY i) || CASE WHEN max(n) = 1 THEN {_NL} || '<!-- TABLE_CONTINUES:columns=2 -->' ELSE '' END AS t FROM r GROUP BY l_orderkey, part)
+    SELECT l_orderkey, string_agg(t, {_RULE_SQL} ORDER BY part) AS markdown FROM g GROUP BY l_orderkey""")
 def table_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Tables over two to four pages: each order is a document, each line of it a page that ends and begins within a table."""
+    """Each order is a document, each line of it a page that ends and begins within a table: the first two by marks, others by their shape; every fifth
+    has three columns, so that it stands alone; every other has no header."""
     l = table(spark, d, "lineitem")  # noqa: E741
-    row = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), "l_returnflag", F.lit(" |"))
-    head = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("| part | flag |\n| --- | --- |\n"), row)).otherwise(row)
-    pages = l.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("tie"), head.alias("markdown"))
-    return assembly.assembled(pages, "l_orderkey", "l_linenumber", "markdown", "tie")
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    l = l.withColumn("i", i)  # noqa: E741
+    wide = F.col("i") % 5 == 0
+    row = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), "l_returnflag", F.when(wide, F.concat(F.lit(" | "), F.col("l_suppkey").cast("string"))).otherwise(""), F.lit(" |"))
+    head = F.when(wide, "| part | flag | supplier |\n| --- | --- | --- |\n").otherwise("| part | flag |\n| --- | --- |\n")
+    body = F.when(F.col("i") % 2 == 1, F.concat(head, row)).otherwise(row)
+    body = F.when(F.col("i") == 1, F.concat(body, F.lit("\n<!-- TABLE_CONTINUES:columns=2 -->"))).when(F.col("i") == 2, F.concat(F.lit("<!-- TABLE_CONTINUED:columns=2 -->\n"), body)).otherwise(body)
+    return assembly.assembled(l.select("l_orderkey", "i", body.alias("markdown")), "l_orderkey", "i", "markdown", "i")
 
 
 @query("""
@@ -428,20 +467,104 @@ def chunking(spark: SparkSession, d: str) -> DataFrame:
     return assembly.chunks(table(spark, d, "parsed_pages"), ["page_id"], "markdown")
 
 
-@query()
+_PROMPT = routing.TEXTS["document"] + routing.TABLES
+
+
+@query(f"SELECT source_path, page_number, coalesce(markdown, '') AS markdown, 'echo' AS provider, {len(_PROMPT) // 4} AS input_tokens, strlen(coalesce(markdown, '')) // 4 AS output_tokens, CAST(NULL AS VARCHAR) AS error FROM parsed_pages")
 def model_calls(spark: SparkSession, d: str) -> DataFrame:
     """Every page through the stub of a model, written before it is used."""
     prompt = routing.prompt(F.lit("document"), F.lit(0), routing.TEXTS, routing.NUMBERING, routing.TABLES)
     pages = table(spark, d, "parsed_pages").select("source_path", "page_number", prompt.alias("prompt"), F.encode(tx.filled(F.col("markdown")), "UTF-8").alias("content"))
-    return written(models_io.extracted(pages, models_io.echo, "echo"), "answers")
+    return written(models_io.extracted(pages, models_io.echo, "echo"), "answers").drop("prompt_hash")
 
 
-@query()
+def _shipped_sql() -> str:
+    price = lambda m, k: float(m.get("pricing", {}).get(k, 0.0))
+    models = ", ".join(f"('{n}', '{m['provider']}', '{m['model_id']}', {m.get('max_tokens', 8192)}, {price(m, 'input')}::DOUBLE, {price(m, 'output')}::DOUBLE)" for n, m in catalogue.SHIPPED["models"].items())
+    providers = ", ".join(f"('{n}', '{p['base_url']}')" for n, p in catalogue.SHIPPED["providers"].items())
+    return f"SELECT m.*, CASE WHEN length(u) < 50 THEN u ELSE u[1:47] || '...' END AS url FROM (VALUES {models}) m(name, provider, model_id, max_tokens, input_price, output_price) JOIN (VALUES {providers}) p(provider, u) USING (provider)"
+
+
+@query(_shipped_sql())
 def routes_catalogue(spark: SparkSession, d: str) -> DataFrame:
     t = catalogue.tables(spark, catalogue.SHIPPED)
     return t["models"].join(t["providers"].withColumnRenamed("name", "provider"), "provider").select("name", "provider", "model_id", "max_tokens", "input_price", "output_price", tx.shortened(F.col("base_url")).alias("url"))
 
 
+#: A PDF for each supplier: a heading, two lines, a grid, a link and a picture.
+_PDF = (
+    "%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Type/Pages/Kids[3 0 R]/MediaBox[0 0 600 800]>> endobj 3 0 obj <</Type/Page/Contents 4 0 R/Resources<</Font<</F 5 0 R>>/XObject<</I 6 0 R>>>>/Annots[7 0 R]>> endobj "
+    "5 0 obj <</Type/Font/Subtype/Type1/BaseFont/Helvetica>> endobj 6 0 obj <</Subtype/Image/Filter/DCTDecode/Width 9/Height 9>> stream\nseen {0}\nendstream endobj 7 0 obj <</Subtype/Link/Rect[48 598 90 612]/A<</S/URI/URI(https://s.example/{1})>>>> endobj "
+    "4 0 obj <<>> stream\nBT /F 24 Tf 50 700 Td ({0}) Tj /F 12 Tf 0 -60 Td (Nation {2}) Tj 0 -14 Td (Supplier {1}) Tj 0 -24 Td (Report) Tj ET "
+    "50 540 m 250 540 l S 50 520 m 250 520 l S 50 500 m 250 500 l S 50 500 m 50 540 l S 150 500 m 150 540 l S 250 500 m 250 540 l S "
+    "BT /F 12 Tf 60 526 Td (key) Tj 100 0 Td (nation) Tj -100 -20 Td ({1}) Tj 100 0 Td ({2}) Tj ET q 50 0 0 50 50 300 cm /I Do Q\nendstream endobj"
+)
+
+
+def _supplier_files(spark: SparkSession, d: str) -> DataFrame:
+    bits = _PDF.replace("{0}", "\0{0}\0").replace("{1}", "\0{1}\0").replace("{2}", "\0{2}\0").split("\0")
+    cols = {"{0}": F.col("s_name"), "{1}": F.col("s_suppkey").cast("string"), "{2}": F.col("s_nationkey").cast("string")}
+    pdf = table(spark, d, "supplier").select(F.format_string("s_%d.pdf", "s_suppkey").alias("path"), F.encode(F.concat(*[cols.get(b, F.lit(b)) for b in bits]), "UTF-8").alias("content"))
+    text = table(spark, d, "nation").select(F.format_string("n_%d.txt", "n_nationkey").alias("path"), F.encode("n_name", "UTF-8").alias("content"))
+    return pdf.union(text)
+
+
+_PDF_BODY = f"'Nation ' || s_nationkey || {_NL} || 'Supplier ' || s_suppkey"
+_PDF_GRID = f"'| key | nation |' || {_NL} || '| --- | --- |' || {_NL} || '| ' || s_suppkey || ' | ' || s_nationkey || ' |'"
+_TXT = f"SELECT 'n_' || n_nationkey || '.txt' AS path, 'text' AS file_type, 1 AS page_number, n_name || {_NL} AS markdown, '' AS provider FROM nation"
+
+
+def _pdf_sql(markdown: str, provider: str) -> str:
+    return f"SELECT 's_' || s_suppkey || '.pdf' AS path, 'pdf' AS file_type, 1 AS page_number, {markdown} || {_NL} AS markdown, '{provider}' AS provider FROM supplier UNION ALL {_TXT}"
+
+
+def _fast_sql(picture: str) -> str:
+    two = f"{_NL} || {_NL}"
+    return _pdf_sql(f"'# ' || s_name || {two} || {_PDF_BODY} || {two} || '[Report](https://s.example/' || s_suppkey || ')' || {two} || {_PDF_GRID} || {two} || {picture}", "pymupdf")
+
+
+def _strategy(spark: SparkSession, d: str, strategy: str, models: models_io.Models | None = models_io.Models(stubs.answered, "one")) -> DataFrame:
+    run = pipeline.Run(_supplier_files(spark, d), Settings(strategy=strategy), pipeline.Tools(models, stubs.recognised, stubs.rendered))
+    return run.pages().select("path", "file_type", "page_number", "markdown", "provider")
+
+
+@query(_fast_sql(f"'<!-- FPE_IMG:p1_0 -->' || {_NL} || {_NL} || '![Image](image)'"))
+def strategy_fast(spark: SparkSession, d: str) -> DataFrame:
+    return _strategy(spark, d, "fast")
+
+
+@query(_pdf_sql(f"s_name || {_NL} || 'Nation ' || s_nationkey || {_NL} || 'Supplier ' || s_suppkey || {_NL} || 'Report' || {_NL} || 'key' || {_NL} || 'nation' || {_NL} || s_suppkey || {_NL} || s_nationkey", "pp-ocrv5"))
+def strategy_ocr(spark: SparkSession, d: str) -> DataFrame:
+    return _strategy(spark, d, "ocr")
+
+
+@query(_fast_sql("'one: SEEN ' || upper(s_name)"))
+def strategy_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return _strategy(spark, d, "hybrid")
+
+
+@query(_pdf_sql("'two: ' || s_nationkey", "two"))
+def strategy_vlm(spark: SparkSession, d: str) -> DataFrame:
+    """The first model refuses every page, the second answers."""
+    return _strategy(spark, d, "vlm", models_io.Models(stubs.answered, "full", "two"))
+
+
+@query("SELECT 's_' || s_suppkey || '.pdf' AS path, 1 AS page_number, unnest(['link', 'picture']) AS kind, 0 AS ord, unnest(['Report', NULL]) AS anchor, unnest(['https://s.example/' || s_suppkey, NULL]) AS uri, unnest([NULL, 'seen ' || s_name]) AS content, unnest([NULL, 450.0::DOUBLE]) AS y FROM supplier")
+def pdf_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Links and pictures of PDF files."""
+    got = files.parts(_supplier_files(spark, d).filter("path LIKE '%.pdf'"))
+    return got.select("path", "page_number", "kind", "ord", "anchor", "uri", F.decode("content", "UTF-8").alias("content"), "y")
+
+
+@query("SELECT count(*) AS requests, sum(13)::BIGINT AS input_tokens, sum(length('seen ' || s_name))::BIGINT AS output_tokens, sum(13 + length('seen ' || s_name))::BIGINT AS total_tokens, round(sum(13 * 2 + length('seen ' || s_name) * 8)::DOUBLE / 1e6, 9) AS cost FROM supplier".replace("13", str(len(routing.TEXTS["image"].split()))))
+def run_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What the calls of a hybrid run cost."""
+    models = models_io.Models(stubs.answered, "one", prices=(("one", 2.0, 8.0),))
+    run = pipeline.Run(_supplier_files(spark, d), Settings(strategy="hybrid"), pipeline.Tools(models, stubs.recognised, stubs.rendered))
+    run.pages()
+    return run.cost()
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY date_trunc('day', ts), event_type HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
 def stream_usage_windows(spark: SparkSession, d: str) -> DataFrame:
     """Day windows that the watermark has closed, from the events as a stream."""
@@ -455,9 +578,8 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     base = f"{shared_dir(spark).rstrip('/')}/pagemill-files-{uuid.uuid4().hex}"
-    local = base.removeprefix("file://")
     nation = table(spark, d, "nation").select(F.concat(F.lit("n_"), F.col("n_nationkey").cast("string"), F.lit(".html")).alias("path"), F.concat(F.lit("# "), "n_name").alias("text"))
-    files.save_documents(nation, "path", "text", local)
+    files.save_documents(nation, "path", "text", base)
     schema = "path string, file_type string, page_number int, markdown string, provider string, metadata map<string,string>, error string"
     ingest.ingest(spark, base, f"{base}-pages", f"{base}-state")
     ingest.ingest(spark, base, f"{base}-pages", f"{base}-state")

@@ -11,11 +11,10 @@ import re
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
-import zlib
 from collections.abc import Callable
 
 from pagemill.operators.tables import FORMULAS
-from pagemill.sources import html
+from pagemill.sources import html, pdf
 
 Decoded = tuple[list[str], dict[str, str]]
 
@@ -48,8 +47,10 @@ def separated(data: bytes, name: str) -> Decoded:
 
 
 def web(data: bytes, name: str) -> Decoded:
+    """The article of a page, or all of it where none stands out."""
     source = lines_of(data)
-    return [html.page(source)], html.metadata(source)
+    root = html.tree(source)
+    return [html.page(source, root=root, article=True)], html.metadata(source, root)
 
 
 def rtf(data: bytes, name: str) -> Decoded:
@@ -100,7 +101,8 @@ def _all(e: ET.Element | None, *names: str) -> list[ET.Element]:
 
 
 def _core(z: zipfile.ZipFile) -> dict[str, str]:
-    own = {_local(e): e.text or "" for e in (_xml(z, "docProps/core.xml") or [])}
+    root = _xml(z, "docProps/core.xml")
+    own = {} if root is None else {_local(e): e.text or "" for e in root}
     return {"title": own.get("title", ""), "author": own.get("creator", ""), "subject": own.get("subject", ""), "created": own.get("created", ""), "modified": own.get("modified", "")}
 
 
@@ -184,12 +186,38 @@ def split_grid(rows: list[list[str]], title: str, most: int = 50) -> list[str]:
     return [grid([rows[0], *rows[a:b]], title if a == 1 else f"{title} — {rows[a][0].strip()}") for a, b in zip(starts, [*starts[1:], len(rows)])]
 
 
+#: Number formats that show dates or times without naming them. Fixed values.
+DATES = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+
+
+def _dated(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles of a workbook that show numbers as dates."""
+    root = _xml(z, "xl/styles.xml")
+    own = {_attr(f, "numFmtId"): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", _attr(f, "formatCode")).lower() for f in _all(root, "numFmt")}
+    shows = lambda i: int(i or 0) in DATES or bool(re.search(r"[dyhs]", own.get(i, "")))
+    return {k for xfs in _all(root, "cellXfs")[:1] for k, xf in enumerate(_all(xfs, "xf")) if shows(_attr(xf, "numFmtId", "0"))}
+
+
+def _moment(serial: str, since_1904: bool) -> str:
+    """A day number as a date and time, a part of a day as a time."""
+    from datetime import datetime, timedelta
+
+    try:
+        days = float(serial)
+        if days < 1 and not since_1904:
+            return str((datetime(2000, 1, 1) + timedelta(seconds=round(days * 86400))).time())
+        return str(datetime(1904, 1, 1) + timedelta(seconds=round(days * 86400)) if since_1904 else datetime(1899, 12, 30 if days >= 60 else 31) + timedelta(seconds=round(days * 86400)))
+    except (ValueError, OverflowError):
+        return serial
+
+
 def xlsx(data: bytes, name: str) -> Decoded:
     """Sheets as tables: merged values over their ranges, notes on formulas, blank rows left out, large sheets split."""
     with _parts(data) as z:
         rels = _links(z, "xl/workbook.xml")
         shared = ["".join(t.text or "" for t in _all(s, "t")) for s in _all(_xml(z, "xl/sharedStrings.xml"), "si")]
-        pages, names = [], []
+        pages, names, dated = [], [], _dated(z)
+        since_1904 = any(_attr(p, "date1904") in ("1", "true") for p in _all(_xml(z, "xl/workbook.xml"), "workbookPr"))
         for sheet in _all(_xml(z, "xl/workbook.xml"), "sheet"):
             names.append(_attr(sheet, "name"))
             root = _xml(z, rels[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))])
@@ -204,6 +232,10 @@ def xlsx(data: bytes, name: str) -> Decoded:
                     value = "".join(t.text or "" for t in _all(c, "t"))
                 elif kind == "b":
                     value = {"1": "True", "0": "False"}.get(value, value)
+                elif kind in ("", "n") and value and int(_attr(c, "s", "0") or 0) in dated:
+                    value = _moment(value, since_1904)
+                elif kind == "d":
+                    value = value.replace("T", " ")
                 cells[at] = value
                 formula = next((f.text for f in c if _local(f) == "f" and f.text), None)
                 if formula:
@@ -274,83 +306,7 @@ def image(data: bytes, name: str) -> Decoded:
     return [f"![{file} ({w}x{h}, {kind})]({file})"], {"format": str(kind), "width": str(w), "height": str(h)}
 
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-
-
-def _pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", token[1:-1])) % 2))
-    else:
-        plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
-        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1].strip() == b"" else plain.get(m[1], m[1]), token[1:-1], flags=re.S)
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
-
-
-def pdf(data: bytes, name: str) -> Decoded:
-    """Text of simple PDFs: pages in tree order, Flate or plain content, text operators, headings by font size.
-
-    Encryption, composite fonts, object streams and pictures are not read; such a file raises or gives empty pages.
-    """
-    if not data.startswith(b"%PDF") or b"/Encrypt" in data:
-        raise ValueError("not a PDF that can be read")
-    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
-
-    def content(n: int) -> bytes:
-        body = objects.get(n, b"")
-        m = _STREAM.search(body)
-        if not m:
-            return b""
-        return zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in body[: m.start()] else m[1]
-
-    def kids(n: int, seen: frozenset = frozenset()) -> list[int]:
-        body = objects.get(n, b"")
-        if n in seen:
-            return []
-        if (m := re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)) is None:
-            return [n] if re.search(rb"/Type\s*/Page\b", body) else []
-        return [p for k in re.findall(rb"(\d+)\s+\d+\s+R", m[1]) for p in kids(int(k), seen | {n})]
-
-    catalog = next((b for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), b"")
-    root = re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", catalog)
-    order = kids(int(root[1])) if root else [n for n, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
-    token = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+.\d]+|[A-Za-z'\"*]+", re.S)
-    pages = []
-    for n in order:
-        m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", objects[n])
-        stream = b"\n".join(content(int(k)) for k in re.findall(rb"(\d+)\s+\d+\s+R", m[1])) if m else b""
-        lines: list[list] = []
-        stack: list[bytes] = []
-        size, y = 12.0, 0.0
-        for t in token.findall(stream):
-            if t == b"Tf" and stack:
-                size = abs(float(stack[-1]))
-            elif t in (b"Td", b"TD", b"Tm") and stack:
-                y = float(stack[-1]) if t == b"Tm" else y + float(stack[-1])
-            elif t == b"T*":
-                y -= size
-            elif t in (b"Tj", b"TJ", b"'", b'"'):
-                if t in (b"'", b'"'):
-                    y -= size
-                words = "".join(_pdf_string(s) for s in stack if s[:1] in b"(<")
-                if words.strip():
-                    if lines and lines[-1][0] == y:
-                        lines[-1][2] += words
-                    else:
-                        lines.append([y, size, words])
-            if re.fullmatch(rb"[A-Za-z'\"*]+", t):
-                stack = []
-            else:
-                stack.append(t)
-        sizes = sorted(s for _, s, _ in lines)
-        middle = (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2 if sizes else 0
-        level = lambda s: next((k for k, f in enumerate((1.8, 1.4, 1.15), 1) if sizes[-1] - middle >= 1 and s >= f * middle), 0)  # noqa: B023, E731
-        pages.append("\n".join(("#" * level(s) + " " if level(s) else "") + w.strip() for _, s, w in lines))
-    about = {k.lower().decode(): _pdf_string(v) for k, v in re.findall(rb"/(Title|Author|Subject|Creator|Producer)\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)", data)}
-    return pages, {k: about.get(k, "") for k in ("title", "author", "subject", "creator", "producer")} | {"page_count": str(len(order))}
-
-
 DECODE: dict[str, Callable[[bytes, str], Decoded]] = {
-    "text": text, "csv": separated, "html": web, "xml": web, "epub": epub, "rtf": rtf, "docx": docx, "pptx": pptx, "xlsx": xlsx, "pdf": pdf, "image": image,
+    "text": text, "csv": separated, "html": web, "xml": web, "epub": epub, "rtf": rtf, "docx": docx, "pptx": pptx, "xlsx": xlsx, "pdf": pdf.decode, "image": image,
 }
 PROVIDERS = {"pdf": "pymupdf", "image": "local"}

@@ -90,9 +90,45 @@ def tree(html: str, compat: bool = True) -> Node:
     return t.root
 
 
-def markdown(html: str, compat: bool = True) -> str:
-    root = tree(html, compat)
-    body = next(root.every("body"), root)
+#: Names of elements that speak for or against main content. Fixed values.
+_FOR = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
+_AGAINST = re.compile(r"banner|comment|combx|contact|foot|hidden|masthead|media|meta|nav|outbrain|promo|related|scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget|cookie|share", re.I)
+
+
+def article(root: Node, least: int = 250) -> Node | None:
+    """The element that holds a page's main content; None where none stands out.
+
+    Paragraphs of 25 characters and more give a point, one for each comma, and one for each hundred characters up to three, to the element
+    around them, half of it to the one around that. Names speak for or against an element, and the share of text in links is taken off.
+    """
+    score: dict[int, float] = {}
+    seen: dict[int, Node] = {}
+
+    def walk(node: Node, up: tuple[Node, ...]) -> None:
+        for c in node.children:
+            if isinstance(c, Node) and c.tag not in DROPPED:
+                if c.tag in ("p", "td", "pre") and len(text := c.text(" ")) >= 25:
+                    points = 1 + text.count(",") + min(len(text) // 100, 3)
+                    for by, around in ((1.0, node), (0.5, up[-1] if up else None)):
+                        if around is not None and around.tag not in ("", "html"):
+                            if id(around) not in seen:
+                                seen[id(around)] = around
+                                named = f"{around.attrs.get('class', '')} {around.attrs.get('id', '')}"
+                                score[id(around)] = 25 * bool(_FOR.search(named)) - 25 * bool(_AGAINST.search(named)) + {"div": 5, "article": 10, "main": 10, "section": 3, "blockquote": 3, "form": -3, "ul": -3, "ol": -3}.get(around.tag, 0)
+                            score[id(around)] += by * points
+                walk(c, (*up, node))
+
+    walk(root, ())
+    size = lambda n: max(len(n.text(" ")), 1)
+    final = {k: v * (1 - sum(len(a.text(" ")) for a in seen[k].every("a")) / size(seen[k])) for k, v in score.items()}
+    best = max(final, key=final.get, default=None)
+    return seen[best] if best is not None and final[best] > 0 and len(seen[best].text(" ")) >= least else None
+
+
+def markdown(html: str, compat: bool = True, root: Node | None = None, part: Node | None = None) -> str:
+    """Markdown of a page, of its parsed tree ``root`` or of one element of it."""
+    root = tree(html, compat) if root is None else root
+    body = next(root.every("body"), root) if part is None else part
     out: list[str] = []
     joiner = "" if compat else " "
 
@@ -143,14 +179,18 @@ def markdown(html: str, compat: bool = True) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
-def metadata(html: str) -> dict[str, str]:
-    root = tree(html, False)
+def metadata(html: str, root: Node | None = None) -> dict[str, str]:
+    root = tree(html, False) if root is None else root
     title = next(root.every("title"), None)
     about = next((m for m in root.every("meta") if m.attrs.get("name") == "description"), None)
     return {"title": "".join(title.strings()) if title else "", "description": about.attrs.get("content", "") if about else ""}
 
 
-def page(html: str, compat: bool = True) -> str:
-    """The whole page under its title, unless it begins with it."""
-    text, title = markdown(html, compat), metadata(html)["title"].strip()
+def page(html: str, compat: bool = True, root: Node | None = None, article: bool = False) -> str:
+    """The whole page, or its article, under its title, unless it begins with it."""
+    root = tree(html, compat) if root is None else root
+    text, title = markdown(html, compat, root, _article(root) if article else None), metadata(html, root)["title"].strip()
     return f"# {title}\n\n{text}" if title and not text.startswith(f"# {title}") else text
+
+
+_article = article

@@ -71,7 +71,8 @@ def test_decoders():
     assert decoders.pptx(pptx(), "x.pptx") == (["## Two\n- deep\nflat", "## One"], {"title": "", "author": "", "subject": "", "slide_count": "2"})
     assert decoders.xlsx(xlsx(), "x.xlsx")[0] == ["## S\n\n| name | n |\n| --- | --- |\n| 5 | 5 <!-- sum: =SUM(A3:A3) --> |\n| 5 |  |"]
     assert decoders.epub(epub(), "x.epub") == (["# Two"], {"title": "B", "author": "C", "language": "en"})
-    assert decoders.pdf(pdf(), "x.pdf")[0] == ["# Head\nbody (x)\nmore"] and decoders.pdf(pdf(), "x.pdf")[1]["title"] == "My doc"
+    pages, about = decoders.DECODE["pdf"](pdf(), "x.pdf")  # blocks of a page are parted by blank lines
+    assert pages == ["# Head\n\nbody (x)\n\nmore"] and about["title"] == "My doc" and about["page_count"] == "1"
     assert decoders.image(PNG, "d/p.png")[0] == ["![p.png (3x2, PNG)](p.png)"] and decoders.image(b"?", "p.tif")[0] == ["![p.tif (?x?, TIF)](p.tif)"]
 
 
