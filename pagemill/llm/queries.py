@@ -101,6 +101,11 @@ def p6_kept_pages(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", "source_path", "markdown").join(bad, "page_id", "left_anti")
 
 
+def p6_kept_elements(spark: SparkSession, d: str) -> DataFrame:
+    bad = p6_found(spark, d).filter("table_name = 'visual_elements'").select(F.col("row_id").alias("element_id"))
+    return table(spark, d, "visual_elements").select("element_id", "source_path", "placeholder_id", "description").join(bad, "element_id", "left_anti")
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_pages(spark, d), "page_id", "markdown")
 
@@ -126,7 +131,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_repaired, p1_blocks, p1_documents, p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
+    own = [p1_found, p1_repaired, p1_blocks, p1_documents, p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p6_kept_elements, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
     return {f.__name__: f for f in own}
 
 

@@ -20,10 +20,10 @@ from pagemill.llm.vectors import categories, codes_of, grams, mixed, parts_of, s
 from pagemill.session import written
 
 #: Unfilled placeholders, wherever they stand outside code. Fixed values.
-PLACEHOLDERS = r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{1,120}%\}|\$\{[^{}\n]{1,80}\}|%\(\w+\)[sd]|<%[^%\n]{1,80}%>|<<\p{Lu}[\p{Lu}\d_]+>>|\[\[[\w .-]+\|[\w .-]+\]\]|__\p{Lu}[\p{Lu}\d]*(?:_[\p{Lu}\d]+)+__|<!--\s*FPE_IMG:[^\n]*?-->|FPE_IMG:p\{|<!--\s*placeholder\s*-->|@@\w+@@|\{\w*(?:name|title|number|idx|page)\w*\}|(?<![\w$\\{])\{\d\}|\[(?i:(?:first|last|full|your|customer|client|user|company)\s?name|date|title|address)\]|#(?:REF!|NAME\?|VALUE!|DIV/0!|NULL!)|\bdd[/.]mm[/.]yyyy\b|\b[xX]{6,}\b"
+PLACEHOLDERS = r"\{\{[^{}\n]*\}\}|\{%[^%\n]+%\}|\$\{[^{}\n]+\}|%\(\w+\)[sd]|<%[^%\n]+%>|<<\p{Lu}[\p{Lu}\d_]+>>|\[\[[\w .-]+\|[\w .-]+\]\]|__\p{Lu}[\p{Lu}\d]*(?:_[\p{Lu}\d]+)+__|<!--\s*FPE_IMG:[^\n]*?-->|FPE_IMG:p\{|<!--\s*placeholder\s*-->|@@\w+@@|\{\w*(?:name|title|number|idx|page)\w*\}|(?<![\w$\\{])\{\d\}|\[(?i:(?:first|last|full|your|customer|client|user|company)\s?name|date|title|address)\]|#(?:REF!|NAME\?|VALUE!|DIV/0!|NULL!)|\bdd[/.]mm[/.]yyyy\b|\b[xX]{6,}\b"
 #: What a whole unit that is residue looks like from its start. Fixed values.
 WHOLE = (
-    r"lorem\s+ipsum\b|(?:TODO|TBD|FIXME|XXX)\b\s*[:—–-]|\[(?:insert|describe|add|enter|your|type|placeholder)\b[^\]\n]{0,80}\]$|undefined$|null$|nan$|n/a$|<alt text>$|\[object object\]$"
+    r"lorem\s+ipsum\b|(?:TODO|TBD|FIXME|XXX)\b\s*[:—–-]|\[(?:insert|describe|add|enter|your|type|placeholder)\b[^\]\n]*\]$|undefined$|null$|nan$|n/a$|<alt text>$|\[object object\]$"
     r"|(?:figure|image|alt|caption)\s+(?:description|text)$|description\s+of\s+the\s+(?:image|figure)\s+goes\s+here|(?:your\s+)?text\s+(?:goes\s+)?here\b|click\s+(?:here\s+)?to\s+(?:add|edit|insert)\b|klicken\s+sie,?\s+um\b[^.\n]{0,40}\bhinzuzufügen|cliquez\s+pour\s+(?:ajouter|modifier)\b|haga\s+clic\s+para\s+(?:agregar|añadir|modificar)\b|clique\s+para\s+(?:adicionar|editar)\b"
     r"|error\s*:?\s*(?:http\s*)?[45]\d\d\b|http\s+(?:error\s+)?[45]\d\d\b|erreur\s*:?\s*[45]\d\d\b|fehler\s*:?\s*[45]\d\d\b|erro\s*:?\s*[45]\d\d\b|#+\s*[45]\d\d$|[45]\d\d\s+(?:not found|forbidden|bad gateway|internal server error|service unavailable|gone|too many requests)\b"
     r"|(?:seite|página|page)\s+(?:nicht gefunden|no encontrada|não encontrada|introuvable|not found)\b|the\s[^.\n]{1,60}\s?page\s+you\s+(?:asked|were looking)\b[^\n]*\bnot\s+be\s+found"
@@ -66,7 +66,7 @@ def trusted(unit: str) -> bool:
     if any(x in unit for x in "{<$%[_@#") or "FPE_IMG" in unit or "xxxxxx" in unit.lower() or "yyyy" in unit:
         if _PLACEHOLDER.search(unit) and not (_ABOUT.search(_PLACEHOLDER.sub(" ", unit))):
             return True
-    if len(unit) > 30 and len(words := regex.findall(r"\p{L}+", unit.lower())) > 5 and sum(map(FILLER.__contains__, words)) >= ALIKE * len(words):
+    if len(unit) > 30 and len(FILLER.intersection(low := unit.lower().split())) > 3 and sum(map(FILLER.__contains__, low)) * 2 >= len(low) and len(words := regex.findall(r"\p{L}+", unit.lower())) > 5 and sum(map(FILLER.__contains__, words)) >= ALIKE * len(words):
         return True
     return bool(_WHOLE.match(unit)) and not (_LATER.search(unit) and _ABOUT.search(unit))
 

@@ -28,10 +28,10 @@ DEFAULT, LOWEST, HIGHEST, ENOUGH = -2.5, -3.0, -1.5, 400
 _NOTE = regex.compile(r"(?:\.{3}|…|\[…\]|\[\.\.\.\])\s*(?:[(\[](?:more|mehr|suite|más|mais|continued|read more)[)\]])?\s*$|[(\[](?:more|continued|truncated|cut)[)\]]\s*$")
 _STOPPED = regex.compile(r"[.!?…。！？؟।][\"'”’»“)\]」』*_`]*$|[:;]$|<!--.*-->$")
 _SHORTENED = regex.compile(r"(?<![\p{L}\p{M}\d-])(?:\p{L}|approx|Mr|Mrs|Dr|No|Nr|Fig|vol|pp?|Co|e\.g|i\.e|[ap]\.m|Abs|bzw|vgl|réf|art|Mme|Sra?|pág|n\.º|стр|др|т|z\. ?B|d\. ?h|डॉ)\.$|\d\.$")
-_CLOSED = regex.compile(r"^#{1,6}\s|^\|.*\|$|^```|^(?:[-*+•]|\d{1,3}[.)])\s|^!?\[[^\]]*\]\([^()\s]*\)[.»…]?$|^https?://\S+$|^(?:Fig|Abb|Tab|Table|Figure|Photo|Map|Line drawing|Bar chart|Table scan|Diagram|Screenshot)\b|^[©*_>]|^—|\]\([^()\s]*\)$|(?:^|\s)[›»|·/]\s|^.{0,40}\b\p{Lu}\d-\d+\p{Lu}?$|^(?:~~~|<!--)|\|default\]\]|^__\p{Lu}+")
+_CLOSED = regex.compile(r"^#{1,6}\s|^\|.*\|$|^```|^(?:[-*+•]|\d{1,3}[.)])\s|^!?\[[^\]]*\]\([^()\s]*\)[.»…]?$|^https?://\S+$|^(?:Fig|Abb|Tab|Table|Figure|Photo|Map|Chart|Diagram|Screenshot)\b|^[©*_>]|^—|\]\([^()\s]*\)$|(?:^|\s)[›»|·/]\s|^.{0,40}\b\p{Lu}\d-\d+\p{Lu}?$|^(?:~~~|<!--)|\|default\]\]|^__\p{Lu}+")
 _SIGNATURE = regex.compile(r"^\p{Lu}[\p{L}’'-]+(?:\s\p{Lu}[\p{L}’'.-]+){0,3}(?:,\s[\p{L} .’-]{2,40})?$")
 _FURNITURE = regex.compile(r"^(?:[-–—\[(]?\s*(?:p\.|page|Page|S\.|Seite|f\.)?\s*[\divxlcIVXLC]+\s*(?:of|von|/|de|sur)?\s*\d*\s*[-–—\])]?)$")
-_MENU = regex.compile(r"^\S+(?: \S+){0,2}(?:\s{2,}\S+(?: \S+){0,2}){2,}$|^(?:Last build|TODO|TBD|Request id)\b")
+_MENU = regex.compile(r"^\S+(?: \S+){0,2}(?:\s{2,}\S+(?: \S+){0,2}){2,}$|^(?:TODO|TBD)\b|^\p{Lu}\p{L}*(?:\s\p{L}+){0,2}[.:]?\s\d[\d.-]*$")  # the last: a label and its number
 #: Wrongly decoded lines show no stop that could be told.
 _GARBLED = regex.compile(r"[\x80-\x9f\ufffd]|[\u0080-\u00ff]{3}|[\u2500-\u259f\ue000-\uf8ff]")
 _OPEN_LINK = regex.compile(r"\[[^\]\n]*$|\]\([^()\s]*$")
