@@ -7,7 +7,7 @@ from dataclasses import asdict, replace
 
 from pagemill.config import Settings
 from pagemill.functions.text import masked
-from pagemill.operators import routing
+from pagemill.operators import models_io, routing
 from pagemill.plans import pipeline
 from pagemill.session import local_session
 from pagemill.sources import catalogue, files
@@ -50,6 +50,8 @@ def main(argv: list[str] | None = None) -> int:
         settings = replace(settings, **{k: v for k, v in given.items() if v})
         pipeline.logged(args.verbose)
         tools = pipeline.Tools.found(settings, catalogue.loaded(settings.vlm_routes_file))
+        if args.verbose and tools.models:
+            tools = replace(tools, models=replace(tools.models, client=models_io.measured(tools.models.client)))
         told = (lambda done, every: print(f"{done} of {every} pages", flush=True)) if args.verbose else None
         if files.exists(args.source) is None:
             print(f"File not found: {args.source}")

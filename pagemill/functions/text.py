@@ -31,11 +31,6 @@ def is_blank(c: Column) -> Column:
     return strip(c) == ""
 
 
-def squeeze(c: Column) -> Column:
-    """Runs of white space as one blank."""
-    return F.regexp_replace(filled(c), rf"[{SPACE}]+", " ")
-
-
 def unfenced(c: Column) -> Column:
     """The text within a wrapping code fence, else the stripped text. The fence's body ends at the first closing fence that ends the text."""
     bare = strip(c)

@@ -147,3 +147,39 @@ def chunks(pages: DataFrame, key: list[str], text: str) -> DataFrame:
     n = n.withColumn("chunk_no", F.sum((F.col("head") | (F.col("row") != F.lag("row", 1, False).over(w)) | (F.col("i") == F.min("i").over(Window.partitionBy(*key)))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = n.groupBy(*key, F.col("chunk_no")).agg(F.when(F.max("row"), "table").otherwise("text").alias("type"), F.coalesce(F.min("title"), F.lit("")).alias("title"), F.array_join(_ordered(F.col("x"), "i"), "\n").alias("content"))
     return g
+
+
+def tokens(text: Column) -> Column:
+    """About how many tokens a text has: one for each four characters begun."""
+    return F.ceil(F.length(text) / 4).cast("bigint")
+
+
+def rag_chunks(pages: DataFrame, key: list[str], text: str, most: int = 512) -> DataFrame:
+    """Extension: the chunks of ``chunks`` with text chunks cut at line ends into parts of about ``most`` tokens and each table a second time as
+    ``table_summary``: (key, chunk_no, part, type, title, content, summary).
+
+    A part begins with the line that passes a multiple of ``most``; a longer line stands alone. The summary of a table is its heading, its columns
+    and the number of its rows.
+    """
+    base = chunks(pages, key, text)
+    w = Window.partitionBy(*key, "chunk_no").orderBy("i")
+    lines = base.filter("type = 'text'").select(*key, "chunk_no", "title", F.posexplode(F.split("content", "\n")).alias("i", "x"))
+    lines = lines.withColumn("part", F.floor((F.sum(tokens(F.col("x"))).over(w.rowsBetween(Window.unboundedPreceding, 0)) - tokens(F.col("x"))) / most).cast("int"))
+    texts = lines.groupBy(*key, "chunk_no", "title", "part").agg(F.array_join(_ordered(F.col("x"), "i"), "\n").alias("content"))
+    tables = base.filter("type = 'table'")
+    row = F.split("content", "\n")
+    columns = F.array_join(F.filter(F.transform(F.split(row[0], r"\|"), strip), lambda c: c != ""), ", ")
+    rows = F.size(F.filter(row, lambda r: ~r.rlike(r"^\|[\s\-:|]+\|$"))) - 1
+    summary = F.concat(F.when(F.col("title") == "", "").otherwise(F.concat("title", F.lit(": "))), F.lit("columns "), columns, F.lit("; "), rows.cast("string"), F.lit(" rows"))
+    none = F.lit(None).cast("string").alias("summary")
+    out = texts.select(*key, "chunk_no", "part", F.lit("text").alias("type"), "title", "content", none)
+    out = out.unionByName(tables.select(*key, "chunk_no", F.lit(0).alias("part"), "type", "title", "content", summary.alias("summary")))
+    return out.unionByName(tables.select(*key, "chunk_no", F.lit(0).alias("part"), F.lit("table_summary").alias("type"), "title", summary.alias("content"), none))
+
+
+def rag_json(chunked: DataFrame, source: str, page: str) -> DataFrame:
+    """(source, json): the chunks of each document as {source, chunks: [{type, page, title, content, summary}]}, without the summary where there is none."""
+    each = F.struct(page, "chunk_no", "part", "type", "title", "content", "summary")
+    pick = lambda c: F.struct(c["type"].alias("type"), c[page].alias("page"), c["title"].alias("title"), c["content"].alias("content"), c["summary"].alias("summary"))
+    per = chunked.groupBy(source).agg(F.transform(F.array_sort(F.collect_list(each)), pick).alias("chunks"))
+    return per.select(source, F.to_json(F.struct(F.col(source).alias("source"), "chunks")).alias("json"))

@@ -62,16 +62,16 @@ _BOX = "struct<y:double,seq:bigint,x:double,y2:double,h:double,text:string>"
 def line_numbers(boxes: Column) -> Column:
     """Boxes in order with the number of their line: a fold in which a box joins the line whose last box has its centre within half
     the line's mean height."""
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("centre"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<struct<line:int,x:double,y:double,y2:double,h:double,text:string,seq:bigint>>").alias("out"))
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("centre"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, b: Column) -> Column:
         centre = (b["y"] + b["y2"]) / 2
         same = (s["line"] >= 0) & (F.abs(centre - s["centre"]) < 0.5 * s["sum"] / s["n"])
         line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        item = F.struct(line.alias("line"), b["x"].alias("x"), b["y"].alias("y"), b["y2"].alias("y2"), b["h"].alias("h"), b["text"].alias("text"), b["seq"].alias("seq"))
-        return F.struct(line.alias("line"), centre.alias("centre"), F.when(same, s["sum"] + b["h"]).otherwise(b["h"]).alias("sum"), F.when(same, s["n"] + 1).otherwise(1).alias("n"), F.concat(s["out"], F.array(item)).alias("out"))
+        return F.struct(line.alias("line"), centre.alias("centre"), F.when(same, s["sum"] + b["h"]).otherwise(b["h"]).alias("sum"), F.when(same, s["n"] + 1).otherwise(1).alias("n"), F.array_append(s["out"], line).alias("out"))
 
-    return F.aggregate(boxes, start, step, lambda s: s["out"])
+    numbers = F.aggregate(boxes, start, step, lambda s: s["out"])  # only the numbers are carried along
+    return F.zip_with(boxes, numbers, lambda b, n: F.struct(n.alias("line"), *[b[k].alias(k) for k in ("x", "y", "y2", "h", "text", "seq")]))
 
 
 def text_lines(blocks: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -92,10 +92,10 @@ def text_lines(blocks: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 def lines_markdown(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, markdown): headings by the upper median of the lines' heights, a blank line before a gap of over 1.5 medians."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy("y_min", "line")
-    heights = F.array_sort(F.collect_list("height").over(w))
-    n = lines.withColumn("_m", F.get(heights, F.floor(F.size(heights) / 2).cast("int"))).filter(strip(F.col("text")) != "")
+    order = Window.partitionBy(*keys).orderBy("y_min", "line")
+    heights = F.array_sort(F.collect_list("height"))
+    middle = lines.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.get(heights, F.floor(F.size(heights) / 2).cast("int")).alias("_m"))
+    n = lines.join(middle, [lines[k].eqNullSafe(middle[f"_{k}"]) for k in keys]).drop(*[f"_{k}" for k in keys]).filter(strip(F.col("text")) != "")
     n = n.withColumns({"_t": strip(F.col("text")), "_gap": F.col("y_min") - F.lag("y_max").over(order), "_before": F.lag("y_max").over(order)})
     short = F.length("_t") < 100
     level = F.when(short & (F.col("height") >= F.col("_m") * LEVELS[0]), "# ").when(short & (F.col("height") >= F.col("_m") * LEVELS[1]), "## ").when(short & (F.col("height") >= F.col("_m") * LEVELS[2]), "### ").otherwise("")

@@ -141,7 +141,7 @@ class Run:
             return _pages(images.select("path", "file_type").distinct().withColumn("error", F.lit("ValueError: No model provider is configured")))
         n = F.lit(0).alias("n")
         if self.settings.extract_images:
-            pictures = self.parts().filter("kind = 'picture'").groupBy("path", "page_number").agg(F.count("*").alias("n"))
+            pictures = picture_counts(self.parts())
             good, n = good.join(pictures, ["path", "page_number"], "left"), F.col("n")
         prompt = routing.prompt(routing.prompt_kind(F.col("file_type")), n, routing.TEXTS, routing.NUMBERING, routing.TABLES)
         done = self._asked(good.select("path", "page_number", prompt.alias("prompt"), "content"), "answers")
@@ -196,6 +196,7 @@ class Run:
         keys = ["path", "page_number"]
         if s.extract_images:
             saved = files.save_pictures(self.parts().filter("kind = 'picture'"), s.output_dir)
+            log.info("%d pictures exported", saved.count())
             out = enrich.with_pictures(out, saved.select(*keys, "ord", "y", F.col("file").alias("path_")).withColumnRenamed("path_", "picture"), keys, "markdown", "picture")
         if s.enrich_links:
             out = enrich.with_links(out, self.parts().filter("kind = 'link'").select(*keys, "ord", "anchor", "uri"), keys, "markdown")
@@ -211,6 +212,11 @@ class Run:
         return usage.total(every.join(prices, "provider", "left"))
 
 
+def picture_counts(parts: DataFrame) -> DataFrame:
+    """(path, page_number, n) of the pages that hold pictures."""
+    return parts.filter("kind = 'picture'").groupBy("path", "page_number").agg(F.count("*").alias("n"))
+
+
 def documents_of(pages: DataFrame, settings: Settings) -> DataFrame:
     """(path, markdown) of the files that could be read. Page tags go only to formats that a model can read."""
     ok = pages.filter("error is null").withColumn("tie", F.lit(0))

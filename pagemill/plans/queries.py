@@ -71,7 +71,30 @@ def ordered_documents(spark: SparkSession, d: str) -> DataFrame:
     return assembly.assembled(table(spark, d, "parsed_pages"), "source_path", "page_number", "markdown", "page_id", merge=False)
 
 
-@query()
+_BARS = lambda x: f"length({x}) - length(replace({x}, '|', ''))"
+#: Tables over page breaks by their shape: page by page, what a page leaves after its rows is the next page. The test tables hold no marks.
+_ASSEMBLED_SQL = rf"""
+    WITH RECURSIVE p AS (SELECT source_path, list({_strip('markdown')} ORDER BY page_number, page_id) AS w FROM parsed_pages WHERE {_strip('markdown')} <> '' GROUP BY source_path),
+    fold AS (
+      SELECT source_path, CAST([] AS VARCHAR[]) AS done, w[1] AS u, w[2:] AS w FROM p
+      UNION ALL
+      SELECT source_path, CASE WHEN m THEN done ELSE list_append(done, u) END, CASE WHEN m THEN up || {_NL} || body ELSE l END, CASE WHEN m AND rest <> '' THEN list_prepend(rest, w[2:]) ELSE w[2:] END
+      FROM (
+        SELECT *, top <> '' AND head <> '' AND {_BARS('trim(top)')} - 1 >= 1 AND {_BARS('trim(top)')} = {_BARS("trim(string_split(l, chr(10))[1])")} AS m, array_to_string(rows[CASE WHEN len(rows) > 1 AND regexp_full_match(trim(rows[2]), '\|[\s\-:|]+\|') THEN 3 WHEN len(rows) > 1 AND regexp_full_match(trim(rows[1]), '\|[\s\-:|]+\|') THEN 2 ELSE 1 END:], {_NL}) AS body, {_strip('l[length(head) + 1:]')} AS rest
+        FROM (
+          SELECT *, string_split(rtrim(head, {_NL}), {_NL}) AS rows, regexp_extract(regexp_extract(up, '(?:\A|
+)((?:[ 	]*(?:\|[^
+]+\|)?[ 	]*(?:
+|\z))+)\z', 1), '\|[^
+]+\|') AS top
+          FROM (SELECT *, w[1] AS l, regexp_replace(u, '[{_WS}]+\z', '') AS up, regexp_extract(w[1], '\A((?:[ 	]*\|[^
+]+\|[ 	]*(?:
+|\z))+)', 1) AS head FROM fold WHERE len(w) > 0)))
+    )
+    SELECT source_path, array_to_string(list_filter(list_append(done, u), lambda x: {_strip('x')} <> ''), {_RULE_SQL}) AS markdown FROM fold WHERE len(w) = 0"""
+
+
+@query(_ASSEMBLED_SQL)
 def assembled_documents(spark: SparkSession, d: str) -> DataFrame:
     return assembly.assembled(table(spark, d, "parsed_pages"), "source_path", "page_number", "markdown", "page_id")
 
@@ -130,6 +153,13 @@ def fixed_width_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grids(spark, d).select("l_orderkey", tables.fixed_width_table(F.col("rows")).alias("markdown"))
 
 
+@query(f"""
+    WITH r AS (SELECT l_orderkey, {_CELLS} AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_CELLS}) AS i FROM lineitem)
+    SELECT l_orderkey, string_agg('| ' || array_to_string(c, ' | ') || ' |' || CASE WHEN i = 1 THEN {_NL} || '|' || repeat(' --- |', len(c)) ELSE '' END, {_NL} ORDER BY i) AS markdown FROM r GROUP BY l_orderkey""")
+def ragged_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _grids(spark, d).select("l_orderkey", tables.ragged_table(F.col("rows")).alias("markdown"))
+
+
 @query(f"""
     WITH r AS (SELECT 'user ' || user_id AS sheet, event_id, CASE WHEN event_id % 17 = 0 THEN ['Group ' || event_type, '', ''] ELSE [event_type, CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR)] END AS c FROM events),
     n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY event_id) AS i, count(*) OVER (PARTITION BY sheet) AS n, first_value(c) OVER (PARTITION BY sheet ORDER BY event_id) AS head FROM r),
@@ -457,16 +487,31 @@ def image_resize(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", w.alias("width"), h.alias("height"))
 
 
-@query(f"""
+_CHUNKS_SQL = f"""
     WITH lines AS (SELECT page_id, unnest(string_split(coalesce(markdown, ''), {_NL})) AS x, unnest(range(len(string_split(coalesce(markdown, ''), {_NL})))) AS i FROM parsed_pages),
     k AS (SELECT *, regexp_matches(x, '^#{{1,6}} ') AS head, x[1:1] = '|' AS row FROM lines WHERE {_strip('x')} <> ''),
     t AS (SELECT *, last_value(CASE WHEN head THEN regexp_replace(x, '^#+ ', '') END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS title, (head OR row <> lag(row, 1, false) OVER (PARTITION BY page_id ORDER BY i) OR i = min(i) OVER (PARTITION BY page_id))::INT AS new FROM k),
     c AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS chunk_no FROM t)
-    SELECT page_id, chunk_no::BIGINT AS chunk_no, CASE WHEN bool_or(row) THEN 'table' ELSE 'text' END AS type, coalesce(min(title), '') AS title, string_agg(x, {_NL} ORDER BY i) AS content FROM c GROUP BY page_id, chunk_no""")
+    SELECT page_id, chunk_no::BIGINT AS chunk_no, CASE WHEN bool_or(row) THEN 'table' ELSE 'text' END AS type, coalesce(min(title), '') AS title, string_agg(x, {_NL} ORDER BY i) AS content FROM c GROUP BY page_id, chunk_no"""
+
+
+@query(_CHUNKS_SQL)
 def chunking(spark: SparkSession, d: str) -> DataFrame:
     return assembly.chunks(table(spark, d, "parsed_pages"), ["page_id"], "markdown")
 
 
+@query(rf"""
+    WITH b AS ({_CHUNKS_SQL}),
+    l AS (SELECT page_id, chunk_no, title, unnest(string_split(content, {_NL})) AS x, unnest(range(len(string_split(content, {_NL})))) AS i FROM b WHERE type = 'text'),
+    k AS (SELECT *, (sum(ceil(length(x) / 4)) OVER (PARTITION BY page_id, chunk_no ORDER BY i ROWS UNBOUNDED PRECEDING) - ceil(length(x) / 4))::BIGINT // 512 AS part FROM l),
+    t AS (SELECT *, CASE WHEN title = '' THEN '' ELSE title || ': ' END || 'columns ' || array_to_string(list_filter(list_transform(string_split(string_split(content, {_NL})[1], '|'), lambda c: {_strip('c')}), lambda c: c <> ''), ', ') || '; ' || (len(list_filter(string_split(content, {_NL}), lambda r: NOT regexp_matches(r, '^\|[\s\-:|]+\|$'))) - 1) || ' rows' AS summary FROM b WHERE type = 'table')
+    SELECT page_id, chunk_no, part::INT AS part, 'text' AS type, title, string_agg(x, {_NL} ORDER BY i) AS content, NULL AS summary FROM k GROUP BY page_id, chunk_no, title, part
+    UNION ALL SELECT page_id, chunk_no, 0, type, title, content, summary FROM t
+    UNION ALL SELECT page_id, chunk_no, 0, 'table_summary', title, summary, NULL FROM t""")
+def rag_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.rag_chunks(table(spark, d, "parsed_pages"), ["page_id"], "markdown")
+
+
 _PROMPT = routing.TEXTS["document"] + routing.TABLES
 
 
@@ -556,6 +601,22 @@ def pdf_parts(spark: SparkSession, d: str) -> DataFrame:
     return got.select("path", "page_number", "kind", "ord", "anchor", "uri", F.decode("content", "UTF-8").alias("content"), "y")
 
 
+@query("SELECT 's_' || s_suppkey || '.pdf' AS path, 1 AS page_number, 1 AS n FROM supplier")
+def picture_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.picture_counts(files.parts(_supplier_files(spark, d).filter("path LIKE '%.pdf'")))
+
+
+@query("SELECT count(*) AS pictures, count(*) AS documents, sum(length('seen ' || s_name))::BIGINT AS bytes FROM supplier")
+def exported_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of PDF files written to the shared folder by executors, and counted there."""
+    import uuid
+
+    base = f"{shared_dir(spark).rstrip('/')}/pagemill-pictures-{uuid.uuid4().hex}"
+    saved = files.save_pictures(written(files.parts(_supplier_files(spark, d).filter("path LIKE '%.pdf'")).filter("kind = 'picture'"), "parts"), base)
+    there = spark.read.format("binaryFile").load(f"{base}/images").select(F.concat(F.lit("images/"), F.element_at(F.split("path", "/"), -1)).alias("file"), "length")
+    return saved.join(there, "file").agg(F.count("*").alias("pictures"), F.count_distinct("path").alias("documents"), F.sum("length").alias("bytes"))
+
+
 @query("SELECT count(*) AS requests, sum(13)::BIGINT AS input_tokens, sum(length('seen ' || s_name))::BIGINT AS output_tokens, sum(13 + length('seen ' || s_name))::BIGINT AS total_tokens, round(sum(13 * 2 + length('seen ' || s_name) * 8)::DOUBLE / 1e6, 9) AS cost FROM supplier".replace("13", str(len(routing.TEXTS["image"].split()))))
 def run_cost(spark: SparkSession, d: str) -> DataFrame:
     """What the calls of a hybrid run cost."""

@@ -128,3 +128,23 @@ def test_empty_tables(spark):
     assert assembly.chunks(none, ["doc"], "t").count() == 0
     boxes = spark.createDataFrame([], "p int, id int, x_min double, y_min double, x_max double, y_max double, text string")
     assert layout.lines_markdown(layout.text_lines(boxes, ["p"], "id"), ["p"]).count() == 0
+
+
+def test_chunks_for_retrieval(spark):
+    import json
+
+    text = "# Head\n" + "\n".join("x" * 40 for _ in range(30)) + "\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |"
+    pages = spark.createDataFrame([("d", 1, text), ("d", 2, None), ("d", 3, "")], "doc string, page int, t string")
+    got = assembly.rag_chunks(pages, ["doc", "page"], "t", 100)
+    rows = sorted((r.chunk_no, r.part, r.type, r.content, r.summary) for r in got.collect())
+    texts = [r for r in rows if r[2] == "text"]
+    assert "\n".join(r[3] for r in texts) == text.split("\n\n")[0] and len(texts) == 3 and all(len(r[3]) <= 4 * 110 for r in texts)
+    assert [r[2:] for r in rows if r[2] != "text"] == [("table", text.split("\n\n")[1], "Head: columns a, b; 2 rows"), ("table_summary", "Head: columns a, b; 2 rows", None)]
+    said = json.loads(assembly.rag_json(got, "doc", "page").first().json)
+    assert said["source"] == "d" and [c["type"] for c in said["chunks"]] == ["text"] * 3 + ["table", "table_summary"] and said["chunks"][3]["summary"] and "summary" not in said["chunks"][0] and said["chunks"][0]["page"] == 1
+
+
+def test_many_boxes_of_one_page(spark):
+    boxes = spark.range(3000).selectExpr("1 as p", "id", "cast(id % 3 * 50 as double) as x_min", "cast(floor(id / 3) * 20 as double) as y_min", "cast(id % 3 * 50 + 40 as double) as x_max", "cast(floor(id / 3) * 20 + 18 as double) as y_max", "cast(id as string) as text")
+    lines = layout.text_lines(boxes, ["p"], "id")
+    assert lines.count() == 1000 and layout.lines_markdown(lines, ["p"]).first().markdown.startswith("0 1 2\n3 4 5\n")
