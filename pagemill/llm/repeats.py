@@ -16,7 +16,7 @@ from pagemill.llm.common import bloom, by_batch, source_of
 from pagemill.llm.vectors import categories, codes_of, grams, mixed, parts_of, slices
 from pagemill.session import written
 
-WINDOW, ONE_IN = 6, 16
+WINDOW, ONE_IN = 4, 6
 _TARGET = regex.compile(r"\]\([^()\s]*\)|\]\[[^\]\n]*\]|</?\p{L}[^<>\n]*>")
 
 
