@@ -9,7 +9,7 @@ from pagemill.config import Settings
 from pagemill.functions.text import masked
 from pagemill.operators import models_io, routing
 from pagemill.plans import pipeline
-from pagemill.session import local_session
+from pagemill.session import cleared, local_session
 from pagemill.sources import catalogue, files
 
 
@@ -68,6 +68,7 @@ def main(argv: list[str] | None = None) -> int:
         done.orderBy("path").show(1000, False)
         pipeline.tally(done).show()
         cost.filter("requests > 0").show()
+        cleared(spark)
     return 0
 
 

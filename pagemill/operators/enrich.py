@@ -6,9 +6,10 @@ A page's links, pictures and elements are gathered per page, which bounds them.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import filled
@@ -47,50 +48,38 @@ def with_links(pages: DataFrame, links: DataFrame, keys: list[str], text: str) -
     return have.union(both.filter(F.col("_links").isNull())).drop("_links")
 
 
-_FAST = re.compile(r"<!-- FPE_IMG:p\d+_\d+ -->\s*\n*!\[.*?\]\(image\)")
-_FIGURE = re.compile(r"!\[([^\]]*)\]\(figure(?:_(\d+))?\)")
+#: Marks of pictures' places with their picture line, and figures with or without a number. Fixed values.
+FAST = r"<!-- FPE_IMG:p\d+_\d+ -->\s*\n*!\[.*?\]\(image\)"
+FIGURE = r"!\[([^\]]*)\]\(figure(?:_(\d+))?\)"
 PAGE_HEIGHT = 842.0
 
 
-def pictured(text: str, pictures: list[tuple[float, str]]) -> str:
-    """``text`` with the paths of the page's pictures (y, path): at its marks of places, else its numbered figures, else its plain figures in order,
-    else before the lines at their heights."""
-    paths = [p for _, p in pictures]
-    if _FAST.search(text) and paths:
-        queue = iter(paths)
-        return _FAST.sub(lambda m: f"![Image]({p})" if (p := next(queue, None)) else m[0], text)
-    numbered = any(m[2] is not None and int(m[2]) < len(paths) for m in _FIGURE.finditer(text))
-    queue = iter(paths)
-
-    def figure(m: re.Match) -> str:
-        if numbered:
-            path = paths[int(m[2])] if m[2] is not None and int(m[2]) < len(paths) else None
-        else:
-            path = next(queue, None) if m[2] is None else None
-        return f"![{m[1]}]({path})" if path else m[0]
-
-    new = _FIGURE.sub(figure, text)
-    if new != text:
-        return new
-    lines = text.split("\n")
-    before: dict[int, list[str]] = {}
-    for y, path in pictures:
-        at = max(0, min(int(y / (PAGE_HEIGHT / len(lines))), len(lines) - 1))
-        before.setdefault(at, []).append(f"\n![Image]({path})\n")
-    return "\n".join(x for i, line in enumerate(lines) for x in (*before.get(i, ()), line))
+def _woven(text: Column, pattern: str, marks: Column, put: Callable[[Column], Column]) -> Column:
+    """``text`` with ``put(i)`` in place of its i-th match, or the match itself where that is null."""
+    piece = lambda x, i: F.concat(x, F.when(i < F.size(marks), F.coalesce(put(i), F.get(marks, i))).otherwise(""))
+    return F.array_join(F.transform(F.split(text, pattern, -1), piece), "")
 
 
 def with_pictures(pages: DataFrame, pictures: DataFrame, keys: list[str], text: str, path: str = "path") -> DataFrame:
-    """Pages with the paths of their exported pictures (keys, ord, y, path)."""
+    """Pages with the paths of their exported pictures (keys, ord, y, path): at the marks of their places, else at the numbered figures, else at the
+    plain figures in order, else before the lines at their heights. All is said in column functions."""
     per = pictures.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("y").cast("double").alias("y"), F.col(path).alias("path")))).alias("_p"))
-
-    @F.pandas_udf("string")
-    def put(t: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else pictured(x, [(a["y"], a["path"]) for a in y]) for x, y in zip(t, k)])
-
     both = pages.join(per, keys, "left")
-    have = both.filter(F.col("_p").isNotNull()).withColumn(text, put(F.col(text), F.col("_p")))
-    return have.union(both.filter(F.col("_p").isNull())).drop("_p")
+    t, p = F.col(text), F.col("_p")
+    shown = lambda label, i: F.concat(F.lit("!["), label, F.lit("]("), F.get(p, i)["path"], F.lit(")"))
+    marks = F.regexp_extract_all(t, F.lit(FAST), F.lit(0))
+    placed = _woven(t, FAST, marks, lambda i: shown(F.lit("Image"), i))
+    figures, labels, numbers = (F.regexp_extract_all(t, F.lit(FIGURE), F.lit(k)) for k in (0, 1, 2))
+    number = lambda x: x.try_cast("int")
+    numbered = F.exists(numbers, lambda x: F.coalesce(number(x) < F.size(p), F.lit(False)))
+    before = lambda i: F.size(F.filter(F.slice(numbers, F.lit(1), i + 1), lambda x: x == "")) - 1
+    which = lambda i: F.when(numbered, number(F.get(numbers, i))).when(F.get(numbers, i) == "", before(i))
+    figured = _woven(t, FIGURE, figures, lambda i: shown(F.get(labels, i), which(i)))
+    lines = F.split(t, "\n", -1)
+    line = lambda q: F.greatest(F.lit(0), F.least((q["y"] / (F.lit(PAGE_HEIGHT) / F.size(lines))).cast("int"), F.size(lines) - 1))
+    put = lambda x, i: F.concat(F.transform(F.filter(p, lambda q: line(q) == i), lambda q: F.concat(F.lit("\n![Image]("), q["path"], F.lit(")\n"))), F.array(x))
+    by_height = F.array_join(F.flatten(F.transform(lines, put)), "\n")
+    return both.withColumn(text, F.when(p.isNull() | t.isNull(), t).when(F.size(marks) > 0, placed).when(figured != t, figured).otherwise(by_height)).drop("_p")
 
 
 def described(pages: DataFrame, elements: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -54,6 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The files survive the loss of any executor, and a reader of few columns reads only those.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pagemill-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/pagemill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete what ``written`` has made in this application; nothing that came from it can be read any more."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(where) if "://" in (where := shared_dir(spark)) else (fs.LocalFileSystem(), where.removeprefix("file:"))
+    path = f"{path.rstrip('/')}/pagemill-{spark.sparkContext.applicationId}"
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.operators import assembly, enrich, layout, models_io, routing, tables
 from pagemill.operators.assembly import merged_pages
-from pagemill.operators.enrich import linked, pictured
+from pagemill.operators.enrich import linked
 
 
 def one(spark, column):
@@ -92,10 +92,15 @@ def test_links_and_pictures(spark):
     assert linked("see [old](u) the annual report.", [("annual report", "http://a")]) == "see old the [annual report](http://a)."
     assert linked("the press@x page", [("ress@", "m")]) == "the [press@x](m) page"
     assert linked("nothing", [("a", "u"), ("zzz", "u")]) == "nothing"
-    assert pictured("<!-- FPE_IMG:p1_0 -->\n\n![Image](image)\nx", [(0, "a.png")]) == "![Image](a.png)\nx"
-    assert pictured("![d](figure_1) ![e](figure_0)", [(0, "a"), (0, "b")]) == "![d](b) ![e](a)"
-    assert pictured("![d](figure) ![e](figure)", [(0, "a")]) == "![d](a) ![e](figure)"
-    assert pictured("l1\nl2", [(800.0, "a")]) == "l1\n\n![Image](a)\n\nl2"
+    cases = [
+        ("<!-- FPE_IMG:p1_0 -->\n\n![Image](image)\nx", [(0.0, "a.png")], "![Image](a.png)\nx"), ("![d](figure_1) ![e](figure_0)", [(0.0, "a"), (0.0, "b")], "![d](b) ![e](a)"),
+        ("![d](figure) ![e](figure)", [(0.0, "a")], "![d](a) ![e](figure)"), ("l1\nl2", [(800.0, "a")], "l1\n\n![Image](a)\n\nl2"), ("![d](figure_0) ![e](figure) ![f](figure_7)", [(0.0, "a")], "![d](a) ![e](figure) ![f](figure_7)"),
+        ("<!-- FPE_IMG:p1_0 -->\n\n![Image](image)<!-- FPE_IMG:p1_1 -->\n![x](image)", [(0.0, "a")], "![Image](a)<!-- FPE_IMG:p1_1 -->\n![x](image)"), ("![$1](figure)", [(0.0, "a$2")], "![$1](a$2)"),
+        ("", [(-5.0, "a"), (9999.0, "b")], "\n![Image](a)\n\n\n![Image](b)\n\n"), ("untouched", [], "untouched"), (None, [(0.0, "a")], None), ("![d](figure_99999999999)", [(0.0, "a")], "\n![Image](a)\n\n![d](figure_99999999999)"),
+    ]
+    given = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "k int, t string")
+    shown = spark.createDataFrame([(k, i, y, a) for k, (_, p, _) in enumerate(cases) for i, (y, a) in enumerate(p)], "k int, ord int, y double, path string")
+    assert {r.k: r.t for r in enrich.with_pictures(given, shown, ["k"], "t").collect()} == {k: w for k, (_, _, w) in enumerate(cases)}
     pages = spark.createDataFrame([("p", 1, None), ("p", 2, "t <!-- m --> e")], "path string, n int, t string")
     e = spark.createDataFrame([("p", 2, 1, "<!-- m -->", "a cat"), ("p", 2, 2, None, "dog"), ("p", 1, 3, "x", None)], "path string, n int, ord int, place string, description string")
     assert {r.n: r.t for r in enrich.described(pages, e, ["path", "n"], "t").collect()} == {1: None, 2: "t a cat e"}
