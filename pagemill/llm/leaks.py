@@ -52,6 +52,72 @@ def signs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(codes[at]), np.searchsorted(np.flatnonzero(codes == 0), at)
 
 
+def placed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of one text as ``_codes`` has them, and the place of each in the text."""
+    place = np.arange(len(text))
+    if "](" in text or "<" in text:
+        out, kept, at = [], [], 0
+        for m in _LINK.finditer(text):
+            out += [text[at : m.start()], " "]
+            kept += [place[at : m.start()], place[m.start() : m.start() + 1]]
+            at = m.end()
+        text, place = "".join([*out, text[at:]]), np.concatenate([*kept, place[at:]])
+    folded = text.replace("\0", " ").casefold()
+    if len(folded) != len(text):  # some signs become several
+        parts = [x.casefold() for x in text.replace("\0", " ")]
+        folded, place = "".join(parts), np.repeat(place, [len(x) for x in parts])
+    codes, place = codes_of(folded + "\0"), np.append(place, place[-1] + 1 if len(place) else 0)
+    keep = ~flags(_LEFT_OUT)[codes]
+    codes, place = codes[keep], place[keep]
+    letter = categories()[codes] == 0
+    inner = flags(_JOINERS)[codes]
+    inner[1:-1] &= letter[:-2] & letter[2:]
+    inner[:1] = False
+    return codes[~inner], place[~inner]
+
+
+def units_of(text: str, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, end) of the words of one text, or of its letters and digits with ``whole``."""
+    codes, place = placed(text)
+    kind = categories()[codes]
+    if whole:
+        at = np.flatnonzero((kind == 0) | (kind == 2))
+        return mixed(codes[at]), place[at], place[at] + 1
+    begin, end = runs(kind <= 2)
+    return slices(codes, begin, end), place[begin], place[end - 1] + 1
+
+
+def stretches(u: np.ndarray, v: np.ndarray, run: int, may: int) -> list[tuple[int, int]]:
+    """Where units ``v`` of an item stand in ``u``: every run of ``run`` and more in the same order, else the stretch nearest to all of it."""
+    h, own = grams(u, run), np.unique(grams(v, run))
+    hit = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h if len(own) and len(h) else np.zeros(len(h), bool)
+    if hit.any():
+        covered = np.zeros(len(u) + 1, np.int64)
+        at = np.flatnonzero(hit)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + run, -1)
+        return [(int(a), int(b)) for a, b in zip(*runs(np.cumsum(covered[:-1]) > 0))]
+    ends = _costs(v, u)
+    stop = int(np.argmin(ends))
+    if not len(u) or ends[stop] > may:
+        return []
+    back = _costs(v[::-1], u[: stop + 1][::-1])
+    return [(stop - int(np.flatnonzero(back == back.min())[-1]), stop + 1)]
+
+
+def _costs(item: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each place of ``part`` the least number of units changed, left out or put in to make a stretch that ends there the item."""
+    steps = np.arange(len(item) + 1)
+    cost, out = steps, np.zeros(len(part), np.int64)
+    for i, x in enumerate(part):
+        new = np.empty_like(cost)
+        new[0] = 0
+        np.minimum(cost[:-1] + (item != x), cost[1:] + 1, out=new[1:])
+        cost = np.minimum.accumulate(new - steps) + steps  # units of the item left out
+        out[i] = cost[-1]
+    return out
+
+
 def has_no_blanks(text: str) -> bool:
     full = len(_FULL.findall(text))
     return full * 2 > len(_SIGN.findall(text))
@@ -181,15 +247,7 @@ class Index:
     @staticmethod
     def near(item: np.ndarray, part: np.ndarray, may: int) -> bool:
         """Whether some stretch of ``part`` is the item with at most ``may`` units changed, left out or put in."""
-        steps = np.arange(len(item) + 1)
-        cost, best = steps, len(item)
-        for x in part:
-            new = np.empty_like(cost)
-            new[0] = 0
-            np.minimum(cost[:-1] + (item != x), cost[1:] + 1, out=new[1:])
-            cost = np.minimum.accumulate(new - steps) + steps  # units of the item left out
-            best = min(best, int(cost[-1]))
-        return best <= may
+        return len(item) <= may or bool(len(part)) and int(_costs(item, part).min()) <= may
 
 
 def leaks(
@@ -233,3 +291,37 @@ def _scan(c: dict, parts) -> dict:
 def without(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """The rows of ``df`` into which nothing leaked."""
     return df.join(found.select(key).distinct(), key, "left_anti")
+
+
+def spans(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, found: DataFrame, run: int = 12, full_run: int = 40, one_in: int = 6) -> DataFrame:
+    """(key, item_key, start_pos, end_pos) of the passages of the leaks in ``found``: code points, exclusive. Only leaking texts are read again.
+
+    Each run of ``run`` words (``full_run`` letters and digits) of the item is a passage, or, without one, the stretch that is nearest to all of it.
+    """
+    kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0).distinct()
+    held = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("own")).filter(F.length("own") > 0).distinct()
+    given = found.select(F.col(key).alias("key"), F.col(item_key).alias("item")).join(texts, "key").join(held, "item").select("key", "item", "text", "own")
+
+    def make(c: dict) -> dict:
+        out: dict[str, list] = {"key": [], "item": [], "start_pos": [], "end_pos": []}
+        for k, i, t, own in zip(*(c[x].to_pylist() for x in ("key", "item", "text", "own"))):
+            whole = has_no_blanks(own)
+            (u, begin, end), (v, _, _) = units_of(t, whole), units_of(own, whole)
+            for a, b in stretches(u, v, full_run if whole else run, len(v) // one_in):
+                for name, x in zip(out, (k, i, int(begin[a]), int(end[b - 1]))):
+                    out[name].append(x)
+        return out
+
+    return by_batch(given, f"key {kind}, item {item_kind}, start_pos bigint, end_pos bigint", make).distinct().withColumnsRenamed({"key": key, "item": item_key})
+
+
+def cut(df: DataFrame, key: str, text: str, passages: DataFrame) -> DataFrame:
+    """``df`` with the passages (key, start_pos, end_pos) taken out of ``text``; overlapping ones are one."""
+    own = passages.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos"))).alias("_cut"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    piece = lambda a, b: F.substr(F.col(text), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    step = lambda s, x: F.struct(F.greatest(s["at"], x["end_pos"]).alias("at"), F.concat(s["out"], piece(s["at"], x["start_pos"])).alias("out"))
+    rest = lambda s: F.concat(s["out"], piece(s["at"], F.length(F.col(text)).cast("bigint")))
+    joined = df.join(own, df[key] == F.col("_key"), "left")
+    return joined.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.aggregate("_cut", start, step, rest))).drop("_key", "_cut")

@@ -126,12 +126,20 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without(table(spark, d, "documents").select("doc_id", "text"), "doc_id", p9_found(spark, d))
 
 
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", p9_found(spark, d))
+
+
+def p9_cut(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.cut(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", p9_spans(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_repaired, p1_blocks, p1_documents, p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p6_kept_elements, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found]
+    own = [p1_found, p1_repaired, p1_blocks, p1_documents, p2_found, p2_cleaned, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_kept_pages, p6_kept_elements, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p9_spans, p9_cut, p10_found]
     return {f.__name__: f for f in own}
 
 

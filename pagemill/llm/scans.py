@@ -174,6 +174,8 @@ def read(words: DataFrame, linked: DataFrame, vector: DataFrame | None) -> DataF
 
 
 def is_stray(token: str) -> bool:
+    if token[0].isalpha() or token[-1].isalpha() or token.isdecimal():
+        return False
     bare = token.strip("".join(BREAKS)) or token
     return not regex.search(r"[\p{L}\p{N}]", bare) and bare not in ORDINARY and not regex.fullmatch(r"[-–—=*_#]{3,}", bare)
 
@@ -354,27 +356,28 @@ class Noise:
         meant = self._meant("parsed_pages")
         small = self.rows.filter("tab = 'text_blocks' AND kind = 'furniture'").groupBy("source_path", "page_number").agg(F.collect_set("w").alias("furniture"))
         p = self.pages.select("page_id", "source_path", "page_number", F.col("markdown").alias("text")).join(meant, F.col("page_id") == F.col("row"), "left").drop("row")
-        p = p.join(small, ["source_path", "page_number"], "left").select("page_id", "source_path", "page_number", "text", "furniture", "meant", "compounds")
-
-        def halves(c: dict) -> dict:
-            got = [ends_of(paragraphs(t, f, frozenset(k or ()))) for t, f, k in zip(*(c[x].to_pylist() for x in ("text", "furniture", "compounds")))]
-            return {k: c[k] for k in ("page_id", *keys)} | {"head": [x[0] for x in got], "tail": [x[1] for x in got]}
-
-        full = p.filter((F.length("text") > 0) & F.col("source_path").isNotNull() & F.col("page_number").isNotNull())
-        ends = by_batch(full.select("page_id", *keys, "text", "furniture", "compounds"), "page_id bigint, source_path string, page_number int, head string, tail string", halves)
-        ends = ends.groupBy(*keys).agg(F.min_by(F.struct("head", "tail"), "page_id").alias("e")).select(*keys, "e.*")
-        ends = written(ends.filter("head is not null or tail is not null"), "halves")
-        # equal joins to the pages around: a document of any length is spread over its pages
-        by = lambda step, col, name: ends.filter(F.col(col).isNotNull()).select("source_path", (F.col("page_number") + step).alias("page_number"), F.col(col).alias(name))
-        p = p.join(by(-1, "head", "after"), keys, "left").join(by(1, "tail", "before"), keys, "left").join(ends.select(*keys, F.col("head").alias("own"), F.col("tail")), keys, "left")
+        p = p.join(small, keys, "left").select("page_id", *keys, "text", "furniture", "meant", "compounds")
+        kept = ("page_id", *keys, "meant", "compounds")
+
+        def flat(c: dict) -> dict:
+            blocks = [paragraphs(t, f, frozenset(k or ())) if t else None for t, f, k in zip(*(c[x].to_pylist() for x in ("text", "furniture", "compounds")))]
+            ends = [ends_of(x or []) for x in blocks]
+            return {k: c[k] for k in kept} | {"empty": [t if not t else None for t in c["text"].to_pylist()], "blocks": blocks, "head": [x[0] for x in ends], "tail": [x[1] for x in ends]}
+
+        schema = "page_id bigint, source_path string, page_number int, meant map<string,string>, compounds array<string>, empty string, blocks array<string>, head string, tail string"
+        p = written(by_batch(p, schema, flat), "paragraphs")
+        ends = p.filter("blocks is not null and source_path is not null and page_number is not null").groupBy(*keys).agg(F.min_by(F.struct("head", "tail"), "page_id").alias("e")).select(*keys, "e.*")
+        # the few pages that end in half a word meet the next by an equal join: a document of any length is spread over its pages
+        heads = ends.filter("head is not null").select("source_path", (F.col("page_number") - 1).alias("page_number"), F.col("head").alias("after"))
+        over = ends.filter("tail is not null").join(heads, keys)
+        pair = F.when(F.col("tail").endswith("-"), F.lower(F.concat("tail", F.regexp_extract("after", r"^[\p{L}\p{M}\p{N}]+", 0)))).otherwise("")
         # a compound broken over two pages keeps its hyphen
-        pair = F.lower(F.concat("tail", F.regexp_extract("after", r"^[\p{L}\p{M}\p{N}]+", 0)))
-        p = p.withColumn("pair", F.when(F.col("tail").endswith("-"), pair)).join(self.compounds.select(F.col("w").alias("pair"), F.lit(True).alias("whole")), "pair", "left")
-        p = p.withColumn("compounds", F.when(F.col("whole"), F.array_append(F.coalesce("compounds", F.array().cast("array<string>")), F.col("pair"))).otherwise(F.col("compounds")))
+        over = written(over.withColumn("w", pair).join(self.compounds.withColumn("whole", F.col("w")), "w", "left").select(*keys, "after", "whole"), "over")
+        p = p.join(over, keys, "left").join(over.select("source_path", (F.col("page_number") + 1).alias("page_number"), F.col("after").alias("gone")), keys, "left")
 
         def make(c: dict) -> dict:
-            given = zip(*(c[k].to_pylist() for k in ("text", "furniture", "meant", "compounds", "after", "before", "own")))
-            return {k: c[k] for k in ("page_id", *keys)} | {"text": [t if not t else reflow(t, f, dict(m or ()), frozenset(k or ()), after, before and own) for t, f, m, k, after, before, own in given]}
+            given = zip(*(c[k].to_pylist() for k in ("empty", "blocks", "meant", "compounds", "after", "whole", "gone")))
+            return {k: c[k] for k in ("page_id", *keys)} | {"text": [e if b is None else reflow(b, dict(m or ()), {*(k or ()), w}, after, gone) for e, b, m, k, after, w, gone in given]}
 
         return by_batch(p, "page_id bigint, source_path string, page_number int, text string", make)
 
@@ -382,9 +385,10 @@ class Noise:
         """(source_path, text): every document in the order of its pages, paragraphs that go on over pages as one. A page delivered several times
         counts once; pages without a number come last."""
         p = self.repaired().filter(F.col("source_path").isNotNull() & (F.length("text") > 0))
-        once = p.filter("page_number is not null").groupBy("source_path", "page_number").agg(F.min_by(F.struct("page_id", "text"), "page_id").alias("p")).select("source_path", "page_number", "p.*")
-        last = p.filter("page_number is null").select("source_path", F.lit(2**31 - 1).alias("page_number"), "page_id", "text")
-        gathered = once.union(last).groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "text"))).alias("pages"))
+        # by the number of the page; pages without one each by themselves, last
+        number = F.coalesce("page_number", F.lit(2**31 - 1))
+        once = p.groupBy("source_path", number.alias("page_number"), F.when(F.col("page_number").isNull(), F.col("page_id")).alias("alone")).agg(F.min_by(F.struct("page_id", "text"), "page_id").alias("p"))
+        gathered = once.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("page_number", "p.page_id", "p.text"))).alias("pages"))
         return by_batch(gathered, "source_path string, text string", lambda c: {"source_path": c["source_path"], "text": [continuous([x["text"] for x in pages]) for pages in c["pages"].to_pylist()]})
 
 
@@ -509,18 +513,20 @@ def whole_line(line: str, before: str | None, after: str | None, meant: dict[str
     return _WORD.sub(fixer(meant), text).strip()
 
 
-def reflow(text: str, furniture: list[str] | None, meant: dict[str, str], compounds: frozenset = frozenset(), after: str | None = None, gone: str | None = None) -> str:
-    """Paragraphs of a page without furniture and stray signs, broken words joined, misread words as meant. ``compounds`` keep their hyphen.
+def reflow(blocks: list[str], meant: dict[str, str], compounds: set, after: str | None = None, gone: str | None = None) -> str:
+    """Paragraphs of a page as one text, misread words as meant. ``compounds`` keep their hyphen.
 
     ``after`` goes on with a word broken at the end of the page; the half ``gone`` at its beginning belongs to the page before.
     """
-
-    fix = fixer(meant)
-    blocks = paragraphs(text, furniture, compounds)
-    head, _ = ends_of(blocks)
-    if blocks and after and (m := _TAIL.search(blocks[-1])) and ends_of(blocks)[1]:
+    blocks = list(blocks)
+    head, tail = ends_of(blocks)
+    if after and tail:
+        m = _TAIL.search(blocks[-1])
         second = _HEAD.match(after)
         blocks[-1] = blocks[-1][: m.end(1)] + hyphen(m[1], m[2], second[0] if second else "", compounds) + after
     if gone and head == gone:
         blocks[0] = blocks[0][len(gone) :].lstrip()
-    return "\n\n".join(x for x in (_WORD.sub(fix, b).strip() for b in blocks) if x)
+    if meant:
+        fix = fixer(meant)
+        blocks = [_WORD.sub(fix, b) for b in blocks]
+    return "\n\n".join(x for b in blocks if (x := b.strip()))

@@ -105,6 +105,26 @@ def test_leaks(spark):
     assert leaks.leaks(df, "k", "t", items.limit(0), "i", "t").count() == 0
 
 
+def test_passages_of_leaks(spark):
+    rng = random.Random(3)
+    item = [f"w{rng.randint(100, 999)}" for _ in range(36)]
+    full = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(90))
+    changed = list(item)
+    for i in (3, 9, 15, 21, 27, 33):
+        changed[i] = "zz"
+    docs = {1: f"Straße [a](http://u) {' '.join(item).upper()}. End", 2: f"x **{' '.join(item[4:20])}** y {' '.join(item[10:30])}!", 3: f"before, {', '.join(changed)} after", 4: f"说{full[10:60]}了", 5: "nothing", 6: None}
+    df = spark.createDataFrame(list(docs.items()), "k bigint, t string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, full)], "i bigint, t string")
+    found = leaks.leaks(df, "k", "t", items, "i", "t")
+    got = leaks.spans(df, "k", "t", items, "i", "t", found)
+    said = {(r.k, docs[r.k][r.start_pos : r.end_pos]) for r in got.collect()}
+    assert said == {(1, " ".join(item).upper()), (2, " ".join(item[4:20])), (2, " ".join(item[10:30])), (3, ", ".join(changed)), (4, full[10:60])}
+    left = {r.k: r.t for r in leaks.cut(df, "k", "t", got).collect()}
+    assert left == {1: "Straße [a](http://u) . End", 2: "x **** y !", 3: "before,  after", 4: "说了", 5: "nothing", 6: None}
+    over = spark.createDataFrame([(5, 1, 4), (5, 2, 6), (5, 0, 1)], "k bigint, start_pos bigint, end_pos bigint")
+    assert {r.k: r.t for r in leaks.cut(df, "k", "t", over).collect()}[5] == "g"
+
+
 def test_leaks_of_items_with_common_phrases_equal_brute_force():
     rng = random.Random(12)
     phrase = "as was said in the notes of the board and of the mill".split()
