@@ -78,6 +78,9 @@ def counts(df: DataFrame, text: str, most: int = 300_000) -> DataFrame:
     def apart(held: Counter) -> pa.RecordBatch:
         out: Counter = Counter()
         for token, n in held.items():
+            if (plain := token.strip(_MARKS)).isalpha():  # most tokens
+                out[plain.lower()] += n
+                continue
             for w in words(token):
                 out[w] += n
             if "-" in token and (bare := _EDGE.sub("", token)) and _COMPOUND.fullmatch(bare):
@@ -173,11 +176,16 @@ def read(words: DataFrame, linked: DataFrame, vector: DataFrame | None) -> DataF
     return best.filter(F.col("score") >= BAR - 1e-9).select("tab", "row", "w", "c")
 
 
+_SIGNED = regex.compile(r"[\p{L}\p{N}]")
+_RULED = regex.compile(r"[-–—=*_#]{3,}")
+_LETTER, _COUNTED, _PARTED, _BLANK_LINE = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}\d-\s*$"), regex.compile("[’'-]"), regex.compile(r"\n\s*\n")
+
+
 def is_stray(token: str) -> bool:
     if token[0].isalpha() or token[-1].isalpha() or token.isdecimal():
         return False
-    bare = token.strip("".join(BREAKS)) or token
-    return not regex.search(r"[\p{L}\p{N}]", bare) and bare not in ORDINARY and not regex.fullmatch(r"[-–—=*_#]{3,}", bare)
+    bare = token.strip(BREAKS) or token
+    return not _SIGNED.search(bare) and bare not in ORDINARY and not _RULED.fullmatch(bare)
 
 
 #: Marks that stand at the edges of words and numbers.
@@ -195,7 +203,7 @@ def suspects(line: str, known: frozenset) -> list[str]:
         if not bare:
             if token not in ORDINARY:
                 out.append(token)
-        elif not (_PLAIN.fullmatch(bare) or (("’" in bare or "-" in bare or "'" in bare) and all(not x or x in known or len(x) == 1 and x.isalpha() for x in regex.split("[’'-]", bare)))):
+        elif not (_PLAIN.fullmatch(bare) or (("’" in bare or "-" in bare or "'" in bare) and all(not x or x in known or len(x) == 1 and x.isalpha() for x in _PARTED.split(bare)))):
             out.append(token)
     return out
 
@@ -220,16 +228,16 @@ def line_noise(line: str, after: str | None, before: str | None, furniture: bool
         out.add(("chars", None, None))
     bare = [t.strip(_MARKS).lower() for t in line.split()]
     lookup = [(w, around(bare, k)) for t in bad for k in (bare.index(t.strip(_MARKS).lower()),) for w in words(t)]
-    if ends_open and (m := _BROKEN.search(line)) and regex.search(r"\p{L}", m[1]):
+    if ends_open and (m := _BROKEN.search(line)) and _LETTER.search(m[1]):
         half = _HEAD.match((after or "").lstrip())
         first, second = m[1].lower(), half[0].lower() if half else ""
         if lookup and lookup[-1][0] == first:
             lookup.pop()
-        if not (m[2] == "-" and regex.search(r"\p{Lu}\d-\s*$", line)):
+        if not (m[2] == "-" and _COUNTED.search(line)):
             out.add(("half", f"{first}-{second}", None) if m[2] == "-" and second else ("hyphen", None, None))
             if second:
                 lookup.append((first + second, around(bare, len(bare) - 1)))
-    if begins_open and lookup and (m := _BROKEN.search(before)) and regex.search(r"\p{L}", m[1]) and (head := _HEAD.match(line.lstrip())) and lookup[0][0] == head[0].lower():
+    if begins_open and lookup and (m := _BROKEN.search(before)) and _LETTER.search(m[1]) and (head := _HEAD.match(line.lstrip())) and lookup[0][0] == head[0].lower():
         lookup[0] = (m[1].lower() + lookup[0][0], lookup[0][1])
     return out | {("word", w, ctx) for w, ctx in lookup if w not in known and len(w) > 1}
 
@@ -302,7 +310,7 @@ class Noise:
                 for page_id, text in ((x["page_id"], x["text"]) for x in texts or ()):
                     core, edge = body_lines(text, small if lines else None)
                     mine = {x for x in every if x[0] != "furniture"} | ({("furniture", None, None)} if edge else set())
-                    mine |= {("pair", f"{m[1]}-{m[3]}".lower(), None) for m in _SPLIT.finditer("\n".join(core)) if m[2] == "-"}
+                    mine |= {("pair", f"{m[1]}-{m[3]}".lower(), None) for m in (_SPLIT.finditer(whole) if _WRAPPED.search(whole := "\n".join(core)) else ()) if m[2] == "-"}
                     for n, line in enumerate(core):
                         bare = " ".join(line.lstrip("# ").split())
                         if bare not in seen and " ".join(line.split()) not in seen:
@@ -463,7 +471,7 @@ def paragraphs(text: str, furniture: list[str] | None, compounds: frozenset) ->
             drop[line] -= 1
             continue
         kept.append(" ".join(t for t in line.split() if not is_stray(t)) if not line.lstrip().startswith("|") else line)
-    blocks = [_SPLIT.sub(lambda m: m[1] + hyphen(m[1], m[2], m[3], compounds), x) for x in regex.split(r"\n\s*\n", "\n".join(kept))]
+    blocks = [_SPLIT.sub(lambda m: m[1] + hyphen(m[1], m[2], m[3], compounds), x) if _WRAPPED.search(x) else x for x in _BLANK_LINE.split("\n".join(kept))]
     return [x for x in (b.strip() if _SHAPED.search(b) else " ".join(b.split()) for b in blocks) if x]
 
 
@@ -479,14 +487,21 @@ def ends_of(blocks: list[str]) -> tuple[str | None, str | None]:
     return (None, None) if head and head.end() == len(blocks[0]) and tail and len(blocks) == 1 else (head and head[0], tail and tail[0])
 
 
+_SMALL, _STOP = regex.compile(r"\p{Ll}"), regex.compile(r"[.!?…:;]\W*$")
+
+
 def continuous(pages: list[str]) -> str:
     """Pages as one text; a paragraph without its stop goes on with the next page if that begins in lower case."""
-    out = ""
+    out: list[str] = []
     for text in pages:
-        last = out.rpartition("\n\n")[2]
-        goes_on = bool(out) and regex.match(r"\p{Ll}", text) and not regex.search(r"[.!?…:;]\W*$", last) and not _SHAPED.search(last)
-        out += (" " if goes_on else "\n\n" if out else "") + text
-    return out
+        goes_on = out and _SMALL.match(text) and not _STOP.search(out[-1]) and not _SHAPED.search(out[-1])
+        first, *rest = text.split("\n\n")
+        if goes_on:
+            out[-1] += f" {first}"
+        else:
+            out.append(first)
+        out += rest
+    return "\n\n".join(out)
 
 
 def fixer(meant: dict[str, str]):
