@@ -310,7 +310,8 @@ class Noise:
                 for page_id, text in ((x["page_id"], x["text"]) for x in texts or ()):
                     core, edge = body_lines(text, small if lines else None)
                     mine = {x for x in every if x[0] != "furniture"} | ({("furniture", None, None)} if edge else set())
-                    mine |= {("pair", f"{m[1]}-{m[3]}".lower(), None) for m in (_SPLIT.finditer(whole) if _WRAPPED.search(whole := "\n".join(core)) else ()) if m[2] == "-"}
+                    whole = "\n".join(core)
+                    mine |= {("pair", f"{m[1]}-{m[3]}".lower(), None) for m in (_SPLIT.finditer(whole) if _WRAPPED.search(whole) else ()) if m[2] == "-"}
                     for n, line in enumerate(core):
                         bare = " ".join(line.lstrip("# ").split())
                         if bare not in seen and " ".join(line.split()) not in seen:
