@@ -488,6 +488,7 @@ def ends_of(blocks: list[str]) -> tuple[str | None, str | None]:
     return (None, None) if head and head.end() == len(blocks[0]) and tail and len(blocks) == 1 else (head and head[0], tail and tail[0])
 
 
+_BREAKS = frozenset(BREAKS)
 _SMALL, _STOP = regex.compile(r"\p{Ll}"), regex.compile(r"[.!?…:;]\W*$")
 
 
@@ -521,12 +522,12 @@ def fixer(meant: dict[str, str]):
 def whole_line(line: str, before: str | None, after: str | None, meant: dict[str, str], compounds: frozenset) -> str:
     """A line without stray signs, its misread words as meant; a word broken at its end gets its second half, one broken before it loses that."""
     text = " ".join(t for t in line.split() if not is_stray(t)) if not line.lstrip().startswith("|") else line
-    if before is not None and _TAIL.search(before.rstrip()) and (head := _GOES_ON.match(text)):
+    if before is not None and before.rstrip()[-1:] in _BREAKS and _TAIL.search(before.rstrip()) and (head := _GOES_ON.match(text)):
         text = text[head.end() :].lstrip()
-    if after is not None and (m := _TAIL.search(text)) and (head := _GOES_ON.match(after.lstrip())):
+    if after is not None and text[-1:] in _BREAKS and (m := _TAIL.search(text)) and (head := _GOES_ON.match(after.lstrip())):
         second = _HEAD.match(head[0])
         text = text[: m.end(1)] + hyphen(m[1], m[2], second[0] if second else "", compounds) + head[0]
-    return _WORD.sub(fixer(meant), text).strip()
+    return (_WORD.sub(fixer(meant), text) if meant else text).strip()
 
 
 def reflow(blocks: list[str], meant: dict[str, str], compounds: set, after: str | None = None, gone: str | None = None) -> str:
