@@ -256,7 +256,7 @@ class Noise:
         self.known = spark.sparkContext.broadcast(frozenset(top.toArrow()["w"].to_pylist()))
         self.rows = written(self._rows(blocks), "noise")
         texts = pages.filter(F.length("markdown") > 0).select(F.col("markdown").alias("text"))
-        vector = None if self.links.isEmpty() else vectors(self.vocabulary, by_batch(texts, "ws array<string>", _sentences))
+        vector = None if self.links.isEmpty() else vectors(self.vocabulary, written(by_batch(texts, "ws array<string>", _sentences), "sentences"))
         vector = vector if vector is None else written(vector, "vectors")
         once = self.rows.filter("kind = 'word'").groupBy("tab", "row", "w").agg(F.flatten(F.collect_set("ctx")).alias("ctx"))  # of one page or block
         self.read = written(read(once, self.links, vector), "read")
