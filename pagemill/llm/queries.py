@@ -158,3 +158,7 @@ SQL = {
         SELECT page_id, line_no FROM alike SEMI JOIN many USING (source, k)""",
     "p7_found": "SELECT page_id FROM parsed_pages WHERE length(markdown) > 2000",
 }
+SQL["p2_cleaned"] = f"""
+    WITH found AS ({SQL["p2_found"]}), cut AS (SELECT page_id, list(line_no) AS n FROM found GROUP BY page_id)
+    SELECT page_id, source_path, CASE WHEN n IS NULL THEN markdown ELSE array_to_string(list_filter(string_split(markdown, chr(10)), lambda x, i: NOT list_contains(n, i)), chr(10)) END AS markdown
+    FROM parsed_pages LEFT JOIN cut USING (page_id) WHERE source_path LIKE 'web/%'"""
