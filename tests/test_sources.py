@@ -97,3 +97,14 @@ def test_scan_decode_save(spark, tmp_path):
     assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.md": "two"}
     pictures = spark.createDataFrame([("x/a.pdf", 1, 0, b"p", "GIF")], "path string, page_number int, ord int, content binary, ext string")
     assert files.save_pictures(pictures, str(tmp_path / "out")).first().file == "images/a_p1_0.png" and (tmp_path / "out/images/a_p1_0.png").read_bytes() == b"p"
+
+
+def test_decoders_in_sql(spark):
+    from pagemill.sources import sql
+
+    sql.registered(spark)
+    given = [("a.txt", b"hi"), ("b.docx", b"broken"), ("c.docx", docx()), ("d.zzz", b""), ("e", b""), (None, None)]
+    spark.createDataFrame(given, "path string, content binary").createOrReplaceTempView("some_files")
+    rows = {r.path: (r.page_number, r.markdown, r.error) for r in spark.sql("SELECT f.path, p.* FROM some_files f, LATERAL decode_pages(f.path, f.content) p").collect()}
+    assert rows["a.txt"] == (1, "hi", None) and rows["b.docx"][0] is None and rows["b.docx"][2] and rows["c.docx"][1].startswith("# Title")
+    assert rows["d.zzz"][2] == "Unsupported file type: .zzz" and rows["e"][2].startswith("Cannot determine") and rows[None][2].startswith("Cannot determine")
