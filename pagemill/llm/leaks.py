@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import by_batch
 from pagemill.llm.vectors import categories, codes_of, flags, grams, mixed, parts_of, runs, slices
+from pagemill.session import written
 
 _LINK = regex.compile(r"\]\([^()\s]*\)|<!--.*?-->|</?\p{L}[^<>\n]*>", regex.S)
 #: Left out before words are cut: marks of emphasis, soft hyphens and signs without width.
@@ -299,7 +300,9 @@ def spans(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, i
     Each run of ``run`` words (``full_run`` letters and digits) of the item is a passage, or, without one, the stretch that is nearest to all of it.
     """
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0).distinct()
+    found = written(found.select(key, item_key), "leaks")
+    leaking = found.select(F.col(key).alias("key")).distinct()
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0).join(leaking, "key", "left_semi").distinct()
     held = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("own")).filter(F.length("own") > 0).distinct()
     given = found.select(F.col(key).alias("key"), F.col(item_key).alias("item")).join(texts, "key").join(held, "item").select("key", "item", "text", "own")
 
