@@ -9,13 +9,14 @@ again while that makes it cheaper. Characters that only a lost decoding leaves b
 from __future__ import annotations
 
 import codecs
-from collections import Counter
-from collections.abc import Iterable
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import by_batch
@@ -28,6 +29,8 @@ WRITTEN_IN = ("cp932", "euc-jp", "gb18030", "big5", "euc-kr", "cp1251", "koi8-r"
 COMMON_STEP, RARE_STEP = 2, 6
 #: What a character that clean text doesn't hold costs, in bytes, and how often a text is read again at most.
 ESCAPE, LONGEST = 3, 4
+#: Windows of so many words, or in scripts without blanks and in longer words than these of so many letters, are counted for the dictionaries.
+WORDS, LETTERS, LONG_WORD = 5, 4, 32
 
 _CODE_SPAN = regex.compile(r"(`+)[^`\n]*\1")
 _LOST = regex.compile(r"[�\x80-\x84\x86-\x9f-]|(?<=\p{Ll})\?(?=\p{Ll})(?<!https?://\S*)")
@@ -86,11 +89,13 @@ def _as_utf8(run: str) -> tuple[str, ...]:
 class Usual:
     """What clean text of the corpus holds beyond ASCII: its characters, and the kinds of neighbours each of them has."""
 
-    def __init__(self, parts: Iterable[str] = (), least: int = 3, share: float = 0.001):
-        seen: Counter = Counter(x for p in parts for x in self.contexts(p))
-        total: Counter = Counter()
-        for (_, x, _), n in seen.items():
+    def __init__(self, seen: Mapping[tuple[str, str, str], float] | None = None, least: int = 3, share: float = 0.001):
+        """``seen``: in how many parts each context stands, of all parts of the corpus; languages may be weighted."""
+        seen = seen or {}
+        total: defaultdict = defaultdict(float)
+        for (_, x, _), n in sorted(seen.items()):
             total[x] += n
+        total = {x: round(n, 6) for x, n in total.items()}
         self.signs = frozenset(x for x, n in total.items() if n >= least) | frozenset(map(chr, range(128)))
         self.places = frozenset(k for k, n in seen.items() if n >= max(2, share * total[k[1]]))
         self.met: dict = {}
@@ -134,8 +139,10 @@ def readings(text: str, depth: int = 2, usual: Usual | None = None) -> dict[str,
             able = set().union(*map(_as_utf8, own))
             tried = [((x, "utf-8"), applied(t, x, "utf-8")) for x in READ_AS if x in able] if able else []
             if level == 0 and "\ufffd" not in t and (usual is not None and usual.odd(t) or not _ORDINARY.issuperset("".join(own)) and _ODD.search(t)):
+                met: set[bytes] = set()  # codecs that give the same bytes give the same readings
                 for x in READ_AS:
-                    if (raw := encoded(t, x)) is not None:
+                    if (raw := encoded(t, x)) is not None and raw not in met:
+                        met.add(raw)
                         tried += [((x, w), new) for w in WRITTEN_IN if (new := _read(raw, w)) is not None and not _LOST.search(new)]
             for pair, new in tried:
                 if new != t and new != text and new not in found and new not in after:
@@ -147,6 +154,8 @@ def readings(text: str, depth: int = 2, usual: Usual | None = None) -> dict[str,
 
 def doubtful(text: str) -> bool:
     """Whether a text had better not be learnt from: one codec's bytes are UTF-8 in most of its runs, or its shape is no orthography's."""
+    if text.isascii() and "?" not in text:
+        return False
     own = _RUN.findall(text)
     most = Counter(x for r in own for x in _as_utf8(r)).most_common(1)
     return bool(_LOST.search(text) or most and most[0][1] * 2 > len(own) or own and not _ORDINARY.issuperset("".join(own)) and _ODD.search(text))
@@ -166,9 +175,12 @@ class Judge:
     def strangers(self, text: str) -> int:
         return self.usual.strangers(text) if self.usual else 0
 
-    def price(self, text: str) -> int:
+    def size(self, text: str) -> int:
         raw = text.encode("utf-8")
-        return min([len(t.compress(raw)) for t in self.tools]) + ESCAPE * self.strangers(text)
+        return min([len(t.compress(raw)) for t in self.tools])
+
+    def price(self, text: str) -> int:
+        return self.size(text) + ESCAPE * self.strangers(text)
 
     def best(self, text: str) -> tuple[str, tuple]:
         """The cheapest reading and its chain; the text itself and () where nothing is cheaper. Chains grow while the price falls."""
@@ -176,13 +188,16 @@ class Judge:
         for _ in range(LONGEST):
             most = self.strangers(text)
             # what was written well holds no more unknown characters than what became of it
-            options = [(new, own) for new, own in readings(text, usual=self.usual).items() if self.strangers(new) <= most]
+            if most or not self.usual:
+                options = [(new, own, n) for new, own in readings(text, usual=self.usual).items() if (n := self.strangers(new)) <= most]
+            else:
+                options = [(new, own, 0) for new, own in readings(text, usual=self.usual).items() if self.usual.signs.issuperset(new)]
             if not options:
                 break
-            least, best, chain = self.price(text), text, ()
-            for new, own in options:
+            least, best, chain = self.size(text) + ESCAPE * most, text, ()
+            for new, own, n in options:
                 steps = sum(COMMON_STEP if w == "utf-8" else RARE_STEP for _, w in own)
-                if (cost := self.price(new) + steps) < least:
+                if (cost := self.size(new) + ESCAPE * n + steps) < least:
                     least, best, chain = cost, new, own
             if not chain:
                 break
@@ -205,7 +220,7 @@ def repair(text: str, judge: Judge) -> tuple[str, bool, bool]:
                     whole = applied(line, *pair)
                     line = line if whole is None else whole
                 bare = new
-        if _LOST.search(bare):
+        if ("?" in bare or not bare.isascii()) and _LOST.search(bare):
             garbled = lost = True
         out.append(line)
     return "\n".join(out), garbled, lost
@@ -219,35 +234,112 @@ class Trained:
     usual: Usual
 
 
-def trained(df: DataFrame, key: str, text: str, sample: int = 8000, chars: int = 4000, most: int = 1500, size: int = 16384) -> Trained:
-    """Dictionaries and contexts from clean parts of about ``sample`` rows (those whose hash of key and first characters is under a threshold), of at most ``chars``
-    characters each, and of at most ``most`` parts of each language, so that a frequent language leaves the others their place.
-
-    This is the only bounded sample here: it fits the price of a language, and every row is priced. A language with too few parts to train
-    on is represented by the parts themselves.
+def _letters(text: str) -> set[str]:
+    return {x for i in range(max(1, len(text) - LETTERS + 1)) if not (x := text[i : i + LETTERS]).isascii()}
+
+
+def windows(part: str, language: str) -> set[str]:
+    """What stands about the characters beyond ASCII of a part, as all else is alike in every reading: each run of ``WORDS`` words that holds one."""
+    if language in ("cjk", "th"):
+        return _letters(part)
+    out: set[str] = set()
+    words: list[str] = []
+    for x in (*part.split(" "), None):
+        if x is not None and len(x) <= LONG_WORD:
+            words.append(x)
+            continue
+        if x and not x.isascii():
+            out |= _letters(x)
+        last = len(words) - WORDS
+        held = (i for i, word in enumerate(words) if not word.isascii())
+        starts = {a for i in held for a in range(max(0, min(i - WORDS + 1, last)), max(0, min(i, last)) + 1)}
+        out.update([" ".join(words[a : a + WORDS]) + " " for a in starts])
+        words = []
+    return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of clean parts: how many of each language, and how many hold each context and each window; summed up as far as memory is to be used for it."""
+    total: Counter = Counter()
+    contexts: defaultdict = defaultdict(Counter)
+    held: defaultdict = defaultdict(Counter)
+
+    def out() -> pa.RecordBatch:
+        rows = [(k, "part", "", n) for k, n in total.items()] + [(k, "".join(x), "", n) for k, c in contexts.items() for x, n in c.items()] + [(k, "", x, n) for k, c in held.items() for x, n in c.items()]
+        for found in (total, contexts, held):
+            found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["language", "context", "window", "n"])
+
+    size = 0
+    for batch in batches:
+        for part in batch.column(0).to_pylist():
+            if doubtful(part):
+                continue
+            language = kind_of(part)[0]
+            total[language] += 1
+            if not part.isascii():
+                contexts[language].update(Usual.contexts(part))
+                held[language].update(own := windows(part, language))
+                size += len(own)
+            if size > 1 << 17:
+                yield out()
+                size = 0
+    if total:
+        yield out()
+
+
+def dictionary(held: Mapping[str, int], parts: int, most: int = 1500, size: int = 16384) -> bytes:
+    """A dictionary trained on ``most`` texts in which each window stands as often, by its share, as in the ``parts`` parts it was counted in.
+
+    Where these are too few to train on, the windows themselves, those that save most last, as zstandard reaches them best.
     """
     import zstandard
 
-    # a threshold on the hash instead of a sort: no task sends more than its share of the sample
-    share = min(1.0, sample / max(df.count(), 1))
-    top = int((1 << 63) * (2 * share - 1)) if share < 1 else (1 << 63) - 1
-    rows = df.select(F.substring(text, 1, chars).alias("t"), F.xxhash64(key, F.substring(text, 1, 64)).alias("h")).filter((F.col("h") <= min(top, (1 << 63) - 1)) & (F.length("t") > 20))
-
-    def clean(c: dict) -> dict:
-        parts = list(dict.fromkeys(p for t in c["t"].to_pylist() for p in t.split("\n\n") if len(p) > 20 and not doubtful(p)))
-        return {"language": [kind_of(p)[0] for p in parts], "part": parts}
-
-    each = by_batch(rows.select("t"), "language string, part string", clean).distinct().withColumn("h", F.xxhash64("part"))
-    held = each.groupBy("language").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "part"))), 1, most).alias("p"))  # of the bounded sample
-    by = {r.language: [x.part.encode("utf-8") for x in r.p] for r in held.collect()}
-    out = {}
-    for language, parts in sorted(by.items()):
-        raw = b"\n".join(parts)[-size:]
+    order = sorted(held, key=lambda x: (-held[x] * len(x.encode("utf-8")), x))
+    texts: list[list[str]] = [[] for _ in range(most)]
+    for k, x in enumerate(order):
+        times = max(1, round(held[x] * min(1, most / parts)))
+        for i in range(times):
+            texts[(7 * k + i * most // times) % most].append(x)
+    given = ["".join(x).encode("utf-8") for x in texts if x]
+    if sum(map(len, given)) > 2 * size and len(given) > 16:
         try:
-            out[language] = zstandard.train_dictionary(size, parts).as_bytes() if sum(map(len, parts)) > 2 * size and len(parts) > 16 else raw
-        except zstandard.ZstdError:  # parts too much alike to train on
-            out[language] = raw
-    return Trained({k: v for k, v in out.items() if v}, Usual(p.decode("utf-8") for parts in by.values() for p in parts))
+            return zstandard.train_dictionary(size, given).as_bytes()
+        except zstandard.ZstdError:  # texts too much alike to train on
+            pass
+    return "".join(reversed(order)).encode("utf-8")[-size:]
+
+
+def trained(df: DataFrame, key: str, text: str, most: int = 1500, size: int = 16384, best: int = 4096) -> Trained:
+    """Dictionaries and contexts from the clean parts of all rows, whole; equal parts count once, whatever their ``key``.
+
+    Contexts and windows are counted exactly. A context's count is the sum over languages, each weighted as ``most`` parts if it has more, so that a
+    frequent language doesn't hide the others. A dictionary of ``size`` bytes is made from the ``best`` windows of its language by bytes
+    times count, several times what it can hold.
+    """
+    parts = df.select(F.explode(F.split(F.col(text), "\n\n")).alias("part")).filter(F.length("part") > 20).distinct()
+    # contexts are alone in their groups and all stay; windows are ranked in slices first, so that no task sorts all of a language
+    slices = ["language", "context", "slice"]
+    counts = parts.mapInArrow(_counts, "language string, context string, window string, n bigint").withColumn("slice", F.expr("pmod(xxhash64(window), 64)"))
+    # the same exchange serves the sums and the ranks
+    ranked = counts.repartition(*slices).groupBy(*slices, "window").agg(F.sum("n").alias("n"))
+    by = [F.expr("n * octet_length(window)").desc(), F.col("window")]
+    for group in (slices, slices[:2]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).filter(F.col("rank") <= best)
+    total: dict[str, int] = {}
+    contexts: list[tuple[str, str, int]] = []
+    held: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in ranked.select("language", "context", "window", "n").collect():
+        if r.context == "part":
+            total[r.language] = r.n
+        elif r.context:
+            contexts.append((r.language, r.context, r.n))
+        else:
+            held[r.language][r.window] = r.n
+    seen: defaultdict = defaultdict(float)
+    for language, x, n in sorted(contexts):
+        seen[tuple(x)] += n * min(1, most / total[language])
+    return Trained({k: dictionary(v, total[k], most, size) for k, v in sorted(held.items())}, Usual(seen))
 
 
 def repaired(df: DataFrame, key: str, text: str, learnt: Trained) -> DataFrame:

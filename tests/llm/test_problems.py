@@ -383,6 +383,35 @@ def test_repair_of_double_faults_and_rare_languages(spark):
     assert encodings.repair(rows[-1][1], without) == (rows[-1][1], False, False)
 
 
+def test_models_of_encodings_come_from_all_rows(spark):
+    far = "far off. " * 600  # what follows stands where no sample of beginnings reaches
+    rows = [(i, f"{far}\n\nŽofie našla {i} žlutých listů – u mlýna.") for i in range(6)] + [(100 + i, f"Le dépôt {i} où l’été les a fermé pour la porte.") for i in range(2000)]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    learnt = encodings.trained(df, "k", "t")
+    parts = {p for _, t in rows for p in t.split("\n\n")}
+    total = Counter(sentences.kind_of(p)[0] for p in parts)
+    seen = Counter()
+    for p in parts:
+        for x in encodings.Usual.contexts(p):
+            seen[x] += min(1, 1500 / total[sentences.kind_of(p)[0]])
+    want = encodings.Usual(seen)
+    assert total["fr"] == 2000 and set("Žžůý–") <= learnt.usual.signs and (learnt.usual.signs, learnt.usual.places) == (want.signs, want.places)
+    assert "žlutých listů – u mlýna.".encode() in learnt.dictionaries[sentences.kind_of(rows[0][1].split("\n\n")[1])[0]]
+    again = encodings.trained(df.union(df).repartition(7), "k", "t")  # copies and partitions change nothing
+    assert again.dictionaries == learnt.dictionaries and again.usual.places == want.places
+
+
+def test_windows_hold_every_sign():
+    rng = random.Random(6)
+    for _ in range(200):
+        words = [rng.choice(["pier", "dépôt", "—", "", "x" * 40, "é" * 50]) for _ in range(rng.randint(1, 30))]
+        got = encodings.windows(" ".join(words), "fr")
+        short = ["" if len(x) > encodings.LONG_WORD else x for x in words]
+        assert all(any(x in w.split(" ") for w in got) for x in short if not x.isascii()) and all(not w.isascii() for w in got)
+        assert all(len(w.split(" ")) <= encodings.WORDS + 1 for w in got)
+    assert encodings.windows("目录与图纸", "cjk") == {"目录与图", "录与图纸"} and encodings.windows("Où ?", "fr") == {"Où ? "}
+
+
 # 6
 def test_residue(spark):
     odd = "The viewer of the harbour pages could not be started on this machine because the service is away now and must be reloaded by hand"
