@@ -9,6 +9,7 @@ again while that makes it cheaper. Characters that only a lost decoding leaves b
 from __future__ import annotations
 
 import codecs
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -34,6 +35,7 @@ WORDS, LETTERS, LONG_WORD = 5, 4, 32
 
 _CODE_SPAN = regex.compile(r"(`+)[^`\n]*\1")
 _LOST = regex.compile(r"[�\x80-\x84\x86-\x9f-]|(?<=\p{Ll})\?(?=\p{Ll})(?<!https?://\S*)")
+_LOST_SIGN = re.compile(r"[�\x80-\x84\x86-\x9f-]")
 #: Shapes that no orthography of the languages has: runs of accented letters, marks or capitals within words, words of two scripts.
 _ODD = regex.compile(
     r"[\u0080-ÿ]{3}|\p{Ll}[^\x00-\x7f\p{L}\p{M}\p{Pd}\p{Pf}\p{Pi}°ºª·’'­\s，。、：；！？（）「」《》…]+\p{Ll}|\p{Ll}[À-ÖØ-ÞŒŠŽŸ]\p{Ll}|\p{Latin}[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{Latin}"
@@ -41,8 +43,7 @@ _ODD = regex.compile(
 )
 #: windows-1252 as lenient readers use it: its five unassigned bytes stand for the controls of the same number.
 _LENIENT = {ord(bytes([i]).decode("cp1252", "ignore") or chr(i)): i for i in range(256)}
-_RUN = regex.compile(r"[^\x00-\x7f]+")
-_PLACE = regex.compile(r"(?s)(?<=(.))([^\x00-\x7f])(?=(.))")
+_RUN = re.compile(r"[^\x00-\x7f]+")
 _HAN = regex.compile(r"[\p{Han}\p{Hangul}\p{Katakana}]")
 _CYRILLIC = regex.compile(r"[А-Яа-яЁё]+")
 #: Signs and small letters that ordinary texts hold, alone between ASCII; they need no second look. Fixed values.
@@ -70,11 +71,26 @@ def _decoded(text: str, read: str, written: str) -> str | None:
     return None if raw is None else _read(raw, written)
 
 
+@lru_cache(1 << 16)
+def _run_as_utf8(run: str, read: str) -> str:
+    return _decoded(run, read, "utf-8") or run
+
+
+def _lost(text: str) -> bool:
+    return bool(_LOST_SIGN.search(text) or "?" in text and _LOST.search(text))
+
+
+def _places(text: str) -> set[str]:
+    """Each character beyond ASCII between its neighbours."""
+    text = f" {text} "
+    return {text[i - 1 : i + 2] for i, x in enumerate(text) if x > "\x7f"}
+
+
 def applied(text: str, read: str, written: str) -> str | None:
     """``text`` with every run of characters beyond ASCII read again; into UTF-8 a run that can't be stays, else all must be."""
     if written != "utf-8":
         return _decoded(text, read, written)
-    return _RUN.sub(lambda m: _decoded(m[0], read, written) or m[0], text)
+    return _RUN.sub(lambda m: _run_as_utf8(m[0], read), text)
 
 
 @lru_cache(1 << 16)
@@ -89,7 +105,7 @@ def _as_utf8(run: str) -> tuple[str, ...]:
 class Usual:
     """What clean text of the corpus holds beyond ASCII: its characters, and the kinds of neighbours each of them has."""
 
-    def __init__(self, seen: Mapping[tuple[str, str, str], float] | None = None, least: int = 3, share: float = 0.001):
+    def __init__(self, seen: Mapping[str, float] | None = None, least: int = 3, share: float = 0.001):
         """``seen``: in how many parts each context stands, of all parts of the corpus; languages may be weighted."""
         seen = seen or {}
         total: defaultdict = defaultdict(float)
@@ -98,27 +114,19 @@ class Usual:
         total = {x: round(n, 6) for x, n in total.items()}
         self.signs = frozenset(x for x, n in total.items() if n >= least) | frozenset(map(chr, range(128)))
         self.places = frozenset(k for k, n in seen.items() if n >= max(2, share * total[k[1]]))
-        self.met: dict = {}
 
     @staticmethod
-    def context(before: str, sign: str, after: str) -> tuple[str, str, str]:
+    @lru_cache(1 << 16)
+    def context(place: str) -> str:
         kind = lambda x: "a" if x.islower() else "A" if x.isupper() else "l" if x.isalpha() else "0" if x.isdigit() else " " if x.isspace() else "." if x.isascii() else x
-        return kind(before), sign, kind(after)
+        return kind(place[0]) + place[1] + kind(place[2])
 
     @classmethod
-    def contexts(cls, text: str) -> set[tuple[str, str, str]]:
-        return {cls.context(*x) for x in set(_PLACE.findall(f" {text} "))}
+    def contexts(cls, text: str) -> set[str]:
+        return set(map(cls.context, _places(text)))
 
     def odd(self, text: str) -> bool:
-        for x in set(_PLACE.findall(f" {text} ")):
-            known = self.met.get(x)
-            if known is None:
-                known = self.context(*x) in self.places
-                if len(self.met) < 1 << 16:
-                    self.met[x] = known
-            if not known:
-                return True
-        return False
+        return not self.places.issuperset(map(self.context, _places(text)))
 
     def strangers(self, text: str) -> int:
         return len(set(text) - self.signs)
@@ -143,7 +151,7 @@ def readings(text: str, depth: int = 2, usual: Usual | None = None) -> dict[str,
                 for x in READ_AS:
                     if (raw := encoded(t, x)) is not None and raw not in met:
                         met.add(raw)
-                        tried += [((x, w), new) for w in WRITTEN_IN if (new := _read(raw, w)) is not None and not _LOST.search(new)]
+                        tried += [((x, w), new) for w in WRITTEN_IN if (new := _read(raw, w)) is not None and not _lost(new)]
             for pair, new in tried:
                 if new != t and new != text and new not in found and new not in after:
                     after[new] = (*chain, pair)
@@ -158,7 +166,7 @@ def doubtful(text: str) -> bool:
         return False
     own = _RUN.findall(text)
     most = Counter(x for r in own for x in _as_utf8(r)).most_common(1)
-    return bool(_LOST.search(text) or most and most[0][1] * 2 > len(own) or own and not _ORDINARY.issuperset("".join(own)) and _ODD.search(text))
+    return bool(_lost(text) or most and most[0][1] * 2 > len(own) or own and not _ORDINARY.issuperset("".join(own)) and _ODD.search(text))
 
 
 class Judge:
@@ -220,7 +228,7 @@ def repair(text: str, judge: Judge) -> tuple[str, bool, bool]:
                     whole = applied(line, *pair)
                     line = line if whole is None else whole
                 bare = new
-        if ("?" in bare or not bare.isascii()) and _LOST.search(bare):
+        if _lost(bare):
             garbled = lost = True
         out.append(line)
     return "\n".join(out), garbled, lost
@@ -265,7 +273,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: defaultdict = defaultdict(Counter)
 
     def out() -> pa.RecordBatch:
-        rows = [(k, "part", "", n) for k, n in total.items()] + [(k, "".join(x), "", n) for k, c in contexts.items() for x, n in c.items()] + [(k, "", x, n) for k, c in held.items() for x, n in c.items()]
+        rows = [(k, "part", "", n) for k, n in total.items()] + [(k, x, "", n) for k, c in contexts.items() for x, n in c.items()] + [(k, "", x, n) for k, c in held.items() for x, n in c.items()]
         for found in (total, contexts, held):
             found.clear()
         return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["language", "context", "window", "n"])
@@ -338,7 +346,7 @@ def trained(df: DataFrame, key: str, text: str, most: int = 1500, size: int = 16
             held[r.language][r.window] = r.n
     seen: defaultdict = defaultdict(float)
     for language, x, n in sorted(contexts):
-        seen[tuple(x)] += n * min(1, most / total[language])
+        seen[x] += n * min(1, most / total[language])
     return Trained({k: dictionary(v, total[k], most, size) for k, v in sorted(held.items())}, Usual(seen))
 
 

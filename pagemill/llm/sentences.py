@@ -102,6 +102,7 @@ _SCRIPTS = {k: regex.compile(v) for k, v in {"cjk": r"[\p{Han}\p{Hiragana}\p{Kat
 _ANY = regex.compile("|".join(p.pattern for p in _SCRIPTS.values()))
 _BIG = regex.compile(r"\p{Lu}")
 _SMALL = {k: frozenset(v.split()) for k, v in SMALL.items()}
+_ANY_SMALL = frozenset().union(*_SMALL.values())
 
 
 @lru_cache(None)
@@ -164,7 +165,7 @@ def kind_of(text: str) -> tuple[str, str]:
         count, script = max((len(p.findall(text)), k) for k, p in _SCRIPTS.items())
         if count * (3 if script == "cjk" else 1.5) > latin:
             return {"cyrillic": "ru", "hindi": "hi", "arabic": "ar", "thai": "th", "cjk": "cjk"}[script], script
-    words = text.lower().split()
+    words = [x for x in text.lower().split() if x in _ANY_SMALL]
     score, language = max((sum(map(s.__contains__, words)), k) for k, s in _SMALL.items())
     return (language if score else "en"), "latin"
 
